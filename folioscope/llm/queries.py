@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import decontaminate
+from .neardup import near_duplicates
 from .mixing import mix_sources
 from .pii import find_pii
 from .secrets import scan_secrets
@@ -14,6 +15,10 @@ from .toxicity import score_toxicity
 from .urlfilter import RULES, filter_urls, rule_table
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -47,6 +52,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), clean=False).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_pii, op6_url_filters, op7_secrets, op8_toxicity, op9_shards, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_mix_sources, op4_pii, op6_url_filters, op7_secrets, op8_toxicity, op9_shards, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}

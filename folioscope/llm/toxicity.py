@@ -13,6 +13,8 @@ from .bytewords import ALNUM, U64, bounds, byte_values, chunks, mix, prefix, raw
 BITS = 21
 #: A word's features: itself and its first bytes.
 HEADS = (4, 5, 6)
+#: A feature counts if toxic and other documents have it at rates so many standard errors apart: of two million, hardly one by chance.
+CERTAIN = 5.0
 VALUES = byte_values(11, fold=True)
 STOPS = np.zeros(256, np.int64)
 STOPS[[ord(c) for c in ".!?\n"]] = 1
@@ -60,11 +62,11 @@ def train(texts: list[str], toxic: list[int], features: int = 20_000, rounds: in
         parts.append(f)
         lengths.append(np.diff(np.append(first, len(f))))
         docs.append(len(first))
-    p, q = (here + 0.5) / (y.sum() + 1), (there + 0.5) / (len(y) - y.sum() + 1)
-    spread = np.abs(np.log(p / q)) * np.sqrt(p + q)
-    spread[here + there < 3] = 0
+    n1, n0 = y.sum(), len(y) - y.sum()
+    pool = (here + there) / len(y)
+    spread = np.abs(here / n1 - there / n0) / np.sqrt(np.maximum(pool * (1 - pool) * (1 / n1 + 1 / n0), 1e-12))
     chosen = np.argsort(-spread, kind="stable")[:features]
-    chosen = chosen[spread[chosen] > 0]
+    chosen = chosen[(spread[chosen] > CERTAIN) & (here + there >= 3)[chosen]]
     slot = np.full(1 << BITS, -1, np.int64)
     slot[chosen] = np.arange(len(chosen))
 
@@ -75,7 +77,7 @@ def train(texts: list[str], toxic: list[int], features: int = 20_000, rounds: in
     document = np.repeat(np.arange(len(docs)), docs)
     w, b, n = np.zeros(len(chosen)), -4.0, sum(docs)
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    weight = np.full(len(y), 1 / len(y))
     for t in range(1, rounds + 1):
         z = b + np.bincount(sentence, w[flat], n)
         ps = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
