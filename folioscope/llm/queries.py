@@ -9,12 +9,17 @@ from .decontaminate import decontaminate
 from .neardup import near_duplicates
 from .mixing import mix_sources
 from .pii import find_pii
+from .repeats import remove_repeats
 from .secrets import scan_secrets
 from .sharding import shard_documents
 from .toxicity import score_toxicity
 from .urlfilter import RULES, filter_urls, rule_table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
@@ -52,6 +57,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), clean=False).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_mix_sources, op4_pii, op6_url_filters, op7_secrets, op8_toxicity, op9_shards, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_jaccard, op3_mix_sources, op4_pii, op6_url_filters, op7_secrets, op8_toxicity, op9_shards, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
