@@ -1,15 +1,62 @@
-"""From documents to training shards: four or five operators in turn, each over all that the one before it kept."""
+"""From documents to training shards: five operators in turn, each over all that the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from folioscope.llm.common import Scratch
+from folioscope.llm.decontaminate import decontaminate
+from folioscope.llm.mixing import mix_sources
+from folioscope.llm.neardup import keep_one
+from folioscope.llm.sharding import shard_documents
+from folioscope.llm.toxicity import score_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under a half. Null and empty texts stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_toxicity(docs, labels).where("predicted = 0").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one of the smallest id; those without words stay."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate(docs, benchmark, clean=False).where("not contaminated").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, to whole documents: a copy that the budget cuts counts if half
+    of it is taken. Repeated rows are taken together. Documents without words aren't taken."""
+    keyed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    mixed = mix_sources(keyed.select("_row", "doc_id", "text", "source"))
+    times = mixed.where("taken > 0").groupBy("_row", "doc_id").agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times")).where("_times > 0")
+    times = Scratch(spark, "mixed").save(times.withColumnRenamed("doc_id", "_id").withColumnRenamed("_row", "_of"))
+    taken = keyed.join(times, (F.col("_row") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_row", "doc_id"])
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their shard and their place in it."""
+    return shard_documents(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
+
+#: Neither the trained score nor the components of the similarity join are SQL: the tests hold the stages to brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents; each one's result is written and read again, as on a cluster."""
+    scratch = Scratch(spark, "pipeline")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), STAGES[-1][0]
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        docs = docs if name == last else scratch.save(docs)
     return docs

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import decontaminate
+from .embeddings import link_embeddings
 from .neardup import near_duplicates
 from .mixing import mix_sources
 from .pii import find_pii
@@ -33,6 +34,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_embeddings(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, rule_table(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
@@ -57,6 +62,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), clean=False).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_jaccard, op3_mix_sources, op4_pii, op6_url_filters, op7_secrets, op8_toxicity, op9_shards, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_jaccard, op3_mix_sources, op4_pii, op5_embeddings, op6_url_filters, op7_secrets, op8_toxicity, op9_shards, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
