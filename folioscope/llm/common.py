@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,8 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        gc.collect()  # shuffle files go once nothing refers to their plan, neither here nor in the JVM
+        self.spark._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

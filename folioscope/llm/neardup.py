@@ -308,9 +308,9 @@ def candidates(scratch: Scratch, lists: DataFrame, parts: DataFrame | None, bits
         mixed = rows.groupBy("token").agg((F.min("part") != F.max("part")).alias("mixed")).where("mixed").select("token")
         rows = rows.join(mixed, "token", "left_semi")
     by_size = Window.partitionBy("token").orderBy("n", "node")
-    rows = rows.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK)).join(bits, "node")
+    # One shuffle carries the bitmaps: windows, blocks and their meeting are all dealt by token.
+    rows = rows.join(bits, "node").withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK))
     blocks = rows.groupBy("token", "block").agg(F.collect_list(F.struct("n", "pos", "node", "part", "bits")).alias("left"), F.min("n").alias("low"), F.max("n").alias("high"))
-    blocks = scratch.save(blocks)
     alone = blocks.where(F.size("left") > 1).select("left", F.lit(None).cast(blocks.schema["left"].dataType).alias("right"))
     several = blocks.where("block > 0").select("token").distinct()
     long = blocks.join(several, "token", "left_semi")
@@ -318,9 +318,7 @@ def candidates(scratch: Scratch, lists: DataFrame, parts: DataFrame | None, bits
     meet = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.block") < F.col("b.block")) & (100 * F.col("a.high") >= PERCENT * F.col("b.low"))).select(F.col("a.left").alias("left"), F.col("b.left").alias("right"))
     meet = meet.repartition(64)
     found = alone.unionByName(meet).mapInArrow(lambda batches: compare(batches, only_forest), "u long, v long")
-    out = scratch.save(found.distinct())
-    scratch.drop(blocks)
-    return out
+    return scratch.save(found.distinct())
 
 
 def verify(scratch: Scratch, pairs: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
@@ -384,6 +382,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("token", "node", "n", "pos")
     )
     lists = scratch.save(shared)
+    wide, described = described, scratch.save(described.drop("prefix"))
+    scratch.drop(wide)
     bits = described.where("bits is not null").select("node", "bits").dropDuplicates(["node"])
     names = described.where("node is not null").groupBy("node").agg(F.min("k").alias("k"))
 
