@@ -22,6 +22,8 @@ BLOCK = 256
 LEAF = 16
 #: A list of so many entries is compared leaf by leaf at once.
 SHORT = 24
+#: Spanning forests taken from each tree.
+FORESTS = 3
 #: Prefix tokens by which the first pass, which only seeks the likeliest links, brings documents together.
 FIRST = 4
 
@@ -54,7 +56,7 @@ def prefix_length(n: int) -> int:
 
 
 def bitmap_bits(n: int) -> int:
-    return max(64, 1 << int(2 * n - 1).bit_length())
+    return max(2048, 1 << int(2 * n - 1).bit_length())
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -176,6 +178,22 @@ def overlap_bound(a: Entries, i: np.ndarray, b: Entries, j: np.ndarray) -> np.nd
     return out
 
 
+def likeness(a: Entries, i: np.ndarray, b: Entries, j: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity: the union's size by linear counting over the joint bitmap."""
+    out = np.zeros(len(i))
+    width = np.minimum(a.width[i], b.width[j])
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        for part in np.array_split(at, max(1, len(at) * int(w) >> 24)):
+            filled = np.bitwise_count(a.rows(i[part], int(w)) | b.rows(j[part], int(w))).sum(axis=1, dtype=np.int64)
+            bits = 8.0 * w
+            union = -bits * np.log(np.maximum(1 - filled / bits, 0.5 / bits))
+            both = a.n[i[part]] + b.n[j[part]]
+            union = np.clip(union, np.maximum(a.n[i[part]], b.n[j[part]]), both)
+            out[part] = (both - union) / union
+    return out
+
+
 def tree(e: Entries, which: np.ndarray, width: int) -> list[dict]:
     """Levels from the leaves' parents to the root: size ranges, OR-combined bitmaps and the most tokens beyond an entry's bits."""
     bits = e.rows(which, width)
@@ -220,32 +238,40 @@ def traverse(a: Entries, wa: np.ndarray, b: Entries, wb: np.ndarray, same: bool)
     return (wa[i[i < j]], wb[j[i < j]]) if same else (wa[i], wb[j])
 
 
-def survivors(a: Entries, i: np.ndarray, b: Entries, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of entry pairs, those of different parts that may link, and what they may share at most."""
+def survivors(a: Entries, i: np.ndarray, b: Entries, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entry pairs, those of different parts that may link."""
     ok = (a.part[i] != b.part[j]) & (a.node[i] != b.node[j]) & can_link(a.n[i], a.pos[i], b.n[j], b.pos[j])
     i, j = i[ok], j[ok]
     bound = overlap_bound(a, i, b, j)
     ok = (100 + PERCENT) * bound >= PERCENT * (a.n[i] + b.n[j])
-    return i[ok], j[ok], bound[ok]
-
-
-def forest(a: Entries, i: np.ndarray, b: Entries, j: np.ndarray, bound: np.ndarray) -> np.ndarray:
-    """Places of the pairs of a spanning forest of the parts, the likeliest links first."""
-    order = np.argsort(-(bound / (a.n[i] + b.n[j])), kind="stable")
-    above: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := above.get(x, x)) != x:
-            above[x] = above.get(p, p)
-            x = p
-        return x
-
-    kept = []
-    for k in order.tolist():
-        p, q = root(int(a.part[i[k]])), root(int(b.part[j[k]]))
-        if p != q:
-            above[p] = q
-            kept.append(k)
+    return i[ok], j[ok]
+
+
+def forest(a: Entries, i: np.ndarray, b: Entries, j: np.ndarray) -> np.ndarray:
+    """Places of the pairs of spanning forests of the parts, the likeliest links first, of those likely to hold. They share
+    no pair, so that parts stay together when some links don't hold."""
+    alike = likeness(a, i, b, j)
+    order = np.argsort(-alike, kind="stable")
+    order = order[alike[order] >= PERCENT / 100]
+    kept: list[int] = []
+    for _ in range(FORESTS):
+        above: dict[int, int] = {}
+
+        def root(x: int, above: dict[int, int] = above) -> int:
+            while (p := above.get(x, x)) != x:
+                above[x] = above.get(p, p)
+                x = p
+            return x
+
+        left = []
+        for k in order.tolist():
+            p, q = root(int(a.part[i[k]])), root(int(b.part[j[k]]))
+            if p != q:
+                above[p] = q
+                kept.append(k)
+            else:
+                left.append(k)
+        order = np.array(left, np.int64)
     return np.array(kept, np.int64)
 
 
@@ -264,16 +290,16 @@ def compare(batches, only_forest: bool):
             at = a.at[short[size[short] == n]][:, None]
             i.append((at + p).ravel())
             j.append((at + q).ravel())
-        x, y, _ = survivors(a, np.concatenate(i), a, np.concatenate(j))
+        x, y = survivors(a, np.concatenate(i), a, np.concatenate(j))
         out.append((a.node[x], a.node[y]))
         for r in np.flatnonzero(two | (size > SHORT)):
             left = np.arange(a.at[r], a.at[r + 1])
             other, right = (b, np.arange(b.at[r], b.at[r + 1])) if two[r] else (a, left)
             if not len(left) or not len(right):
                 continue
-            x, y, bound = meet_trees(a, left, other, right, not two[r])
+            x, y = meet_trees(a, left, other, right, not two[r])
             if only_forest and len(x):
-                k = forest(a, x, other, y, bound)
+                k = forest(a, x, other, y)
                 x, y = x[k], y[k]
             out.append((a.node[x], other.node[y]))
         u, v = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
@@ -292,7 +318,7 @@ def meet_trees(a: Entries, left: np.ndarray, b: Entries, right: np.ndarray, same
             i, j = traverse(a, wa, b, wb, same and v == w)
             for part in np.array_split(np.arange(len(i)), max(1, len(i) >> 16)):
                 found.append(survivors(a, i[part], b, j[part]))
-    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+    return tuple(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(2))
 
 
 # ---- the join --------------------------------------------------------------------------------------------------------
@@ -357,8 +383,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents link when 100 * |A & B| >= 80 * |A | B| for their sets of 5-word shingles, words lower-cased (A-Z).
     k is the hash of the text. Equal sets are one node. Nodes meet in the lists of their prefix tokens; each list is a
     signature tree of OR-combined bitmaps and size ranges, cut in blocks when it is long. A first pass over the lists of a
-    few tokens verifies the likeliest links of each tree (a spanning forest), so that large groups of copies
-    become one component early; the second, over all prefix tokens, verifies every pair of different components that pruning
+    few tokens verify the likeliest links of each tree (a spanning forest), so that large groups of copies
+    become one component early; the third verifies every pair of different components that pruning
     leaves. No link between components is missed, and pairs within one are never listed.
 
     Null and empty texts, and texts without words, have an empty set and link with nothing; they are their own component. A
@@ -387,11 +413,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bits = described.where("bits is not null").select("node", "bits").dropDuplicates(["node"])
     names = described.where("node is not null").groupBy("node").agg(F.min("k").alias("k"))
 
-    first = lists.where(F.col("pos") < FIRST)
-    links = verify(scratch, candidates(scratch, first, None, bits, True), names, docs)
+    links = verify(scratch, candidates(scratch, lists.where(F.col("pos") < FIRST), None, bits, True), names, docs)
     parts = scratch.save(components(scratch, links))
-    more = verify(scratch, candidates(scratch, lists, parts, bits, False), names, docs)
-    parts = scratch.save(components(scratch, links.unionByName(more)))
+    for only_forest in (True, False):
+        more = verify(scratch, candidates(scratch, lists, parts, bits, only_forest), names, docs)
+        links = links.unionByName(more)
+        parts = scratch.save(components(scratch, links))
 
     rooted = scratch.save(described.select("doc_id", "k", "n", "node").join(parts, "node", "left").select("doc_id", "k", "n", F.coalesce("root", "node").alias("root")))
     smallest = scratch.save(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")))
