@@ -53,29 +53,32 @@ def train(texts: list[str], toxic: list[int], features: int = 20_000, rounds: in
     table = np.zeros(1 << BITS, np.float32)
     if not len(y) or y.min() == y.max():
         return table, -20.0 if not len(y) or y.max() == 0 else 20.0
-    parts, lengths, docs = [], [], []
     here, there = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
     for text, label in zip(texts, toxic):
-        body, at = raw(pa.array([text], pa.large_string()))
-        f, first, _, _, _ = sentences(body, at)
-        (here if label else there)[np.unique(f)] += 1
-        parts.append(f)
-        lengths.append(np.diff(np.append(first, len(f))))
-        docs.append(len(first))
+        (here if label else there)[np.unique(sentences(*raw(pa.array([text], pa.large_string())))[0])] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
     pool = (here + there) / len(y)
     spread = np.abs(here / n1 - there / n0) / np.sqrt(np.maximum(pool * (1 - pool) * (1 / n1 + 1 / n0), 1e-12))
-    chosen = np.argsort(-spread, kind="stable")[:features]
-    chosen = chosen[(spread[chosen] > CERTAIN) & (here + there >= 3)[chosen]]
-    slot = np.full(1 << BITS, -1, np.int64)
+    able = np.flatnonzero((spread > CERTAIN) & (here + there >= 3))
+    chosen = able[np.argsort(-spread[able], kind="stable")[:features]]
+    slot = np.full(1 << BITS, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
-
-    flat = slot[np.concatenate(parts).ravel()]
-    sentence = np.repeat(np.arange(sum(docs)), np.concatenate(lengths) * (1 + len(HEADS)))
-    used = flat >= 0
-    flat, sentence = flat[used], sentence[used]
+    del here, there, pool, spread
+
+    # Words are read again, not held: only the chosen features of a document stay.
+    flat, sentence, docs, opened = [], [], [], 0
+    for text in texts:
+        f, first, _, _, _ = sentences(*raw(pa.array([text], pa.large_string())))
+        of = np.repeat(np.arange(len(first), dtype=np.int32) + opened, np.diff(np.append(first, len(f))))
+        at = slot[f]
+        used = at >= 0
+        flat.append(at[used])
+        sentence.append(np.repeat(of[:, None], f.shape[1], axis=1)[used])
+        docs.append(len(first))
+        opened += len(first)
+    flat, sentence = np.concatenate(flat), np.concatenate(sentence)
     document = np.repeat(np.arange(len(docs)), docs)
-    w, b, n = np.zeros(len(chosen)), -4.0, sum(docs)
+    w, b, n = np.zeros(len(chosen)), -4.0, opened
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     weight = np.full(len(y), 1 / len(y))
     for t in range(1, rounds + 1):
