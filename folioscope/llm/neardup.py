@@ -24,8 +24,8 @@ LEAF = 16
 SHORT = 24
 #: Spanning forests taken from each tree.
 FORESTS = 3
-#: Prefix tokens by which the first pass, which only seeks the likeliest links, brings documents together.
-FIRST = 4
+#: Listed prefix tokens by which the first pass, which only seeks the likeliest links, brings documents together.
+FIRST = 8
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -56,7 +56,7 @@ def prefix_length(n: int) -> int:
 
 
 def bitmap_bits(n: int) -> int:
-    return max(2048, 1 << int(2 * n - 1).bit_length())
+    return max(1024, 1 << int(2 * n - 1).bit_length())
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -334,24 +334,30 @@ def candidates(scratch: Scratch, lists: DataFrame, parts: DataFrame | None, bits
         mixed = rows.groupBy("token").agg((F.min("part") != F.max("part")).alias("mixed")).where("mixed").select("token")
         rows = rows.join(mixed, "token", "left_semi")
     by_size = Window.partitionBy("token").orderBy("n", "node")
-    # One shuffle carries the bitmaps: windows, blocks and their meeting are all dealt by token.
-    rows = rows.join(bits, "node").withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK))
-    blocks = rows.groupBy("token", "block").agg(F.collect_list(F.struct("n", "pos", "node", "part", "bits")).alias("left"), F.min("n").alias("low"), F.max("n").alias("high"))
+    rows = scratch.save(rows.select("token", "node", "n", "pos", "part", F.floor((F.row_number().over(by_size) - 1) / BLOCK).alias("block")))
+
+    def packed(r: DataFrame) -> DataFrame:
+        # Dealt by token first: partly built blocks would be several times as large to shuffle.
+        return r.join(bits, "node").repartition("token").groupBy("token", "block").agg(F.collect_list(F.struct("n", "pos", "node", "part", "bits")).alias("left"), F.min("n").alias("low"), F.max("n").alias("high"))
+
+    blocks = packed(rows)
     alone = blocks.where(F.size("left") > 1).select("left", F.lit(None).cast(blocks.schema["left"].dataType).alias("right"))
-    several = blocks.where("block > 0").select("token").distinct()
-    long = blocks.join(several, "token", "left_semi")
+    several = rows.where("block > 0").select("token").distinct()
+    long = packed(rows.join(several, "token", "left_semi"))
     a, b = long.alias("a"), long.alias("b")
     meet = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.block") < F.col("b.block")) & (100 * F.col("a.high") >= PERCENT * F.col("b.low"))).select(F.col("a.left").alias("left"), F.col("b.left").alias("right"))
     meet = meet.repartition(64)
     found = alone.unionByName(meet).mapInArrow(lambda batches: compare(batches, only_forest), "u long, v long")
-    return scratch.save(found.distinct())
+    out = scratch.save(found.distinct())
+    scratch.drop(rows)
+    return out
 
 
 def verify(scratch: Scratch, pairs: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of pairs(u, v) that link, by their whole texts. names(node, k): a text of each set, by key."""
     n = pairs.count()
     slots = max(8, n // 2000 + 1)
-    slot = F.pmod(F.xxhash64("u", F.pmod("v", F.lit(8))), F.lit(slots)).cast("int")
+    slot = F.pmod(F.xxhash64("u"), F.lit(slots)).cast("int")
     placed = pairs.withColumn("slot", slot)
     wanted = placed.select("slot", F.col("u").alias("node")).unionByName(placed.select("slot", F.col("v").alias("node"))).distinct()
     keyed = scratch.save(wanted.join(names, "node"))
@@ -383,8 +389,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents link when 100 * |A & B| >= 80 * |A | B| for their sets of 5-word shingles, words lower-cased (A-Z).
     k is the hash of the text. Equal sets are one node. Nodes meet in the lists of their prefix tokens; each list is a
     signature tree of OR-combined bitmaps and size ranges, cut in blocks when it is long. A first pass over the lists of a
-    few tokens verify the likeliest links of each tree (a spanning forest), so that large groups of copies
-    become one component early; the third verifies every pair of different components that pruning
+    few tokens verifies the likeliest links of each tree (a spanning forest), so that large groups of copies
+    become one component early; the second verifies every pair of different components that pruning
     leaves. No link between components is missed, and pairs within one are never listed.
 
     Null and empty texts, and texts without words, have an empty set and link with nothing; they are their own component. A
@@ -413,12 +419,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bits = described.where("bits is not null").select("node", "bits").dropDuplicates(["node"])
     names = described.where("node is not null").groupBy("node").agg(F.min("k").alias("k"))
 
-    links = verify(scratch, candidates(scratch, lists.where(F.col("pos") < FIRST), None, bits, True), names, docs)
+    first = lists.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("pos"))).where(F.col("r") <= FIRST).drop("r")
+    links = verify(scratch, candidates(scratch, first, None, bits, True), names, docs)
     parts = scratch.save(components(scratch, links))
-    for only_forest in (True, False):
-        more = verify(scratch, candidates(scratch, lists, parts, bits, only_forest), names, docs)
-        links = links.unionByName(more)
-        parts = scratch.save(components(scratch, links))
+    more = verify(scratch, candidates(scratch, lists, parts, bits, False), names, docs)
+    parts = scratch.save(components(scratch, links.unionByName(more)))
 
     rooted = scratch.save(described.select("doc_id", "k", "n", "node").join(parts, "node", "left").select("doc_id", "k", "n", F.coalesce("root", "node").alias("root")))
     smallest = scratch.save(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")))
