@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
@@ -182,14 +184,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
         if words_held >= block_words:
             blocks.append(held)
             held, words_held = [], 0
-    index = [spark.sparkContext.broadcast(Automaton(b, window)) for b in [*blocks, held] if b]
+    index = [spark.sparkContext.broadcast(cloudpickle.dumps(Automaton(b, window))) for b in [*blocks, held] if b]
     names = spark.sparkContext.broadcast(named)
     added = StructType.fromDDL("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", clean_text string, rejected boolean" * clean)
     kept = [c for c in docs.columns if c not in added.names]
     source = docs.select(*[f"`{c}`" for c in kept])
 
     def over(batches):
-        automata, named = [b.value for b in index], names.value
+        automata, named = [pickle.loads(b.value) for b in index], names.value
         for batch in batches:
             for part in chunks(batch, "text"):
                 row_word, cover, found, starts, ends, body, at = scan(part.column("text"), automata)
