@@ -13,6 +13,7 @@ from .pii import find_pii
 from .repeats import remove_repeats
 from .secrets import scan_secrets
 from .sharding import shard_documents
+from .sql import ORACLE_SQL  # noqa: F401  read with QUERIES
 from .toxicity import score_toxicity
 from .urlfilter import RULES, filter_urls, rule_table
 
@@ -63,5 +64,3 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_jaccard, op3_mix_sources, op4_pii, op5_embeddings, op6_url_filters, op7_secrets, op8_toxicity, op9_shards, op10_decontaminate)}
-
-ORACLE_SQL: dict[str, str] = {}
