@@ -22,8 +22,12 @@ BLOCK = 256
 LEAF = 16
 #: A list of so many entries is compared leaf by leaf at once.
 SHORT = 24
+#: Shorter lists have at most three pairs an entry: they take part in the first and the last pass only.
+MIDDLE = 8
 #: Spanning forests taken from each tree.
 FORESTS = 3
+#: Links estimated to fall short of the limit by no more than this are tried in forests, too.
+MARGIN = 0.02
 #: Listed prefix tokens by which the first pass, which only seeks the likeliest links, brings documents together.
 FIRST = 8
 
@@ -179,18 +183,18 @@ def overlap_bound(a: Entries, i: np.ndarray, b: Entries, j: np.ndarray) -> np.nd
 
 
 def likeness(a: Entries, i: np.ndarray, b: Entries, j: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity: the union's size by linear counting over the joint bitmap."""
+    """Estimated Jaccard similarity: tokens that one side has alone, by the bits that it has alone, as some fall on the other's."""
     out = np.zeros(len(i))
     width = np.minimum(a.width[i], b.width[j])
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
         for part in np.array_split(at, max(1, len(at) * int(w) >> 24)):
-            filled = np.bitwise_count(a.rows(i[part], int(w)) | b.rows(j[part], int(w))).sum(axis=1, dtype=np.int64)
-            bits = 8.0 * w
-            union = -bits * np.log(np.maximum(1 - filled / bits, 0.5 / bits))
-            both = a.n[i[part]] + b.n[j[part]]
-            union = np.clip(union, np.maximum(a.n[i[part]], b.n[j[part]]), both)
-            out[part] = (both - union) / union
+            x, y = a.rows(i[part], int(w)), b.rows(j[part], int(w))
+            n, m, bits = a.n[i[part]], b.n[j[part]], 8.0 * w
+            count = lambda z: np.bitwise_count(z).sum(axis=1, dtype=np.int64)
+            alone, other = count(x & ~y) / (1 - np.minimum(count(y), bits - 1) / bits), count(y & ~x) / (1 - np.minimum(count(x), bits - 1) / bits)
+            both = np.clip((n - alone + m - other) / 2, 0, np.minimum(n, m))
+            out[part] = both / (n + m - both)
     return out
 
 
@@ -247,12 +251,12 @@ def survivors(a: Entries, i: np.ndarray, b: Entries, j: np.ndarray) -> tuple[np.
     return i[ok], j[ok]
 
 
-def forest(a: Entries, i: np.ndarray, b: Entries, j: np.ndarray) -> np.ndarray:
-    """Places of the pairs of spanning forests of the parts, the likeliest links first, of those likely to hold. They share
-    no pair, so that parts stay together when some links don't hold."""
-    alike = likeness(a, i, b, j)
+def forest(p: np.ndarray, q: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """Places of the pairs of spanning forests of the parts p and q, the likeliest links first, of those likely to hold. They
+    share no pair, so that parts stay together when some links don't hold."""
     order = np.argsort(-alike, kind="stable")
-    order = order[alike[order] >= PERCENT / 100]
+    order = order[alike[order] >= PERCENT / 100 - MARGIN]
+    lefts, rights = p.tolist(), q.tolist()
     kept: list[int] = []
     for _ in range(FORESTS):
         above: dict[int, int] = {}
@@ -265,9 +269,9 @@ def forest(a: Entries, i: np.ndarray, b: Entries, j: np.ndarray) -> np.ndarray:
 
         left = []
         for k in order.tolist():
-            p, q = root(int(a.part[i[k]])), root(int(b.part[j[k]]))
-            if p != q:
-                above[p] = q
+            x, y = root(lefts[k]), root(rights[k])
+            if x != y:
+                above[x] = y
                 kept.append(k)
             else:
                 left.append(k)
@@ -282,7 +286,7 @@ def compare(batches, only_forest: bool):
         two = batch.column("right").is_valid().to_numpy(zero_copy_only=False)
         b = Entries(batch.column("right")) if two.any() else None
         size = np.diff(a.at)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[Entries, np.ndarray, Entries, np.ndarray]] = []
         short = np.flatnonzero(~two & (size <= SHORT))
         i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n in np.unique(size[short]):
@@ -291,17 +295,22 @@ def compare(batches, only_forest: bool):
             i.append((at + p).ravel())
             j.append((at + q).ravel())
         x, y = survivors(a, np.concatenate(i), a, np.concatenate(j))
-        out.append((a.node[x], a.node[y]))
+        found.append((a, x, a, y))
         for r in np.flatnonzero(two | (size > SHORT)):
             left = np.arange(a.at[r], a.at[r + 1])
             other, right = (b, np.arange(b.at[r], b.at[r + 1])) if two[r] else (a, left)
-            if not len(left) or not len(right):
-                continue
-            x, y = meet_trees(a, left, other, right, not two[r])
-            if only_forest and len(x):
-                k = forest(a, x, other, y)
-                x, y = x[k], y[k]
-            out.append((a.node[x], other.node[y]))
+            if len(left) and len(right):
+                x, y = meet_trees(a, left, other, right, not two[r])
+                if only_forest and len(x):
+                    keep = forest(a.part[x], other.part[y], likeness(a, x, other, y))
+                    x, y = x[keep], y[keep]
+                found.append((a, x, other, y))
+        out = [(e.node[x], f.node[y]) for e, x, f, y in found]
+        if only_forest:
+            # Lists share documents, so one more over all of them lists each part a few times.
+            sides = [np.concatenate(w) for w in ([e.part[x] for e, x, _, _ in found], [f.part[y] for _, _, f, y in found], [likeness(e, x, f, y) for e, x, f, y in found])]
+            keep = forest(*sides)
+            out = [tuple(np.concatenate([o[k] for o in out])[keep] for k in range(2))]
         u, v = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
         pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["u", "v"])
@@ -324,28 +333,44 @@ def meet_trees(a: Entries, left: np.ndarray, b: Entries, right: np.ndarray, same
 # ---- the join --------------------------------------------------------------------------------------------------------
 
 
+def sized_components(scratch: Scratch, links: DataFrame) -> DataFrame:
+    """(node, root, size): components of the links and their numbers of nodes."""
+    parts = scratch.save(components(scratch, links))
+    sizes = parts.groupBy("root").agg(F.count("*").alias("size"))
+    return scratch.save(parts.join(sizes, "root").select("node", "root", "size"))
+
+
 def candidates(scratch: Scratch, lists: DataFrame, parts: DataFrame | None, bits: DataFrame, only_forest: bool) -> DataFrame:
-    """Pairs of nodes of different parts that some list's trees leave, once each."""
+    """Pairs of nodes of different parts that some list's trees leave, once each.
+
+    Without parts each node is its own, and only neighbouring blocks of a list meet. With parts, the largest of a list comes last in
+    it, and blocks wholly of one part don't meet: a list of one large part and few others takes work in proportion to its length."""
     rows = lists
     if parts is None:
-        rows = rows.withColumn("part", F.col("node"))
+        rows, order = rows.withColumn("part", F.col("node")), ["n", "node"]
     else:
-        rows = rows.join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
-        mixed = rows.groupBy("token").agg((F.min("part") != F.max("part")).alias("mixed")).where("mixed").select("token")
-        rows = rows.join(mixed, "token", "left_semi")
-    by_size = Window.partitionBy("token").orderBy("n", "node")
-    rows = scratch.save(rows.select("token", "node", "n", "pos", "part", F.floor((F.row_number().over(by_size) - 1) / BLOCK).alias("block")))
+        rows = rows.join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).withColumn("size", F.coalesce("size", F.lit(1)))
+        mixed = rows.groupBy("token").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.min("part").alias("least"), F.max("part").alias("greatest"))
+        rows = rows.join(mixed.where("least <> greatest").select("token", "main"), "token")
+        order = [F.col("part") == F.col("main"), "n", "node"]
+    placed = Window.partitionBy("token").orderBy(*order)
+    rows = scratch.save(rows.select("token", "node", "n", "pos", "part", F.floor((F.row_number().over(placed) - 1) / BLOCK).alias("block")))
 
     def packed(r: DataFrame) -> DataFrame:
         # Dealt by token first: partly built blocks would be several times as large to shuffle.
-        return r.join(bits, "node").repartition("token").groupBy("token", "block").agg(F.collect_list(F.struct("n", "pos", "node", "part", "bits")).alias("left"), F.min("n").alias("low"), F.max("n").alias("high"))
+        entry = F.struct("n", "pos", "node", "part", "bits")
+        ranges = [F.min("n").alias("low"), F.max("n").alias("high"), F.min("part").alias("least"), F.max("part").alias("greatest")]
+        return r.join(bits, "node").repartition("token").groupBy("token", "block").agg(F.collect_list(entry).alias("left"), *ranges)
 
     blocks = packed(rows)
-    alone = blocks.where(F.size("left") > 1).select("left", F.lit(None).cast(blocks.schema["left"].dataType).alias("right"))
+    alone = blocks.where("least <> greatest").select("left", F.lit(None).cast(blocks.schema["left"].dataType).alias("right"))
     several = rows.where("block > 0").select("token").distinct()
     long = packed(rows.join(several, "token", "left_semi"))
     a, b = long.alias("a"), long.alias("b")
-    meet = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.block") < F.col("b.block")) & (100 * F.col("a.high") >= PERCENT * F.col("b.low"))).select(F.col("a.left").alias("left"), F.col("b.left").alias("right"))
+    near = F.col("a.block") + 1 == F.col("b.block") if parts is None else F.col("a.block") < F.col("b.block")
+    sizes = (100 * F.col("a.high") >= PERCENT * F.col("b.low")) & (100 * F.col("b.high") >= PERCENT * F.col("a.low"))
+    differ = F.least("a.least", "b.least") != F.greatest("a.greatest", "b.greatest")
+    meet = a.join(b, (F.col("a.token") == F.col("b.token")) & near & sizes & differ).select(F.col("a.left").alias("left"), F.col("b.left").alias("right"))
     meet = meet.repartition(64)
     found = alone.unionByName(meet).mapInArrow(lambda batches: compare(batches, only_forest), "u long, v long")
     out = scratch.save(found.distinct())
@@ -356,6 +381,8 @@ def candidates(scratch: Scratch, lists: DataFrame, parts: DataFrame | None, bits
 def verify(scratch: Scratch, pairs: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of pairs(u, v) that link, by their whole texts. names(node, k): a text of each set, by key."""
     n = pairs.count()
+    if not n:
+        return pairs
     slots = max(8, n // 2000 + 1)
     slot = F.pmod(F.xxhash64("u"), F.lit(slots)).cast("int")
     placed = pairs.withColumn("slot", slot)
@@ -389,9 +416,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents link when 100 * |A & B| >= 80 * |A | B| for their sets of 5-word shingles, words lower-cased (A-Z).
     k is the hash of the text. Equal sets are one node. Nodes meet in the lists of their prefix tokens; each list is a
     signature tree of OR-combined bitmaps and size ranges, cut in blocks when it is long. A first pass over the lists of a
-    few tokens verifies the likeliest links of each tree (a spanning forest), so that large groups of copies
-    become one component early; the second verifies every pair of different components that pruning
-    leaves. No link between components is missed, and pairs within one are never listed.
+    few tokens verifies the likeliest links of each tree (a spanning forest), and a second does so between the components left in
+    long lists, so that large groups of copies become one component early; the third verifies every pair of
+    different components that pruning leaves and that wasn't verified before. No link between components is missed, and pairs within one are never listed.
 
     Null and empty texts, and texts without words, have an empty set and link with nothing; they are their own component. A
     null doc_id takes part, but component_id is the smallest id that isn't null. Repeated rows are in one component.
@@ -420,10 +447,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     names = described.where("node is not null").groupBy("node").agg(F.min("k").alias("k"))
 
     first = lists.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("pos"))).where(F.col("r") <= FIRST).drop("r")
-    links = verify(scratch, candidates(scratch, first, None, bits, True), names, docs)
+    tested = candidates(scratch, first, None, bits, True)
+    links = verify(scratch, tested, names, docs)
+    long = lists.groupBy("token").count().where(F.col("count") >= MIDDLE).select("token")
+    for some, only_forest in ((lists.join(long, "token", "left_semi"), True), (lists, False)):
+        pairs = candidates(scratch, some, sized_components(scratch, links), bits, only_forest)
+        pairs = scratch.save(pairs.join(tested, ["u", "v"], "left_anti"))
+        links = links.unionByName(verify(scratch, pairs, names, docs))
+        tested = tested.unionByName(pairs)
     parts = scratch.save(components(scratch, links))
-    more = verify(scratch, candidates(scratch, lists, parts, bits, False), names, docs)
-    parts = scratch.save(components(scratch, links.unionByName(more)))
 
     rooted = scratch.save(described.select("doc_id", "k", "n", "node").join(parts, "node", "left").select("doc_id", "k", "n", F.coalesce("root", "node").alias("root")))
     smallest = scratch.save(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")))
