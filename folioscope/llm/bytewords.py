@@ -61,7 +61,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def chunks(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def chunks(batch: pa.RecordBatch, column: str, limit: int = (1 << 20) - 1):
     """Slices of a batch with at most limit text bytes each, one row at least."""
     _, at = raw(batch.column(column))
     row = 0
