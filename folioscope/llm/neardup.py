@@ -423,9 +423,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null and empty texts, and texts without words, have an empty set and link with nothing; they are their own component. A
     null doc_id takes part, but component_id is the smallest id that isn't null. Repeated rows are in one component.
     An empty table gives none. Sets are told apart by 64-bit names and shingles by 64-bit hashes.
+
+    component_id doesn't name a component: those without any id have null, and those that share a smallest id its number.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
+    scratch = Scratch(docs.sparkSession, "neardup")
+    rooted = linked(scratch, docs)
+    smallest = scratch.save(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    return rooted.join(smallest, "root", "left").select("doc_id", "k", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def linked(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """(doc_id, k, n, root) of documents(doc_id, text, ...): root names the component; null where there are no words."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("k"))
     described = scratch.save(describe(docs, frequent_tokens(docs)))
     postings = described.where("prefix is not null").select("node", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -457,16 +465,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         tested = tested.unionByName(pairs)
     parts = scratch.save(components(scratch, links))
 
-    rooted = scratch.save(described.select("doc_id", "k", "n", "node").join(parts, "node", "left").select("doc_id", "k", "n", F.coalesce("root", "node").alias("root")))
-    smallest = scratch.save(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    return rooted.join(smallest, "root", "left").select("doc_id", "k", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return scratch.save(described.select("doc_id", "k", "n", "node").join(parts, "node", "left").select("doc_id", "k", "n", F.coalesce("root", "node").alias("root")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near-duplicates of a smaller id: one of each component, and those without words.
     Of repeated rows of one id and text one stays."""
-    found = near_duplicates(docs)
-    stay = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("s")).select(F.col("s.doc_id").alias("i"), F.col("s.k").alias("h"))
+    found = linked(Scratch(docs.sparkSession, "neardup"), docs)
+    stay = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("s")).select(F.col("s.doc_id").alias("i"), F.col("s.k").alias("h"))
     named = docs.withColumn("_k", F.xxhash64("text"))
     worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     kept = named.where(worded).join(stay, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("_k") == F.col("h")), "left_semi").dropDuplicates(["doc_id", "_k"])

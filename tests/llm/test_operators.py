@@ -91,6 +91,16 @@ def test_near_duplicates(spark, corpus):
     assert near_duplicates(empty(spark)).count() == 0
 
 
+def test_keep_one_of_each_component(spark):
+    """Texts that don't link stay, though component_id is null or the same for them."""
+    a, b, c, d = (prose(100) for _ in range(4))
+    rows = [(None, a), (None, a), (None, edited(a, 0.01)), (None, b), (7, c), (8, edited(c, 0.01)), (7, d), (9, edited(d, 0.01)), (None, ""), (None, None)]
+    kept = [(r.doc_id, r.text) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 6
+    assert {(None, b), (7, c), (7, d), (None, ""), (None, None)} < set(kept)
+    assert sum(r in kept for r in rows[1:3]) == 1
+
+
 def test_mixing(spark, corpus):
     docs = spark.createDataFrame(corpus, SCHEMA)
     got = mix_sources(docs).collect()
