@@ -20,16 +20,52 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Spans that the method adds: private key blocks, and tokens with an issuer's prefix.
-KEY = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+KEY = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY-----)")
 TOKEN = re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", re.ASCII)
+#: White space as it stands in a text or, escaped, in a quoted string.
+BLANK = r"(?:\s|\\[nrt])"
+BLANKS = re.compile(BLANK + "+")
+HEADERS = re.compile(rf"(?:{BLANK}*+[A-Za-z-]++:\x20[^\n\\]*+)*+")
+LINE = re.compile(BLANK + "*+([A-Za-z0-9+/]++={0,2}+)")
+LINE_END = re.compile(r"[\x20\t]*+(?:[\r\n]|\\[nr]|\Z)")
+#: Shorter runs of base64 characters are a line of a key only if nothing else is on theirs.
+LONG = 16
+
+
+def body_end(text: str, at: int, stop: int) -> int:
+    """Where a key's body without an END line ends: its lines of base64 are as wide as the first, but for the last."""
+    start, at, width = at, HEADERS.match(text, at, stop).end(), 0
+    while m := LINE.match(text, at, stop):
+        n = len(m[1])
+        if width and n > width or n < LONG and not LINE_END.match(text, m.end(), stop):
+            break
+        at, short, width = m.end(), n < width, n
+        if short:
+            break
+    return at if width else start
+
+
+def keys(text: str) -> list[tuple[Span, str]]:
+    """Private key blocks with their body, without white space. A block ends with its END line if that comes before the next
+    BEGIN line, else with its run of base64. A BEGIN line without a body is no key."""
+    out = []
+    for m in KEY.finditer(text):
+        stop = text.find("-----BEGIN ", m.end())
+        stop = stop if stop >= 0 else len(text)
+        last = f"-----END {m[1]}"
+        at = text.find(last, m.end(), stop)
+        end, to = (at, at + len(last)) if at >= 0 else [body_end(text, m.end(), stop)] * 2
+        if body := BLANKS.sub("", text[m.end() : end]):
+            out.append(((m.start(), to, "key"), body))
+    return out
 
 
 def find(text: str) -> list[tuple[Span, str]]:
     """Spans with their secret."""
     out = [((m.start(), m.end(), "assign"), m[1]) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
-    for kind, pattern in (("access", ACCESS), ("hex", HEX), ("key", KEY), ("token", TOKEN)):
-        out += [((m.start(), m.end(), kind), m[0] if kind != "key" else text[m.start() : m.end() + 200]) for m in pattern.finditer(text)]
-    return out
+    for kind, pattern in (("access", ACCESS), ("hex", HEX), ("token", TOKEN)):
+        out += [((m.start(), m.end(), kind), m[0]) for m in pattern.finditer(text)]
+    return out + keys(text)
 
 
 def row(text: str) -> tuple:
@@ -44,7 +80,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
 
     Candidate secrets' hashes are counted over the whole corpus by distinct owners and repositories. One that at least `owners`
     owners or `repositories` repositories have is a copied example; the others look live. n_live and n_copied count
-    a document's distinct candidates of either sort. The owner is the source, the repository the document, unless other columns are named.
+    a document's distinct candidates of either sort. A private key's secret is its whole body without white space, its span the block. The owner is the source, the repository the document, unless other columns are named.
 
     Counting goes by hash, owner and repository first, so a hash that a third of all rows have is spread by repository.
     Null and empty texts have no candidates; a null owner or repository isn't counted as one; repeated rows are

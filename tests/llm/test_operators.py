@@ -150,6 +150,34 @@ def test_secret_owners(spark):
     assert got == {(i, 0, 1) for i in range(5)} | {(9, 1, 0), (None, 0, 0), (8, 0, 0)}
 
 
+BODY = "".join(RNG.choice(list("ABCDwxyz0189+/"), 1600))
+
+
+def pem(body, kind="RSA ", gap="\n"):
+    return f"-----BEGIN {kind}PRIVATE KEY-----{gap}" + gap.join(body[i : i + 64] for i in range(0, len(body), 64)) + f"{gap}-----END {kind}PRIVATE KEY-----"
+
+
+def test_secret_keys():
+    found = lambda t: [(t[a:b], x) for (a, b, k), x in secrets.find(t) if k == "key"]
+    short, long = pem(BODY[:64], ""), pem(BODY)
+    assert found(f"a {short} b\n{long}\nc") == [(short, BODY[:64]), (long, BODY)]
+    for gap in ("\r\n", " ", "\\n", "\n    "):
+        assert found(f'x "{pem(BODY, gap=gap)}" y') == [(pem(BODY, gap=gap), BODY)]
+    cut = long[: long.index("-----END") - 30]
+    whole = "".join(cut.split("\n")[1:])
+    assert found(cut + "\n") == found(cut) == [(cut, whole)]
+    assert found(cut[: cut.rindex("\n")] + "\nThen the story goes on.")[0][0] == cut[: cut.rindex("\n")]
+    assert found(f"{cut}\n{short} {long}") == [(cut, whole), (short, BODY[:64]), (long, BODY)]
+    assert found("It opens with -----BEGIN PRIVATE KEY----- as a rule") == found("") == []
+
+
+def test_secret_key_owners(spark):
+    """Copies of a key are one secret whatever follows; keys that begin alike are several."""
+    rows = [(i, f"{pem(BODY[:64], '')}\n{prose(9)}", f"s{i}") for i in range(4)] + [(10 + i, pem(BODY[:400] + BODY[500 + 90 * i : 590 + 90 * i]), f"s{i}") for i in range(4)]
+    got = {(r.doc_id, r.n_live, r.n_copied) for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {(i, 0, 1) for i in range(4)} | {(10 + i, 1, 0) for i in range(4)}
+
+
 def test_pii_rows(spark, corpus):
     assert pii.find_pii(spark.createDataFrame(corpus, SCHEMA)).count() == len(corpus)
     assert pii.find_pii(empty(spark)).count() == 0
