@@ -1,8 +1,8 @@
-"""Removal of repeated byte strings: a sparse suffix array by prefix doubling over sampled positions.
+"""Removal of repeated byte strings by content-anchored fingerprints.
 
-Positions are sampled by content, so that copies of a string are sampled at the same places. Their suffixes are ranked by
-prefixes that double in length, and drop out once their rank is unique; what is left past the threshold is
-repeated. The edges of repeats are then resolved byte by byte.
+Positions are sampled by content, so that copies of a string are sampled at the same places. They are grouped by a hash of
+the bytes that follow, of half a core and then of a whole one, and drop out once theirs is unique. The edges of repeats
+are then resolved byte by byte. No ranks are sorted: it isn't a suffix array.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ SEED_BYTES = 8
 
 class Lengths:
     """Of a threshold: any repeated string of so many bytes has a sampled position among its first `gap`, after which
-    `core` bytes of the string follow; the ranks go by prefixes of `first`, twice `first` ... up to core."""
+    `core` bytes of the string follow; hashes are of half a core and of the next half."""
 
     def __init__(self, threshold: int):
         self.threshold, self.core = threshold, 1 << (threshold * 2 // 3).bit_length() - 1
@@ -135,7 +135,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, texts: bool = True) ->
     else, in the same document too. kept_text has undecodable remains of characters replaced.
 
     1. Positions sampled by content; those whose prefix of half the core is unique drop out, then those whose pair
-       of that rank and the next half's is. 2. Where all surroundings of a core are one, every string around it is repeated.
+       of that hash and the next half's is. 2. Where all surroundings of a core are one, every string around it is repeated.
     3. Where they differ, those seen twice are repeated; the others are compared at each distance with all
        surroundings of their core. 4. Intervals go back to their documents.
 
@@ -154,7 +154,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, texts: bool = True) ->
                 yield pa.RecordBatch.from_arrays([part.column("k_id").take(pa.array(row)), part.column("k_text").take(pa.array(row)), pa.array(offset, pa.int32()), long(half), long(other), long(around)], names=["k_id", "k_text", "at", "half", "other", "around"])
 
     found = scratch.save(keyed.select("k_id", "k_text", "text").mapInArrow(mark, "k_id long, k_text long, at int, half long, other long, around long"))
-    # Prefix doubling: a rank that one position has drops it; the others are ranked by the pair with the next half's.
+    # A hash that one position has drops it; the others are told apart by the pair with the next half's.
     half = scratch.save(found.groupBy("half").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("half"))
     left = found.join(half, "half", "left_semi").withColumn("core", F.xxhash64("half", "other")).drop("half", "other")
     left = scratch.save(left)
