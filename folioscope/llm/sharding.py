@@ -15,23 +15,23 @@ LARGE = 4096
 DIGITS = 3
 
 
-def fits(capacity: int, sums: list[int], shards: int) -> list[int] | None:
-    """Greedy check: knots at which to cut so that no shard exceeds capacity, if shards are enough. sums: running
+def fill(capacity: int, sums: list[int], shards: int) -> tuple[list[int], bool]:
+    """Greedy check: knots at which to cut so that no shard exceeds capacity, and whether shards are enough. sums: running
     sums at the knots, from 0."""
     cuts, at = [], 0
     for _ in range(shards):
         at = bisect_right(sums, sums[at] + capacity, at) - 1
         cuts.append(at)
         if at == len(sums) - 1:
-            return cuts
-    return None
+            return cuts, True
+    return cuts, False
 
 
 def smallest_capacity(sums: list[int], shards: int) -> int:
     low, high = max(-(-sums[-1] // shards), max((b - a for a, b in zip(sums, sums[1:])), default=0)), sums[-1]
     while low < high:
         mid = (low + high) // 2
-        if fits(mid, sums, shards):
+        if fill(mid, sums, shards)[1]:
             high = mid
         else:
             low = mid + 1
@@ -48,7 +48,8 @@ def place_cuts(groups: DataFrame, shards: int) -> tuple[dict[str, int], list[str
     groups(digest, bytes) in the order: large ones by falling size, then all others by digest. The running sums at a
     set of knots are known exactly; a knot interval that holds a cut is opened by further hex digits until it
     is one group. In each pass the binary search and its greedy check run over the knots known so far, an unopened
-    interval counting as one atomic group; the search ends when the intervals next to all cuts are single groups.
+    interval counting as one atomic group; the search ends when the intervals next to all cuts are single groups, and so
+    are those next to the cuts of the check that fails at one byte less: it then fails over all groups, too.
     """
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     if not total:
@@ -67,8 +68,10 @@ def place_cuts(groups: DataFrame, shards: int) -> tuple[dict[str, int], list[str
         sums = [0]
         for b in [b for b, _ in large] + [knots[k][0] for k in keys]:
             sums.append(sums[-1] + b)
-        cuts = fits(smallest_capacity(sums, shards), sums, shards)
-        near = {keys[c + d - len(large)] for c in cuts for d in (-1, 0) if 0 <= c + d - len(large) < len(keys)}
+        capacity = smallest_capacity(sums, shards)
+        cuts, _ = fill(capacity, sums, shards)
+        less = fill(capacity - 1, sums, shards)[0] if capacity * shards >= sums[-1] + shards else []
+        near = {keys[c + d - len(large)] for c in cuts + less for d in (-1, 0) if 0 <= c + d - len(large) < len(keys)}
         coarse = [k for k in near if knots[k][1] > 1]
         if not coarse:
             break

@@ -15,7 +15,7 @@ from folioscope.llm.mixing import mix_sources
 from folioscope.llm.neardup import keep_one, near_duplicates
 from folioscope.llm.repeats import remove_repeats
 from folioscope.llm.secrets import scan_secrets
-from folioscope.llm.sharding import shard_documents
+from folioscope.llm.sharding import LARGE, place_cuts, shard_documents
 from folioscope.llm.toxicity import score_toxicity
 from folioscope.llm.urlfilter import RULES, filter_urls, rule_table
 
@@ -248,6 +248,27 @@ def test_shards(spark, corpus):
     assert shard_documents(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_shards_least_capacity(spark, seed):
+    """The largest shard can't be a byte smaller in the order of groups."""
+    sizes = (np.random.default_rng(seed).pareto(1.2, 60_000) * 100).astype(int) + 1
+    groups = [(hashlib.sha256(f"{seed} {i}".encode()).hexdigest(), int(b)) for i, b in enumerate(sizes)]
+    total = sum(b for _, b in groups)
+    order = sorted(groups, key=lambda g: (0, -g[1], [-ord(c) for c in g[0]]) if g[1] * LARGE >= total else (1, g[0]))
+    of_large, starts = place_cuts(spark.createDataFrame(groups, "digest string, bytes long"), 16)
+    shards = [of_large.get(d, sum(d >= s for s in starts)) for d, _ in order]
+    assert shards == sorted(shards) and shards[-1] < 16
+
+    def enough(capacity):
+        n, used = 1, 0
+        for _, b in order:
+            n, used = (n + 1, b) if used + b > capacity else (n, used + b)
+        return n <= 16 and max(b for _, b in order) <= capacity
+
+    largest = int(np.bincount(shards, [b for _, b in order]).max())
+    assert enough(largest) and not enough(largest - 1)
+
+
 def test_decontamination(spark):
     items = [(1, prose(30)), (2, "Five short words are here"), (10, "alpha"), (None, prose(12)), (3, None), (4, "..."), (5, prose(12))]
     texts = [prose(20) + " " + items[0][1].upper() + " " + prose(20), "so five, short; words are HERE!", "alpha beta", " ".join(items[0][1].split()[5:14]), " ".join(items[0][1].split()[5:15]), items[3][1], None, "", items[4][1] or "x", prose(500)]
