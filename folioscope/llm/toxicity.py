@@ -112,8 +112,8 @@ def held_out(name: str):
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score_batch(column: pa.Array, table: np.ndarray, bias: float) -> tuple[np.ndarray, list[list[int]]]:
-    """Scores, and for each row the byte bounds of its most toxic sentence."""
+def score_batch(column: pa.Array, table: np.ndarray, bias: float) -> tuple[np.ndarray, list[list[list[int]]]]:
+    """Scores, and for each row the byte bounds of its toxic sentences."""
     body, at = raw(column)
     f, first, row_first, starts, ends = sentences(body, at)
     closing = np.append(first, len(f))
@@ -122,8 +122,10 @@ def score_batch(column: pa.Array, table: np.ndarray, bias: float) -> tuple[np.nd
     worst = []
     for i in range(len(at) - 1):
         a, b = row_first[i], row_first[i + 1]
-        k = a + int(np.argmax(z[a:b])) if b > a else -1
-        worst.append([int(starts[first[k]] - at[i]), int(ends[closing[k + 1] - 1] - at[i])] if k >= 0 and z[k] > 0 else [])
+        found = a + np.flatnonzero(z[a:b] > 0)
+        if not len(found) and score[i] >= 0.5:
+            found = [a + int(np.argmax(z[a:b]))]
+        worst.append([[int(starts[first[k]] - at[i]), int(ends[closing[k + 1] - 1] - at[i])] for k in found])
     return np.clip(score, 0.0, 1.0), worst
 
 
@@ -131,8 +133,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 6000) -> Data
     """Adds held_out, score, predicted and worst to documents(doc_id, text, ...), every whole text.
 
     The model is fitted on a bounded sample, `most` labelled documents (6,000 unless said otherwise), on the driver;
-    it is a table of fixed size. worst: byte start and end of the sentence likeliest to be toxic, if that is over
-    a half by itself; else empty. Labels, language, source and id are no inputs of a score.
+    it is a table of fixed size. worst: byte start and end of each sentence that is over a half by itself; if
+    there is none, of the likeliest one where the document is predicted toxic, else empty. Labels, language, source and id are no inputs of a score.
 
     Null and empty texts score 0. A null id isn't held out. Without labels of both sorts the score is constant.
     Repeated rows each get the same score; an empty table gives none; input columns with added names are replaced.
@@ -149,9 +151,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 6000) -> Data
             for part in chunks(batch, "text"):
                 score, worst = score_batch(part.column("text"), table, bias)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(worst, pa.list_(pa.int32()))], names=[*kept, *added]
+                    [*part.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(worst, pa.list_(pa.list_(pa.int32())))], names=[*kept, *added]
                 )
 
     from pyspark.sql.types import StructType
 
-    return source.mapInArrow(over, StructType(source.schema.fields + StructType.fromDDL("score double, predicted int, worst array<int>").fields))
+    return source.mapInArrow(over, StructType(source.schema.fields + StructType.fromDDL("score double, predicted int, worst array<array<int>>").fields))

@@ -6,9 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioscope.llm import pii, secrets
+from folioscope.llm.bytewords import raw
 from folioscope.llm.decontaminate import decontaminate
 from folioscope.llm.embeddings import link_embeddings
 from folioscope.llm.mixing import mix_sources
@@ -16,7 +18,7 @@ from folioscope.llm.neardup import keep_one, near_duplicates
 from folioscope.llm.repeats import remove_repeats
 from folioscope.llm.secrets import scan_secrets
 from folioscope.llm.sharding import LARGE, place_cuts, shard_documents
-from folioscope.llm.toxicity import score_toxicity
+from folioscope.llm.toxicity import BITS, score_batch, score_toxicity, sentences
 from folioscope.llm.urlfilter import RULES, filter_urls, rule_table
 
 RNG = np.random.default_rng(5)
@@ -269,6 +271,19 @@ def test_shards_least_capacity(spark, seed):
     assert enough(largest) and not enough(largest - 1)
 
 
+def test_toxic_sentences():
+    """Each sentence over a half is located, or the likeliest one if only several together make the document toxic."""
+    table = np.zeros(1 << BITS, np.float32)
+    for word, weight in (("vile", 6.0), ("mean", 3.5)):
+        table[sentences(*raw(pa.array([word], pa.large_string())))[0][0]] = weight / 4
+    texts = ["so vile. fine here! mean too? vile vile", "mean a. mean b. é mean c", "mean a", "fine", "", None]
+    score, worst = score_batch(pa.array(texts, pa.large_string()), table, -4.0)
+    assert (score >= 0.5).tolist() == [True, True, False, False, False, False]
+    cut = [[(t or "").encode()[a:b].decode() for a, b in w] for t, w in zip(texts, worst)]
+    assert cut[0] == ["so vile", "vile vile"] and len(cut[1]) == 1 and "mean" in cut[1][0]
+    assert cut[2:] == [[], [], [], []]
+
+
 def test_decontamination(spark):
     items = [(1, prose(30)), (2, "Five short words are here"), (10, "alpha"), (None, prose(12)), (3, None), (4, "..."), (5, prose(12))]
     texts = [prose(20) + " " + items[0][1].upper() + " " + prose(20), "so five, short; words are HERE!", "alpha beta", " ".join(items[0][1].split()[5:14]), " ".join(items[0][1].split()[5:15]), items[3][1], None, "", items[4][1] or "x", prose(500)]
