@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from folioscope.llm import pii, secrets
+from folioscope.llm import pii, repeats, secrets
 from folioscope.llm.bytewords import raw
 from folioscope.llm.decontaminate import decontaminate
 from folioscope.llm.embeddings import link_embeddings
@@ -49,19 +49,38 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_repeats(spark, corpus):
-    docs = spark.createDataFrame(corpus, SCHEMA)
-    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs).collect()), key=repr)
-    texts = [(r[0], (r[1] or "").encode()) for r in corpus]
-    seen = Counter(t[i : i + 400] for _, t in texts for i in range(len(t) - 399))
-    want = []
-    for doc_id, t in texts:
+def covered(texts, size, told):
+    """Bytes of each text in strings of the size that the test of their places tells."""
+    seen = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - size + 1):
+            seen.setdefault(t[k : k + size], []).append(i)
+    out = []
+    for t in texts:
         gone = np.zeros(len(t), bool)
-        for i in range(len(t) - 399):
-            if seen[t[i : i + 400]] > 1:
-                gone[i : i + 400] = True
-        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        want.append((doc_id, len(t), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest()))
+        for k in range(len(t) - size + 1):
+            if told(seen[t[k : k + size]]):
+                gone[k : k + size] = True
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("block", [repeats.BLOCK, 3])
+def test_repeats(spark, corpus, monkeypatch, block):
+    """All columns, also where cores' surroundings are cut into blocks of three."""
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    shared = [prose(55), prose(80), prose(45)]
+    more = [(100 + i, " ".join([prose(12), shared[i % 3], prose(9 + i), *[shared[1]] * (i % 5 == 0)]), *[None] * 7) for i in range(14)]
+    corpus = [*corpus, *more, (200, prose(60) + "." + prose(5), *[None] * 7)]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages) for r in remove_repeats(spark.createDataFrame(corpus, SCHEMA)).collect()), key=repr)
+    texts = [(r[1] or "").encode() for r in corpus]
+    names = [(r[0], t) for r, t in zip(corpus, texts)]
+    runs = lambda gone: [(int(a), int(b)) for a, b in zip(np.flatnonzero(np.diff(np.pad(gone.astype(int), 1)) == 1), np.flatnonzero(np.diff(np.pad(gone.astype(int), 1)) == -1))]
+    want = []
+    for row, t, gone, short in zip(corpus, texts, covered(texts, 400, lambda x: len(x) > 1), covered(texts, 256, lambda x: len({names[i] for i in x}) > 1)):
+        passages = sum(len(re.findall(rb"[^\x20\x09-\x0D]+", t[a:b])) > 50 for a, b in runs(short))
+        want.append((row[0], len(t), int(gone.sum()), len(runs(gone)), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest(), passages))
+    assert sum(w[-1] > 0 for w in want) > 12
     assert got == sorted(want, key=repr)
     assert remove_repeats(empty(spark)).count() == 0
 
