@@ -18,8 +18,12 @@ from .common import Scratch, row_key
 VALUES = byte_values(53, fold=False)
 #: Bytes of a string whose hash decides which positions are sampled.
 SEED_BYTES = 8
+#: The kind of a span whose strings of both thresholds are repeated; those of one have kind 0 or 1.
+BOTH = 2
 #: Surroundings of a core that one task compares; a core with more is cut into blocks that meet by their strings' names.
-BLOCK = 4096
+BLOCK = 16_384
+#: Bytes before and after a core of which names are counted over all blocks, to leave out the distances at which an entry is alone.
+CHECKS = (4, 8, 16, 32, 64, 128, 256)
 
 
 class Lengths:
@@ -117,7 +121,7 @@ def settle(table: pa.Table, size: Lengths) -> pa.Table:
     A string of the threshold (kind 0) is repeated if it is seen twice; one of the least length (kind 1) if other documents
     have it. A span has first and last distances low, high. A name has kind 2 or 3, and the distance as low."""
     n, gap = table.num_rows, size.gap
-    core, seen, first, last, blocks = (table.column(c).to_numpy() for c in ("rank", "seen", "first", "last", "blocks"))
+    core, seen, first, last, blocks, reach_left, reach_right = (table.column(c).to_numpy() for c in ("rank", "seen", "first", "last", "blocks", "reach_left", "reach_right"))
     before, b_at = raw(table.column("before"))
     after, a_at = raw(table.column("after"))
     left, have_left = grown(before, b_at, gap - 1, True)
@@ -130,7 +134,7 @@ def settle(table: pa.Table, size: Lengths) -> pa.Table:
         shared = np.zeros((n, gap), bool)
         for k in range(gap):
             rest = length - size.core - k
-            can = np.flatnonzero((have_left >= k) & (have_right >= rest)) if rest >= 0 else np.zeros(0, np.int64)
+            can = np.flatnonzero((have_left >= k) & (have_right >= rest) & (reach_left > k) & (reach_right > rest)) if rest >= 0 else np.zeros(0, np.int64)
             if not len(can):
                 continue
             name = mix(core[can].view(U64) + mix(left[can, k] + mix(right[can, rest])))
@@ -163,6 +167,21 @@ def settle(table: pa.Table, size: Lengths) -> pa.Table:
     return pa.table(named | {c: pa.array(v.astype(np.int64)) for c, v in zip(("kind", "low", "high", "name", "count", "first", "last"), made)})
 
 
+def check_names(body: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray, core: np.ndarray, blocks: np.ndarray, length: int) -> pa.Array:
+    """Of entries whose core is in blocks, the names of the bytes before and after the core at each check; null where there
+    are fewer, and for other entries."""
+    out, known = np.zeros((len(p), 2 * len(CHECKS)), np.int64), np.zeros((len(p), 2 * len(CHECKS)), bool)
+    hot = np.flatnonzero(blocks > 1)
+    if len(hot):
+        c = prefix(body, VALUES)
+        for i, n in enumerate(CHECKS):
+            for side, start, end in ((0, p - n, p), (len(CHECKS), p + length, p + length + n)):
+                ok = hot[(start[hot] >= low[hot]) & (end[hot] <= high[hot])]
+                out[ok, side + i] = mix(spans_hash(c, start[ok], end[ok]) + mix(core[ok].view(U64) + U64(side + i))).view(np.int64)
+                known[ok, side + i] = True
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * (2 * len(CHECKS))), pa.array(out.ravel(), mask=~known.ravel()))
+
+
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the union of half-open intervals."""
     if not len(start):
@@ -218,7 +237,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, texts: bool = True, pa
     groups = left.groupBy("rank", "around").agg(F.count(F.lit(1)).alias("seen"), F.min(F.struct("k_id", "k_text", "at")).alias("one"), F.min(doc).alias("first"), F.max(doc).alias("last"))
     groups = scratch.save(groups)
     # Surroundings seen twice: all strings around the position are repeated; in other documents if there are such.
-    twice = groups.where("seen > 1").select("rank", "around", F.explode(F.when(F.col("first") != F.col("last"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("kind"))
+    twice = groups.where("seen > 1").select("rank", "around", F.when(F.col("first") != F.col("last"), BOTH).otherwise(0).alias("kind"))
     spans = ["k_id", "k_text", "kind", "at", "low", "high"]
     whole = left.join(twice, ["rank", "around"]).select("k_id", "k_text", "kind", "at", F.lit(0).alias("low"), F.lit(size.gap - 1).alias("high"))
     # Surroundings that differ: one of each goes back to its text for its bytes.
@@ -238,9 +257,25 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, texts: bool = True, pa
                 low, high = np.maximum(at[row], p - size.gap + 1), np.minimum(at[row + 1], p + size.threshold)
                 take = lambda a, b: pa.array([body[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist())], pa.binary())
                 rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("k_id").take(rows), part.column("k_text").take(rows), *[marks.field(c) for c in mark_columns], take(low, p), take(p + size.core, high)], names=["k_id", "k_text", *mark_columns, "before", "after"])
-
-    around = needed.join(places, ["k_id", "k_text"]).select("k_id", "k_text", "text", "marks").mapInArrow(cut, "k_id long, k_text long, rank long, around long, seen long, first long, last long, blocks int, at int, before binary, after binary")
+                checks = check_names(body, p, low, high, marks.field("rank").to_numpy(), marks.field("blocks").to_numpy(), size.core)
+                yield pa.RecordBatch.from_arrays([part.column("k_id").take(rows), part.column("k_text").take(rows), *[marks.field(c) for c in mark_columns], take(low, p), take(p + size.core, high), checks], names=["k_id", "k_text", *mark_columns, "before", "after", "checks"])
+
+    around = needed.join(places, ["k_id", "k_text"]).select("k_id", "k_text", "text", "marks").mapInArrow(cut, "k_id long, k_text long, rank long, around long, seen long, first long, last long, blocks int, at int, before binary, after binary, checks array<long>")
+    far = F.lit(threshold + 1)
+    alone = around.where("blocks = 1").withColumns({"reach_left": far, "reach_right": far})
+    if not unsure.where("blocks > 1").isEmpty():
+        hot = scratch.save(around.where("blocks > 1"))
+        named = hot.select("rank", "around", F.posexplode("checks").alias("i", "name")).where("name is not null")
+        common = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+        # How far an entry's bytes are another's lies between the last check that is common and the next.
+        beyond = [*CHECKS[1:], threshold + 1]
+        after_check = F.element_at(F.array(*map(F.lit, beyond * 2)), F.col("i") + 1)
+        reach = named.join(common, "name").groupBy("rank", "around").agg(F.max(F.when(F.col("i") < len(CHECKS), after_check)).alias("reach_left"), F.max(F.when(F.col("i") >= len(CHECKS), after_check)).alias("reach_right"))
+        reached = hot.join(reach, ["rank", "around"], "left").withColumns({c: F.coalesce(c, F.lit(CHECKS[0])) for c in ("reach_left", "reach_right")})
+        around = alone.unionByName(reached)
+    else:
+        around = alone
+    around = around.drop("checks")
     slots = max(8, unsure.count() // 10_000 + 1)
     # A core's entries share a slot, or each of its blocks' do.
     block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("around"), F.col("blocks"))).otherwise(0)
@@ -275,7 +310,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, texts: bool = True, pa
                 text = body[rows[i] : rows[i + 1]]
                 runs = []
                 for k, length in enumerate((threshold, size.least)):
-                    here = np.arange(cuts[i], cuts[i + 1])[kind[cuts[i] : cuts[i + 1]] == k]
+                    here = np.arange(cuts[i], cuts[i + 1])[np.isin(kind[cuts[i] : cuts[i + 1]], (k, BOTH))]
                     start, end = np.maximum(0, at[here] - high[here]), np.minimum(len(text), at[here] - low[here] + length)
                     ok = end - start >= length
                     runs.append(merged(start[ok], end[ok]))

@@ -65,9 +65,9 @@ def covered(texts, size, told):
     return out
 
 
-@pytest.mark.parametrize("block", [repeats.BLOCK, 3])
+@pytest.mark.parametrize("block", [repeats.BLOCK, 5])
 def test_repeats(spark, corpus, monkeypatch, block):
-    """All columns, also where cores' surroundings are cut into blocks of three."""
+    """All columns, also where cores' surroundings are cut into blocks of five."""
     monkeypatch.setattr(repeats, "BLOCK", block)
     shared = [prose(55), prose(80), prose(45)]
     more = [(100 + i, " ".join([prose(12), shared[i % 3], prose(9 + i), *[shared[1]] * (i % 5 == 0)]), *[None] * 7) for i in range(14)]
