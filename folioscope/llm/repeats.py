@@ -22,8 +22,6 @@ SEED_BYTES = 8
 BOTH = 2
 #: Surroundings of a core that one task compares; a core with more is cut into blocks that meet by their strings' names.
 BLOCK = 16_384
-#: Bytes before and after a core of which names are counted over all blocks, to leave out the distances at which an entry is alone.
-CHECKS = (4, 8, 16, 32, 64, 128, 256)
 
 
 class Lengths:
@@ -102,14 +100,14 @@ def reranked(scratch: Scratch, rows: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def grown(data: np.ndarray, at: np.ndarray, most: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
+def grown(data: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the first 0, 1 ... most bytes from the core outwards, and how many there are."""
     have = np.diff(at)
     h, x = np.zeros((len(have), most + 1), U64), np.zeros(len(have), U64)
     for k in range(most):
         there = have > k
         x = x * U64(0x100000001B3)
-        x[there] += VALUES[data[(at[1:] - 1 - k if backwards else at[:-1] + k)[there]]]
+        x[there] += VALUES[data[(at[:-1] + k)[there]]]
         h[:, k + 1] = x
     return h, have
 
@@ -124,8 +122,8 @@ def settle(table: pa.Table, size: Lengths) -> pa.Table:
     core, seen, first, last, blocks, reach_left, reach_right = (table.column(c).to_numpy() for c in ("rank", "seen", "first", "last", "blocks", "reach_left", "reach_right"))
     before, b_at = raw(table.column("before"))
     after, a_at = raw(table.column("after"))
-    left, have_left = grown(before, b_at, gap - 1, True)
-    right, have_right = grown(after, a_at, size.threshold - size.core, False)
+    left, have_left = grown(before, b_at, gap - 1)
+    right, have_right = grown(after, a_at, size.threshold - size.core)
     cut, sums = blocks > 1, []
     out: list[list[np.ndarray]] = [[] for _ in range(8)]  # entry, kind, low, high, name, count, first, last
     for kind, length in enumerate((size.threshold, size.least)):
@@ -167,19 +165,32 @@ def settle(table: pa.Table, size: Lengths) -> pa.Table:
     return pa.table(named | {c: pa.array(v.astype(np.int64)) for c, v in zip(("kind", "low", "high", "name", "count", "first", "last"), made)})
 
 
-def check_names(body: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray, core: np.ndarray, blocks: np.ndarray, length: int) -> pa.Array:
-    """Of entries whose core is in blocks, the names of the bytes before and after the core at each check; null where there
-    are fewer, and for other entries."""
-    out, known = np.zeros((len(p), 2 * len(CHECKS)), np.int64), np.zeros((len(p), 2 * len(CHECKS)), bool)
-    hot = np.flatnonzero(blocks > 1)
-    if len(hot):
-        c = prefix(body, VALUES)
-        for i, n in enumerate(CHECKS):
-            for side, start, end in ((0, p - n, p), (len(CHECKS), p + length, p + length + n)):
-                ok = hot[(start[hot] >= low[hot]) & (end[hot] <= high[hot])]
-                out[ok, side + i] = mix(spans_hash(c, start[ok], end[ok]) + mix(core[ok].view(U64) + U64(side + i))).view(np.int64)
-                known[ok, side + i] = True
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * (2 * len(CHECKS))), pa.array(out.ravel(), mask=~known.ravel()))
+def common_bytes(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """(rank, around, reach) of entries(rank, around, bytes in a column): they may share fewer than reach bytes with another
+    entry of their rank, and no more. In sorted order a neighbour shares most; at a partition's ends it isn't known."""
+
+    def over(batches):
+        last, opened = None, False  # the row before, and whether it has a row before it
+        for batch in batches:
+            if last is not None:
+                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            data, at = raw(batch.column(column))
+            rank, have = batch.column("rank").to_numpy(), np.diff(at)
+            place = np.minimum(at[:-1][:, None] + np.arange(most), max(len(data) - 1, 0))
+            held = np.where(np.arange(most) < have[:, None], data[place].astype(np.int16) if len(data) else -1, -1)
+            same = (held[1:] == held[:-1]) & (held[1:] >= 0) & (rank[1:] == rank[:-1])[:, None]
+            shared = np.where(same.all(axis=1), most, np.argmin(same, axis=1)) if most else np.zeros(len(same), np.int64)
+            before = np.concatenate([[earlier if opened else most], shared])
+            yield told(batch.slice(0, len(rank) - 1), np.maximum(before[:-1], shared))
+            last, earlier, opened = batch.slice(len(rank) - 1), before[-1], True
+        if last is not None:
+            yield told(last, np.array([most]))
+
+    def told(batch, shared):
+        return pa.RecordBatch.from_arrays([batch.column("rank"), batch.column("around"), pa.array(shared + 1, pa.int64())], names=["rank", "around", "reach"])
+
+    ordered = ["rank", column, "around"]
+    return rows.select(*ordered).repartitionByRange(*ordered).sortWithinPartitions(*ordered).mapInArrow(over, "rank long, around long, reach long")
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +222,8 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, texts: bool = True, pa
     1. Positions sampled by content are named by their first bytes. 2. Prefix doubling: pairs of rank and name at the offset
     are sorted and ranked anew, unique ones drop out, the offset doubles, up to the bytes that follow a sampled position in any repeat.
     3. Where all bytes around equal ranks are equal, every string around them is repeated. 4. Where they differ, strings
-    are compared at each distance; a rank with many surroundings is compared in blocks, and these by names. 5. Intervals go back to their documents.
+    are compared at each distance; a rank with many surroundings is compared in blocks, and these by the names of strings as far as
+    the sorted surroundings next to one share its bytes. 5. Intervals go back to their documents.
 
     Rows are told apart by content, so repeated rows are documents of their own that repeat each other; for n_passages they
     are one. Null texts are empty; texts under the threshold keep all. Null ids are values. An empty table gives none.
@@ -255,32 +267,23 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, texts: bool = True, pa
                 row = np.repeat(np.arange(part.num_rows), part.column("marks").value_lengths().to_numpy())
                 p = marks.field("at").to_numpy().astype(np.int64) + at[row]
                 low, high = np.maximum(at[row], p - size.gap + 1), np.minimum(at[row + 1], p + size.threshold)
-                take = lambda a, b: pa.array([body[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist())], pa.binary())
+                take = lambda a, b, way: pa.array([body[x:y][::way].tobytes() for x, y in zip(a.tolist(), b.tolist())], pa.binary())
                 rows = pa.array(row)
-                checks = check_names(body, p, low, high, marks.field("rank").to_numpy(), marks.field("blocks").to_numpy(), size.core)
-                yield pa.RecordBatch.from_arrays([part.column("k_id").take(rows), part.column("k_text").take(rows), *[marks.field(c) for c in mark_columns], take(low, p), take(p + size.core, high), checks], names=["k_id", "k_text", *mark_columns, "before", "after", "checks"])
-
-    around = needed.join(places, ["k_id", "k_text"]).select("k_id", "k_text", "text", "marks").mapInArrow(cut, "k_id long, k_text long, rank long, around long, seen long, first long, last long, blocks int, at int, before binary, after binary, checks array<long>")
-    far = F.lit(threshold + 1)
-    alone = around.where("blocks = 1").withColumns({"reach_left": far, "reach_right": far})
-    if not unsure.where("blocks > 1").isEmpty():
-        hot = scratch.save(around.where("blocks > 1"))
-        named = hot.select("rank", "around", F.posexplode("checks").alias("i", "name")).where("name is not null")
-        common = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-        # How far an entry's bytes are another's lies between the last check that is common and the next.
-        beyond = [*CHECKS[1:], threshold + 1]
-        after_check = F.element_at(F.array(*map(F.lit, beyond * 2)), F.col("i") + 1)
-        reach = named.join(common, "name").groupBy("rank", "around").agg(F.max(F.when(F.col("i") < len(CHECKS), after_check)).alias("reach_left"), F.max(F.when(F.col("i") >= len(CHECKS), after_check)).alias("reach_right"))
-        reached = hot.join(reach, ["rank", "around"], "left").withColumns({c: F.coalesce(c, F.lit(CHECKS[0])) for c in ("reach_left", "reach_right")})
-        around = alone.unionByName(reached)
-    else:
-        around = alone
-    around = around.drop("checks")
+                yield pa.RecordBatch.from_arrays([part.column("k_id").take(rows), part.column("k_text").take(rows), *[marks.field(c) for c in mark_columns], take(low, p, -1), take(p + size.core, high, 1)], names=["k_id", "k_text", *mark_columns, "before", "after"])
+
+    around = needed.join(places, ["k_id", "k_text"]).select("k_id", "k_text", "text", "marks").mapInArrow(cut, "k_id long, k_text long, rank long, around long, seen long, first long, last long, blocks int, at int, before binary, after binary")
+    around = scratch.save(around)
+    far = {"reach_left": F.lit(size.gap).cast("long"), "reach_right": F.lit(threshold).cast("long")}
+    met = around.where("blocks = 1").withColumns(far)
+    hot = around.where("blocks > 1")
+    if not hot.isEmpty():
+        reaches = [scratch.save(common_bytes(hot, c, most)).withColumnRenamed("reach", r) for c, most, r in (("before", size.gap - 1, "reach_left"), ("after", threshold - size.core, "reach_right"))]
+        met = met.unionByName(hot.join(reaches[0], ["rank", "around"]).join(reaches[1], ["rank", "around"]))
     slots = max(8, unsure.count() // 10_000 + 1)
     # A core's entries share a slot, or each of its blocks' do.
     block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("around"), F.col("blocks"))).otherwise(0)
     slot = F.pmod(F.xxhash64("rank", block), F.lit(slots)).cast("int")
-    met = around.withColumn("slot", slot).groupBy("slot").applyInArrow(
+    met = met.withColumn("slot", slot).groupBy("slot").applyInArrow(
         lambda key, t: settle(t, size), "k_id long, k_text long, at int, rank long, around long, seen long, kind long, low long, high long, name long, count long, first long, last long"
     )
     met = scratch.save(met)
@@ -296,7 +299,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, texts: bool = True, pa
     found = [x.select("k_id", "k_text", *[F.col(c).cast("int").alias(c) for c in spans[2:]]) for x in (whole, edges, others)]
     every = found[0].unionByName(found[1]).unionByName(found[2])
     by_doc = scratch.save(every.groupBy("k_id", "k_text").agg(F.collect_set(F.struct("kind", "at", "low", "high")).alias("spans")))
-    scratch.drop(left, groups, unsure, met)
+    scratch.drop(left, groups, unsure, around, met)
 
     def finish(batches):
         for batch in batches:
