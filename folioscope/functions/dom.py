@@ -1,21 +1,28 @@
 """HTML as a nested-set array of nodes, from one parse; all else is expressions over it.
 
-A node's descendants are the ids after it up to its `end`.
+A node's descendants are the ids after it up to its `end`. Texts aren't stored per node: each has its place in the page's text, so
+a page takes space in proportion to its length, however deep its elements nest.
 """
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-NODES = "array<struct<id int, end int, parent int, depth int, tag string, attrs map<string,string>, text string, own string>>"
-#: Elements without content.
+NODE = "struct<id int, end int, parent int, depth int, tag string, attrs map<string,string>, classes array<string>, t0 int, t1 int, r0 int, r1 int, own string, url string>"
+PAGE = f"struct<nodes array<{NODE}>, classed array<{NODE}>, text string, raw string>"
+#: Elements without content; elements whose strings aren't text, and aren't visible.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-UNSEEN = {"script", "style", "noscript"}
+NOT_TEXT = {"script", "style", "template"}
+NOT_VISIBLE = {"script", "style", "noscript"}
+#: Elements that don't count as a page's content.
+NOT_CONTENT = ["script", "style", "noscript", "svg", "head"]
 
 
 class Reader(HTMLParser):
@@ -23,11 +30,41 @@ class Reader(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes, self.open, self.parts = [], [], []
+        self.nodes, self.open, self.held = [], [], []
+        self.text, self.raw = [], []
+        self.text_end = self.raw_end = -1  # of the strings so far, joined by spaces
+
+    def string(self, data: str, comment: bool = False):
+        """A string's place, told to the open elements that had none yet."""
+        tag = self.nodes[self.open[-1]]["tag"] if self.open else ""
+        clean = data.strip()
+        if clean and not comment and tag not in NOT_TEXT and not any(self.nodes[i]["tag"] == "template" for i in self.open):
+            self.begin("t0", self.text_end + 1)
+            self.text.append(clean)
+            self.text_end += 1 + len(clean)
+        if tag not in NOT_VISIBLE:
+            self.begin("r0", self.raw_end + 1)
+            self.raw.append(data)
+            self.raw_end += 1 + len(data)
+        if tag == "script" and not comment:
+            self.nodes[self.open[-1]]["own"] += data
+
+    def begin(self, place: str, at: int):
+        for i in reversed(self.open):
+            if self.nodes[i][place] >= 0:
+                return
+            self.nodes[i][place] = at
+
+    def flush(self):
+        if self.held:
+            data, self.held = "".join(self.held), []
+            self.string(data)
 
     def handle_starttag(self, tag, attrs):
+        self.flush()
+        attrs = {k: v or "" for k, v in attrs}
         parent = self.open[-1] if self.open else -1
-        self.nodes.append([len(self.nodes), len(self.nodes), parent, len(self.open), tag, {k: v or "" for k, v in attrs}])
+        self.nodes.append({"id": len(self.nodes), "end": len(self.nodes), "parent": parent, "depth": len(self.open), "tag": tag, "attrs": attrs, "classes": attrs.get("class", "").split(), "t0": -1, "t1": 0, "r0": -1, "r1": 0, "own": "", "url": None})
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
 
@@ -36,111 +73,217 @@ class Reader(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def shut(self, depth: int):
+        for i in self.open[depth:]:
+            n = self.nodes[i]
+            n["end"] = len(self.nodes) - 1
+            n["t1"], n["r1"] = self.text_end if n["t0"] >= 0 else 0, self.raw_end if n["r0"] >= 0 else 0
+        del self.open[depth:]
+
     def handle_endtag(self, tag):
+        self.flush()
         for k in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[k]][4] == tag:
-                for i in self.open[k:]:
-                    self.nodes[i][1] = len(self.nodes) - 1
-                del self.open[k:]
+            if self.nodes[self.open[k]]["tag"] == tag:
+                self.shut(k)
                 return
 
     def handle_data(self, data):
-        if self.open:
-            self.parts.append((self.open[-1], data))
+        self.held.append(data)
+
+    def handle_comment(self, data):
+        self.flush()
+        self.string(data, comment=True)
 
-    def result(self):
+    def result(self) -> tuple[list[dict], str, str]:
         self.close()
-        for i in self.open:
-            self.nodes[i][1] = len(self.nodes) - 1
-        text, own = [[] for _ in self.nodes], [[] for _ in self.nodes]
-        for i, data in self.parts:
-            own[i].append(data)
-            clean = data.strip()
-            if clean and self.nodes[i][4] not in UNSEEN:
-                while i >= 0:
-                    text[i].append(clean)
-                    i = self.nodes[i][2]
-        return [(*n, " ".join(t), "".join(o)) for n, t, o in zip(self.nodes, text, own)]
-
-
-def _parse(html: pd.Series) -> pd.Series:
-    keys = ["id", "end", "parent", "depth", "tag", "attrs", "text", "own"]
-
-    def one(h):
+        self.flush()
+        self.shut(0)
+        for n in self.nodes:
+            n["t0"], n["r0"] = max(n["t0"], 0), max(n["r0"], 0)
+        return self.nodes, " ".join(self.text), " ".join(self.raw)
+
+
+def _nodes(pages: list[list[dict]]) -> pa.Array:
+    flat = [n for nodes in pages for n in nodes]
+    offsets = lambda sizes: pa.array(_running(sizes), pa.int32())
+    column = lambda k, kind: pa.array([n[k] for n in flat], kind)
+    attrs = pa.MapArray.from_arrays(offsets([len(n["attrs"]) for n in flat]), pa.array([k for n in flat for k in n["attrs"]], pa.string()), pa.array([v for n in flat for v in n["attrs"].values()], pa.string()))
+    fields = {k: column(k, pa.int32()) for k in ("id", "end", "parent", "depth")} | {"tag": column("tag", pa.string()), "attrs": attrs, "classes": column("classes", pa.list_(pa.string()))}
+    fields |= {k: column(k, pa.int32()) for k in ("t0", "t1", "r0", "r1")} | {"own": column("own", pa.string()), "url": column("url", pa.string())}
+    return pa.ListArray.from_arrays(offsets([len(p) for p in pages]), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
+
+
+def _running(sizes: list[int]) -> list[int]:
+    out = [0]
+    for n in sizes:
+        out.append(out[-1] + n)
+    return out
+
+
+#: Links that lead to no page.
+NO_PAGE = re.compile(r"(?:#|javascript:|data:|mailto:|tel:|sms:)", re.IGNORECASE)
+
+
+def _link(base: str | None, href: str) -> str | None:
+    href = href.strip()
+    if not href or NO_PAGE.match(href):
+        return None
+    try:
+        out = urljoin(base or "", href)
+        return out if urlsplit(out).scheme else None
+    except ValueError:
+        return None
+
+
+def read(html: list[str | None], bases: list[str | None]) -> tuple[pa.Array, list[list[dict]]]:
+    """Pages as a struct column, and their nodes. Surrogates that character references can make are replaced, as no string column holds them."""
+    pages = []
+    sound = lambda s: s if s is None or s.isascii() else s.encode("utf-8", "replace").decode("utf-8")
+    for h, base in zip(html, bases):
         reader = Reader()
         reader.feed(h or "")
-        return [dict(zip(keys, n)) for n in reader.result()]
+        nodes, text, raw = reader.result()
+        for n in nodes:
+            n["own"] = sound(n["own"])
+            n["attrs"] = {sound(k): sound(v) for k, v in n["attrs"].items()}
+            n["classes"] = [sound(c) for c in n["classes"]]
+            if n["attrs"].get("href"):
+                n["url"] = sound(_link(base, n["attrs"]["href"]))
+            elif n["attrs"].get("itemprop") == "url":
+                n["url"] = sound(_link(base, text[n["t0"] : n["t1"]]))
+        pages.append((nodes, sound(text), sound(raw)))
+    every, classed = [p[0] for p in pages], [[n for n in p[0] if n["classes"]] for p in pages]
+    texts = [pa.array([p[i] for p in pages], pa.string()) for i in (1, 2)]
+    return pa.StructArray.from_arrays([_nodes(every), _nodes(classed), *texts], names=["nodes", "classed", "text", "raw"]), every
+
+
+def with_dom(pages: DataFrame, name: str = "dom") -> DataFrame:
+    """pages(html, url or not, ...) with the page: its nodes, those with classes, its text and its visible strings as they are.
+
+    An operator of its own, not a UDF: expressions over its column are never merged with the parse, which runs once a page.
+    Null html has no nodes. A column of that name is replaced."""
+    kept = [c for c in pages.columns if c != name]
+    source = pages.select(*[f"`{c}`" for c in kept])
+
+    def over(batches):
+        for batch in batches:
+            bases = batch.column("url").to_pylist() if "url" in kept else [None] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, read(batch.column("html").to_pylist(), bases)[0]], names=[*kept, name])
+
+    return source.mapInArrow(over, StructType(source.schema.fields + StructType.fromDDL(f"{name} {PAGE}").fields))
+
+
+def text(page: Column, node: Column) -> Column:
+    """The node's strings, stripped, joined by spaces."""
+    return F.substring(page["text"], node["t0"] + 1, node["t1"] - node["t0"])
+
+
+def text_length(node: Column) -> Column:
+    return node["t1"] - node["t0"]
 
-    return pd.Series([one(h) for h in html])
 
+def visible(page: Column, node: Column) -> Column:
+    """The node's strings as they are, comments too, joined by spaces."""
+    return F.substring(page["raw"], node["r0"] + 1, node["r1"] - node["r0"])
 
-def parse_dom(html: str | Column) -> Column:
-    return F.pandas_udf(_parse, NODES)(html)
 
+def literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def _simple(selector: str):
-    """A node predicate for `tag`, `.class`, `[attr=v]`, `[attr~=v]` and `[attr*=v]`, joined without spaces."""
-    tests = []
-    for tag, klass, attr, op, value in re.findall(r"([a-z][a-z0-9]*)|\.([\w-]+)|\[([\w-]+)([~*]?=)([^\]]+)\]", selector):
+
+def strings(values: list[str]) -> Column:
+    """A constant array, parsed at once: a call for each of its values would take longer than the query."""
+    return F.expr("array(" + ", ".join(map(literal, values)) + ")")
+
+
+def _simple(selector: str, n: str) -> tuple[str, bool]:
+    """(predicate of a node as SQL, whether it asks for a class) of `tag`, `.class`, `[attr]`, `[attr=v]`, `[attr~=v]` and `[attr*=v]`, joined without spaces."""
+    tests, classed = [], False
+    for tag, klass, attr, op, value in re.findall(r"([a-z][a-z0-9]*)|\.([\w-]+)|\[([\w-]+)(?:([~*]?=)([^\]]+))?\]", selector):
+        classed |= bool(klass) or attr == "class"
+        at, v = f"{n}.attrs[{literal(attr)}]", literal(value)
         if tag:
-            tests.append(lambda n, v=tag: n["tag"] == v)
+            tests.append(f"{n}.tag = {literal(tag)}")
         elif klass:
-            tests.append(lambda n, v=klass: F.array_contains(F.split(F.coalesce(n["attrs"]["class"], F.lit("")), r"\s+"), v))
+            tests.append(f"array_contains({n}.classes, {literal(klass)})")
+        elif not op:
+            tests.append(f"map_contains_key({n}.attrs, {literal(attr)})")
         elif op == "=":
-            tests.append(lambda n, a=attr, v=value: F.coalesce(n["attrs"][a] == v, F.lit(False)))
+            tests.append(f"coalesce({at} = {v}, false)")
         elif op == "~=":
-            tests.append(lambda n, a=attr, v=value: F.array_contains(F.split(F.coalesce(n["attrs"][a], F.lit("")), r"\s+"), v))
+            tests.append(f"array_contains(split(coalesce({at}, ''), '[ \\\\t\\\\n\\\\r\\\\f]+'), {v})")
         else:
-            tests.append(lambda n, a=attr, v=value: F.coalesce(F.contains(n["attrs"][a], F.lit(v)), F.lit(False)))
+            tests.append(f"coalesce(contains({at}, {v}), false)")
+    return " AND ".join(tests), classed
 
-    def match(n):
-        out = F.lit(True)
-        for t in tests:
-            out = out & t(n)
-        return out
 
-    return match
+def select_sql(page: str, selector: str) -> str:
+    """Nodes that a selector of one or two steps (descendant) finds, in document order."""
 
+    def matching(step: str, n: str) -> str:
+        test, classed = _simple(step, n)
+        return f"filter({page}.{'classed' if classed else 'nodes'}, {n} -> {test})"
 
-def select(nodes: Column, selector: str) -> Column:
-    """Nodes that a selector of one or two steps (descendant) finds, in document order."""
     *outer, inner = selector.split()
-    found = F.filter(nodes, _simple(inner))
+    found = matching(inner, "n")
     for step in outer:
-        found = _below(found, F.filter(nodes, _simple(step)))
+        found = f"filter({found}, m -> exists({matching(step, 'k')}, a -> a.id < m.id AND m.id <= a.end))"
     return found
 
 
-def _below(found: Column, above: Column) -> Column:
-    return F.filter(found, lambda n: F.exists(above, lambda a: (a["id"] < n["id"]) & (n["id"] <= a["end"])))
+def select(page: str, *selectors: str) -> Column:
+    """What the selectors find, selector by selector; page names the column."""
+    found = [select_sql(page, s) for s in selectors]
+    return F.expr(found[0] if len(found) == 1 else f"flatten(array({', '.join(found)}))")
+
+
+def by_tag(page: Column, *tags: str) -> Column:
+    return F.filter(page["nodes"], lambda n: n["tag"].isin(*tags))
 
 
-def by_tag(nodes: Column, *tags: str) -> Column:
-    return F.filter(nodes, lambda n: n["tag"].isin(*tags))
+def first(found: Column) -> Column:
+    return F.try_element_at(found, F.lit(1))
 
 
 def within(nodes: Column, box: Column) -> Column:
     return F.filter(nodes, lambda n: (n["id"] > box["id"]) & (n["id"] <= box["end"]))
 
 
-def first_text(nodes: Column, selectors: list[str], least: int = 1) -> Column:
+def collapse(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
+def first_text(page: str, selectors: list[str], least: int = 1) -> Column:
     """Of each selector the first element; the text of the first that has enough."""
-    texts = [F.trim(F.regexp_replace(F.try_element_at(select(nodes, s), F.lit(1))["text"], r"\s+", " ")) for s in selectors]
-    return F.coalesce(*[F.when(F.length(t) >= least, t) for t in texts])
+    texts = [f"transform(slice({select_sql(page, s)}, 1, 1), e -> trim(regexp_replace(substring({page}.text, e.t0 + 1, e.t1 - e.t0), '(?U)\\\\s+', ' ')))" for s in selectors]
+    return first(F.filter(F.expr(f"flatten(array({', '.join(texts)}))"), lambda t: F.length(t) >= least))
 
 
-def meta(nodes: Column, *keys: str) -> Column:
+def meta(page: str, *keys: str) -> Column:
     """Content of the first meta element that has one of the names or properties."""
-    low = lambda n, a: F.lower(F.coalesce(n["attrs"][a], F.lit("")))
-    found = F.filter(nodes, lambda n: (n["tag"] == "meta") & (low(n, "name").isin(*keys) | low(n, "property").isin(*keys)) & (F.trim(n["attrs"]["content"]) != ""))
-    return F.trim(F.try_element_at(found, F.lit(1))["attrs"]["content"])
+    named = f"array({', '.join(map(literal, keys))})"
+    test = f"m.tag = 'meta' AND (array_contains({named}, lower(coalesce(m.attrs['name'], ''))) OR array_contains({named}, lower(coalesce(m.attrs['property'], '')))) AND trim(m.attrs['content']) <> ''"
+    return F.expr(f"trim(try_element_at(filter({page}.nodes, m -> {test}), 1).attrs['content'])")
+
+
+def link_density(page: Column, box: Column) -> Column:
+    """Share of a node's text that its links have; 1 without text."""
+    links = F.filter(page["nodes"], lambda n: (n["tag"] == "a") & (n["id"] > box["id"]) & (n["id"] <= box["end"]))
+    linked = F.aggregate(links, F.lit(0), lambda s, n: s + text_length(n))
+    return F.when(text_length(box) > 0, linked / text_length(box)).otherwise(1.0)
+
+
+def title(page: Column) -> Column:
+    return text(page, first(by_tag(page, "title")))
 
 
-def link_density(nodes: Column, box: Column) -> Column:
-    links = F.filter(nodes, lambda n: (n["tag"] == "a") & (n["id"] > box["id"]) & (n["id"] <= box["end"]))
-    linked = F.aggregate(links, F.lit(0), lambda s, n: s + F.length(n["text"]))
-    return F.when(F.length(box["text"]) > 0, linked / F.length(box["text"])).otherwise(1.0)
+def content_length(page: Column) -> Column:
+    """Length of the text outside head, scripts, styles and drawings."""
+    boxes = by_tag(page, *NOT_CONTENT)
+    outer = F.filter(boxes, lambda n: (text_length(n) > 0) & ~F.exists(boxes, lambda a: (a["id"] < n["id"]) & (n["id"] <= a["end"])))
+    return F.greatest(F.lit(0), F.length(page["text"]) - F.aggregate(outer, F.lit(0), lambda s, n: s + text_length(n) + 1))
 
 
-def title(nodes: Column) -> Column:
-    return F.try_element_at(by_tag(nodes, "title"), F.lit(1))["text"]
+def data_attributes(node: Column) -> Column:
+    """Values of a node's data attributes, but for the one with a coded address."""
+    return F.map_values(F.map_filter(node["attrs"], lambda k, v: k.startswith("data-") & (k != "data-cfemail")))

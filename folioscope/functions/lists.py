@@ -27,3 +27,19 @@ SHEET_HEADERS = ["url", "urls", "article_url", "article url", "link", "article"]
 EXPORT_FIELDS = ["article_url", "status", "name", "profile_url", "job_title", "bio", "email", "linkedin", "twitter", "social_links", "organization", "location"]
 HEADERS = {"article_url": "Article URL", "article_urls": "Article URLs", "profile_url": "Profile URL", "social_links": "Social Links", "linkedin": "LinkedIn", "twitter": "Twitter / X", "job_title": "Job Title"}
 REFUSED, RETRIED = [401, 403, 451], [408, 425, 429, 500, 502, 503, 504]
+AUTHOR_LINK_WORDS = ["author", "byline", "profile", "contributor", "reporter", "journalist", "columnist", "about the author", "about this author", "view author", "visit author"]
+BYLINE_META = ["author", "byl", "byline", "parsely-author"]
+BIO_STARTERS = ["the", "a", "an", "this", "that", "our", "its"]
+CSV_FIELDS = ["status", "name", "email", "linkedin", "twitter", "job_title", "organization", "location", "profile_url", "article_url"]
+AUTHOR_FIELDS = ["name", "profile_url", "job_title", "bio", "email", "linkedin", "twitter", "social_links", "organization", "location"]
+LATIN_CHARSETS, TRIED_CHARSETS = ["iso-8859-1", "latin-1", "windows-1252"], ["utf-8", "utf-8-sig", "cp1252", "windows-1252", "latin-1"]
+ESCAPES = {"&": "&amp;", "'": "&#39;", '"': "&quot;", "<": "&lt;", ">": "&gt;"}
+
+# Patterns that results depend on, as Spark reads them.
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+OBFUSCATED = r"(?i)\b([A-Za-z0-9._%+-]+)\s*[\[]?\(?\s*at\s*\)?[\]]?\s*([A-Za-z0-9.-]+)\s*[\[]?\(?\s*dot\s*\)?[\]]?\s*([A-Za-z]{2,})\b"
+NAME_SHAPE = r"^(?U)[\wÀ-ɏ'.\- ]+$"
+TITLE_BYLINE = r"(?i)\bBy\s+([A-Za-z](?U)[\w'’.\- ]{1,70}?)(?:\s*[|\-–—]\s|$)"
+ROLE_OF = r"(?U)\bis\s+(?:the\s+)?[A-Z][\w&.\-]*(?:\s+[A-Z][\w&.\-]*){0,3}'s\s+([^.,;]{3,60})"
+ROLE = r"(?iU)\bis\s+(?:a|an)\s+([^.,;]{3,60}?)(?:\s+(?:for|at|with|of|covering|focused\s+on|focusing\s+on|who)\b|[,.;]|$)"
+NAMED_OPENING = r"^(?U)[A-Z][\w'À-ɏ.\-]+(\s+[A-Z][\w'À-ɏ.\-]+){0,3}\s+"

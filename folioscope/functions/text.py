@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import lists
-
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-OBFUSCATED = r"(?i)\b([A-Za-z0-9._%+-]+)\s*\[?\(?\s*at\s*\)?\]?\s*([A-Za-z0-9.-]+)\s*\[?\(?\s*dot\s*\)?\]?\s*([A-Za-z]{2,})\b"
+from . import dom, lists
 
 
 def collapse(c: Column) -> Column:
@@ -29,15 +27,14 @@ def plausible_email(c: Column) -> Column:
 def plausible_name(c: Column) -> Column:
     name = F.trim(c)
     low = F.lower(name)
-    shape = r"^(?U)[\wÀ-ɏ'.\- ]+$"
-    ok = F.length(name).between(1, 80) & name.rlike(r"\p{L}") & name.rlike(shape) & ~low.isin(lists.NOT_NAMES) & ~F.substring_index(low, " ", 1).isin(lists.NOT_NAMES)
+    ok = F.length(name).between(1, 80) & name.rlike(r"\p{L}") & name.rlike(lists.NAME_SHAPE) & ~F.array_contains(dom.strings(lists.NOT_NAMES), low) & ~F.array_contains(dom.strings(lists.NOT_NAMES), F.substring_index(low, " ", 1))
     return F.coalesce(ok & ~low.rlike("http|@") & (F.length(name) - F.length(F.replace(name, F.lit(" "))) <= 5), F.lit(False))
 
 
 def emails(c: Column) -> Column:
     """Plain and obfuscated addresses, plausible ones, distinct and in order."""
-    plain = F.transform(F.regexp_extract_all(c, F.lit(EMAIL), F.lit(0)), lambda e: F.regexp_replace(e, r"^\.+|\.+$", ""))
-    part = lambda g: F.regexp_extract_all(c, F.lit(OBFUSCATED), F.lit(g))
+    plain = F.transform(F.regexp_extract_all(c, F.lit(lists.EMAIL), F.lit(0)), lambda e: F.regexp_replace(e, r"^\.+|\.+$", ""))
+    part = lambda g: F.regexp_extract_all(c, F.lit(lists.OBFUSCATED), F.lit(g))
     hidden = F.transform(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c")), lambda s: F.concat(s["a"], F.lit("@"), s["b"], F.lit("."), s["c"]))
     return F.sort_array(F.array_distinct(F.filter(F.concat(plain, hidden), plausible_email)))
 
@@ -70,7 +67,7 @@ def retry_delay(header: Column, backoff: float, attempt: Column, most: float = 3
 
 
 def charset(content_type: Column) -> Column:
-    found = F.regexp_extract(content_type, r"(?i)charset=[\"']?([\w.-]+)", 1)
+    found = F.regexp_extract(content_type, r"(?i)charset\s*=\s*[\"']?([\w.-]+)", 1)
     return F.when(found != "", F.lower(found))
 
 
@@ -85,3 +82,54 @@ def header_label(field: str) -> str:
 def csv_escape(c: Column) -> Column:
     quoted = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.when(c.rlike('[",\n]'), quoted).otherwise(F.coalesce(c, F.lit("")))
+
+
+def html_escape(c: Column) -> Column:
+    """The five characters that mark-up gives a meaning; null is empty."""
+    out = F.coalesce(c, F.lit(""))
+    for plain, entity in lists.ESCAPES.items():
+        out = F.replace(out, F.lit(plain), F.lit(entity))
+    return out
+
+
+def elapsed(seconds: Column, running: Column) -> Column:
+    """Rounded to hundredths, to tenths while a job runs."""
+    return F.when(running, F.round(seconds, 1)).otherwise(F.round(seconds, 2))
+
+
+def role_in_prose(bio: Column, name: Column) -> Column:
+    """A role that a bio's sentence tells, such as "is a staff writer for": if the bio's lead has a token of the name, or opens
+    with capitalised words as a name would; null where no pattern has 3 to 60 characters."""
+    lead = F.lower(F.left(bio, F.lit(120)))
+    named = F.coalesce(F.exists(name_tokens(name), lambda t: F.contains(lead, t)), F.lit(False))
+    opening = F.lower(F.regexp_extract(F.trim(bio), r"^(?U)(\w+)\s", 1))
+    opens = F.trim(bio).rlike(r"^\p{L}") & ~opening.isin(lists.BIO_STARTERS) & bio.rlike(lists.NAMED_OPENING)
+
+    def role(pattern: str) -> Column:
+        found = collapse(F.regexp_replace(F.regexp_extract(bio, pattern, 1), r"^[ \t,;.]+|[ \t,;.]+$", ""))
+        return F.when(F.length(found).between(3, 60), found)
+
+    return F.when(named | opens, F.coalesce(role(lists.ROLE_OF), role(lists.ROLE)))
+
+
+def _decode(content: pa.Array, declared: pa.Array) -> pa.Array:
+    def one(data: bytes | None, charset: str | None):
+        if data is None:
+            return None
+        for name in [*([charset] if charset and charset.lower() not in lists.LATIN_CHARSETS else []), *lists.TRIED_CHARSETS]:
+            try:
+                out = data.decode(name)
+            except (LookupError, ValueError):
+                continue
+            if not any(bad in out for bad in "\ufffd\ufffe\uffff"):
+                return out
+        return data.decode("utf-8", "replace")
+
+    sound = lambda s: s if s is None or s.isascii() else s.encode("utf-8", "replace").decode("utf-8")
+    return pa.array([sound(one(d, c)) for d, c in zip(content.to_pylist(), declared.to_pylist())], pa.string())
+
+
+def decode_bytes(content: Column, declared: Column) -> Column:
+    """Bytes by the first charset that reads them cleanly: the declared one, unless it is of the Latin sort that servers declare
+    by default, then the usual ones; else as UTF-8 with replacements. Spark's own decode knows too few names."""
+    return F.arrow_udf(_decode, "string")(content, declared)

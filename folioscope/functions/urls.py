@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import lists
+from . import dom, lists
 
 
 def _part(url: Column, group: int) -> Column:
@@ -42,7 +42,7 @@ def same_domain(url: Column, base: Column) -> Column:
 
 def is_tracking(key: Column) -> Column:
     low = F.lower(key)
-    return low.isin(lists.TRACKING_PARAMS) | low.rlike("^(" + "|".join(lists.TRACKING_PREFIXES) + ")")
+    return F.array_contains(dom.strings(lists.TRACKING_PARAMS), low) | low.rlike("^(" + "|".join(lists.TRACKING_PREFIXES) + ")")
 
 
 def clean_url(url: Column) -> Column:
@@ -78,6 +78,12 @@ def resolve_url(base: Column, href: Column) -> Column:
     return F.when(crawlable(href), clean_url(F.pandas_udf(_join, "string")(base, href)))
 
 
+def absolute(base: Column, url: Column) -> Column:
+    """A cleaned URL that names its host, as it stands or with the base's scheme; null for all others. Without a pass through Python."""
+    full = F.when(url.startswith("//"), F.concat(scheme(base), F.lit(":"), url)).when((scheme(url) != "") & (authority(url) != ""), url)
+    return F.when(crawlable(url), clean_url(F.trim(full)))
+
+
 def normalize_article_url(url: Column) -> Column:
     return F.when(~scheme(url).isin("http", "https") & (authority(url) == ""), F.concat(F.lit("https://"), url)).otherwise(url)
 
@@ -86,15 +92,20 @@ def looks_like_author_page(url: Column) -> Column:
     return path(url).rlike("(?i)/(" + "|".join(lists.AUTHOR_PATHS) + ")/") | authority(url).rlike("^(" + "|".join(h.replace(".", r"\.") for h in lists.AUTHOR_HOSTS) + ")")
 
 
+def looks_like_author_link(label: Column, href: Column) -> Column:
+    """By the link's path, or by words of its label."""
+    low = F.lower(F.trim(F.coalesce(label, F.lit(""))))
+    return F.lower(F.coalesce(href, F.lit(""))).rlike("/(" + "|".join(lists.AUTHOR_PATHS) + ")/") | F.exists(dom.strings(lists.AUTHOR_LINK_WORDS), lambda w: F.contains(low, w))
+
+
 def classify_social(url: Column) -> Column:
-    """The platform whose host is the URL's host or above it; LinkedIn only for profiles."""
+    """The platform whose host is the URL's host or above it; LinkedIn only for profiles. Hosts have two labels each, so that the URL's
+    last two labels look them up."""
     host = authority(url)
-    at = lambda h: (host == h) | F.endswith(host, F.lit("." + h))
-    out = F.when(at("linkedin.com"), F.when(path(url).rlike("(?i)^/(in|pub)/"), F.lit("linkedin"))).when(at("lnkd.in"), F.lit("linkedin"))
-    for platform, hosts in lists.SOCIAL_HOSTS.items():
-        for h in hosts:
-            out = out.when(at(h), F.lit(platform))
-    return out
+    known = F.expr("map(" + ", ".join(f"'{h}', '{platform}'" for platform, hosts in lists.SOCIAL_HOSTS.items() for h in hosts) + ")")
+    last = F.substring_index(host, ".", -2)
+    profile = F.when(path(url).rlike("(?i)^/(in|pub)/"), F.lit("linkedin"))
+    return F.when(last == "linkedin.com", profile).when(last == "lnkd.in", F.lit("linkedin")).otherwise(F.try_element_at(known, last))
 
 
 def author_key(profile_url: Column, email: Column, name: Column) -> Column:

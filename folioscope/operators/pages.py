@@ -1,164 +1,324 @@
-"""Page state and the author record of a page, as expressions over its DOM."""
+"""Page state, the author record of a page, its author candidates, and the crawl that joins them, over the page's DOM."""
 
 from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import dom, lists, text, urls
 
 LD = "array<struct<types array<string>, name string, job string, bio string, email string, org string, place string, url string, same_as array<string>, author string>>"
+#: Fields of an author's record beside the name and the profile's URL.
+FIELDS = [f for f in lists.AUTHOR_FIELDS if f not in ("name", "profile_url")]
 
 
 def _string(x):
     return x.strip() if isinstance(x, str) and x.strip() else None
 
 
-def _nodes(x):
+def _objects(x):
     """Pre-order walk over every object."""
     if isinstance(x, dict):
         yield x
     for y in x.values() if isinstance(x, dict) else x if isinstance(x, list) else ():
-        yield from _nodes(y)
+        yield from _objects(y)
 
 
-def _parse(raw):
-    for attempt in (raw, raw.strip("/* \n\t"), raw.replace("<![CDATA[", "").replace("]]>", "")):
+def _block(raw):
+    """A block as it is, else without the comment marks or CDATA marks around it."""
+    for attempt in (raw, raw.strip("/* \n\t"), raw.replace("//<![CDATA[", "").replace("//]]>", ""), raw.replace("<![CDATA[", "").replace("]]>", "")):
         try:
             return json.loads(attempt)
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
 
 
 def _record(n):
-    kind = n.get("@type")
-    place, org = n.get("address"), next((n[k] for k in ("worksFor", "affiliation", "memberOf") if n.get(k)), None)
-    named = lambda v: _string(v.get("name")) if isinstance(v, dict) else _string(v)
-    where = next((s for k in ("addressLocality", "addressRegion", "name") if (s := _string(place.get(k)))), None) if isinstance(place, dict) else None
-    same = n.get("sameAs")
+    kinds, place, same = n.get("@type"), n.get("address"), n.get("sameAs")
+    place = place if isinstance(place, dict) else {}
+    orgs = [n.get(k) for k in ("worksFor", "affiliation", "memberOf")]
+    named = [_string(o.get("name")) if isinstance(o, dict) else _string(o) for o in orgs]
     return {
-        "types": [t for t in (kind if isinstance(kind, list) else [kind]) if isinstance(t, str)], "name": _string(n.get("name")), "job": _string(n.get("jobTitle")), "bio": _string(n.get("description")),
-        "email": _string(n.get("email")), "org": named(org), "place": where, "url": _string(n.get("url")), "same_as": [s for s in same if isinstance(s, str)] if isinstance(same, list) else [], "author": _string(n.get("author")),
+        "types": [str(t) for t in (kinds if isinstance(kinds, list) else [kinds] if kinds else [])], "name": _string(n.get("name")), "job": _string(n.get("jobTitle")), "bio": _string(n.get("description")),
+        "email": _string(n.get("email")), "org": next((o for o in named if o), None), "place": _string(place.get("addressLocality") or place.get("addressRegion") or place.get("name")),
+        "url": n["url"] if isinstance(n.get("url"), str) else None, "same_as": [s for s in same if isinstance(s, str)] if isinstance(same, list) else [], "author": n["author"] if isinstance(n.get("author"), str) else None,
     }
 
 
-def _walk(scripts: pd.Series) -> pd.Series:
-    return pd.Series([[_record(n) for raw in s for n in _nodes(_parse(raw))] for s in scripts])
-
+def parsed(pages: DataFrame) -> DataFrame:
+    """pages(url, html, ...) with dom, ld and anchors, in one pass through Python.
 
-def ld_nodes(scripts: Column) -> Column:
-    """Every object of a page's JSON-LD blocks, in order; blocks that don't parse are skipped."""
-    return F.pandas_udf(_walk, LD)(scripts)
+    ld has every object of the JSON-LD blocks, in order; blocks that don't parse are skipped. anchors are links with an
+    href: place, label, href and resolved URL, null if it can't be followed. Columns of these names are replaced."""
+    kept = [c for c in pages.columns if c not in ("dom", "ld", "anchors")]
+    source = pages.select(*[f"`{c}`" for c in kept])
+    added = StructType.fromDDL(f"dom {dom.PAGE}, ld {LD}")
 
+    def over(batches):
+        kind = to_arrow_schema(added).field("ld").type
+        for batch in batches:
+            page, nodes = dom.read(batch.column("html").to_pylist(), batch.column("url").to_pylist())
+            scripts = [[n["own"] for n in ns if n["tag"] == "script" and n["attrs"].get("type") == "application/ld+json"] for ns in nodes]
+            objects = [[_record(n) for raw in s for n in _objects(_block(raw))] for s in scripts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, page, pa.array(objects, kind)], names=[*kept, "dom", "ld"])
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """pages(url, html, ...) with nodes and ld. The only passes through Python."""
-    out = pages.withColumn("nodes", dom.parse_dom("html"))
-    scripts = F.transform(F.filter("nodes", lambda n: (n["tag"] == "script") & (n["attrs"]["type"] == "application/ld+json")), lambda n: n["own"])
-    return out.withColumn("ld", ld_nodes(scripts))
+    out = source.mapInArrow(over, StructType(source.schema.fields + added.fields))
+    page = F.col("dom")
+    linked = F.filter(page["nodes"], lambda n: (n["tag"] == "a") & (F.coalesce(n["attrs"]["href"], F.lit("")) != ""))
+    return out.withColumn("anchors", F.transform(linked, lambda n: F.struct(n["id"].alias("id"), dom.collapse(dom.text(page, n)).alias("label"), F.trim(n["attrs"]["href"]).alias("href"), urls.clean_url(n["url"]).alias("url"))))
 
 
-def _typed(ld: Column, kind: str) -> Column:
-    return F.filter(ld, lambda n: F.exists(n["types"], lambda t: F.contains(t, F.lit(kind))))
+def _typed(ld: Column, *kinds: str) -> Column:
+    return F.filter(ld, lambda n: F.exists(n["types"], lambda t: F.exists(dom.strings(list(kinds)), lambda k: F.contains(t, k))))
 
 
 def _first(ld: Column, field: str) -> Column:
-    return F.try_element_at(F.filter(F.transform(ld, lambda n: n[field]), lambda v: v.isNotNull()), F.lit(1))
+    return dom.first(F.filter(F.transform(ld, lambda n: n[field]), lambda v: v.isNotNull()))
+
+
+def _has(c: Column, markers: list[str]) -> Column:
+    return F.exists(dom.strings(markers), lambda m: F.contains(c, m))
+
 
+def page_state(page: Column, html: Column, status: Column | None = None) -> Column:
+    """blocked, retry, paywall, thin or ok, by HTTP status if there is one, title, markers and the length of the content."""
+    title, body = F.lower(F.coalesce(dom.title(page), F.lit(""))), F.lower(F.left(page["text"], F.lit(20000)))
+    challenge = _has(title, lists.CHALLENGE_TITLES) | _has(F.lower(F.left(F.coalesce(html, F.lit("")), F.lit(8000))), lists.CHALLENGE_BODIES)
+    paywall = _has(title, lists.PAYWALL_TITLES) | _has(body, lists.PAYWALL_BODIES)
+    out = F.when(status.isin(lists.REFUSED), "blocked").when(status.isin(lists.RETRIED), "retry") if status is not None else F.when(F.lit(False), "")
+    return out.when(challenge, "blocked").when(paywall, "paywall").when(dom.content_length(page) < 200, "thin").otherwise("ok")
 
-def page_state(nodes: Column, html: Column, status: Column | None = None) -> Column:
-    """blocked, paywall, thin or ok."""
-    title, body = F.lower(F.coalesce(dom.title(nodes), F.lit(""))), F.lower(F.coalesce(F.try_element_at(dom.by_tag(nodes, "body"), F.lit(1))["text"], F.lit("")))
-    has = lambda c, markers: F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(c, m))
-    challenge = has(title, lists.CHALLENGE_TITLES) | has(F.left(F.lower(html), F.lit(8000)), lists.CHALLENGE_BODIES)
-    paywall = has(title, lists.PAYWALL_TITLES) | has(F.left(body, F.lit(20000)), lists.PAYWALL_BODIES)
-    out = F.when(status.isin(lists.REFUSED), "blocked") if status is not None else F.when(F.lit(False), "")
-    return out.when(challenge, "blocked").when(paywall, "paywall").when(F.length(body) < 200, "thin").otherwise("ok")
 
+def classify_fetched(fetched: DataFrame, backoff: float = 1.5) -> DataFrame:
+    """fetched(url, status_code, content_type, content, retry_after, attempt) with html, garbled, state and, for those to
+    be fetched again, delay in seconds."""
+    html = text.decode_bytes(F.col("content"), text.charset(F.col("content_type")))
+    out = dom.with_dom(fetched.withColumn("html", html))
+    state = page_state(F.col("dom"), F.col("html"), F.col("status_code"))
+    delay = F.when(text.http_class(F.col("status_code")) == "retry", text.retry_delay(F.col("retry_after"), backoff, F.col("attempt")))
+    return out.withColumns({"garbled": F.coalesce(text.bad_chars(F.col("html")), F.lit(False)), "state": state, "delay": delay}).drop("dom")
 
-def longest_paragraph(nodes: Column) -> Column:
-    """The longest paragraph over 50 characters outside list items that isn't mostly links; the first of equals."""
-    items = dom.by_tag(nodes, "li")
-    ok = F.filter(dom.by_tag(nodes, "p"), lambda p: (F.length(p["text"]) > 50) & ~F.exists(items, lambda a: (a["id"] < p["id"]) & (p["id"] <= a["end"])) & (dom.link_density(nodes, p) <= 0.5))
-    best = F.aggregate(ok, F.lit(""), lambda s, p: F.when(F.length(p["text"]) > F.length(s), p["text"]).otherwise(s))
+
+def inside(node_id: Column, boxes: Column) -> Column:
+    return F.exists(boxes, lambda s: (s["id"] < node_id) & (node_id <= s["end"]))
+
+
+def longest_paragraph(page: Column) -> Column:
+    """The longest paragraph over 50 characters outside list items that isn't mostly links, of main, else article, else the page;
+    the first of equals."""
+    items = dom.by_tag(page, "li")
+    box = F.coalesce(dom.first(dom.by_tag(page, "main")), dom.first(dom.by_tag(page, "article")))
+    near = F.filter(dom.by_tag(page, "p"), lambda p: (dom.text_length(p) > 50) & F.coalesce((p["id"] > box["id"]) & (p["id"] <= box["end"]), F.lit(True)))
+    ok = F.filter(near, lambda p: ~inside(p["id"], items) & (dom.link_density(page, p) <= 0.5))
+    texts = F.filter(F.transform(ok, lambda p: dom.collapse(dom.text(page, p))), lambda t: F.length(t) > 50)
+    best = F.aggregate(texts, F.lit(""), lambda s, t: F.when(F.length(t) > F.length(s), t).otherwise(s))
     return F.when(best != "", best)
 
 
+def author_scopes(name: str = "dom") -> Column:
+    """Boxes that selectors of author blocks find, selector by selector; those that hold a header or footer wrap the page and don't count."""
+    found, edges = dom.select(name, *lists.AUTHOR_SCOPES), dom.by_tag(F.col(name), "header", "footer")
+    return F.filter(found, lambda s: ~s["tag"].isin("html", "body") & ~F.exists(edges, lambda d: (d["id"] > s["id"]) & (d["id"] <= s["end"])))
+
+
+def main_scopes(page: Column) -> Column:
+    return F.concat(dom.by_tag(page, "main"), dom.by_tag(page, "article"))
+
+
+def site_names(page: str = "dom") -> Column:
+    """The publication's names, lower-cased."""
+    return F.array_distinct(F.filter(F.array(F.lower(dom.meta(page, "og:site_name")), F.lower(dom.meta(page, "application-name"))), lambda v: v.isNotNull()))
+
+
+def page_emails(page: Column, anchors: Column, scopes: Column, people: Column) -> Column:
+    """Distinct plausible addresses in order: a person's in JSON-LD, and of the scopes, or of the whole page without any, mail links, text, coded and data attributes."""
+    everywhere = F.size(scopes) == 0
+    nodes = F.filter(page["nodes"], lambda n: everywhere | inside(n["id"], scopes))
+    # The joint is no white space and no part of an address: none is read across two scopes.
+    seen = F.when(everywhere, page["raw"]).otherwise(F.array_join(F.transform(scopes, lambda s: dom.visible(page, s)), "\u0001"))
+    mail = F.filter(anchors, lambda a: (everywhere | inside(a["id"], scopes)) & F.lower(a["href"]).startswith("mailto:"))
+    mailed = F.transform(mail, lambda a: F.trim(F.substring_index(F.substring(a["href"], F.lit(8), F.length(a["href"])), "?", 1)))
+    coded = F.transform(F.filter(nodes, lambda n: F.map_contains_key(n["attrs"], "data-cfemail")), lambda n: text.decode_hidden_email(n["attrs"]["data-cfemail"]))
+    kept = F.array_join(F.flatten(F.transform(nodes, dom.data_attributes)), "\u0001")
+    written = F.transform(F.regexp_extract_all(kept, F.lit(lists.EMAIL), F.lit(0)), lambda e: F.regexp_replace(e, r"^\.+|\.+$", ""))
+    known = F.transform(people, lambda p: p["email"])
+    found = F.filter(F.concat(known, mailed, coded, written), lambda e: F.coalesce((e != "") & text.plausible_email(e), F.lit(False)))
+    return F.array_sort(F.array_distinct(F.concat(found, text.emails(seen))))
+
+
+def ranked_emails(found: Column, name: Column, url: Column) -> Column:
+    """By score, best first, then in order."""
+    scored = F.array_sort(F.transform(found, lambda e: F.struct((-text.email_score(e, name, urls.root_domain(url))).alias("s"), e.alias("e"))))
+    return F.transform(scored, lambda s: s["e"])
+
+
+def with_accounts(page: DataFrame) -> DataFrame:
+    """Adds social_links, (platform, url) by platform, to a parsed page with _scopes and _mains: those of JSON-LD before links of the author's
+    blocks, or of the content where these have no account; the first of a platform counts. Links in running text are citations, no accounts."""
+    d = F.col("dom")
+    account = lambda u: F.struct(urls.classify_social(u).alias("platform"), u.alias("url"))
+    known = lambda found: F.filter(found, lambda s: s["platform"].isNotNull())
+    page = page.withColumns({
+        "_own": known(F.transform(F.filter("anchors", lambda a: a["url"].isNotNull()), lambda a: F.struct(a["id"].alias("id"), urls.classify_social(a["url"]).alias("platform"), a["url"].alias("url")))),
+        "_same": known(F.transform(F.flatten(F.transform(_typed(F.col("ld"), "Person"), lambda p: p["same_as"])), lambda u: account(urls.absolute(F.col("url"), u)))),
+        "_ps": F.transform(dom.by_tag(d, "p"), lambda p: F.struct(p["id"].alias("id"), p["end"].alias("end"), ((dom.text_length(p) >= 80) & (dom.link_density(d, p) < 0.5)).alias("prose"))),
+    })
+    nearest = lambda a: F.try_element_at(F.filter("_ps", lambda p: (p["id"] < a["id"]) & (a["id"] <= p["end"])), F.lit(-1))
+    page = page.withColumn("_own", F.filter("_own", lambda a: ~F.coalesce(nearest(a)["prose"], F.lit(False))))
+    held = lambda boxes: F.flatten(F.transform(boxes, lambda s: F.transform(F.filter("_own", lambda a: (s["id"] < a["id"]) & (a["id"] <= s["end"])), lambda a: F.struct(a["platform"].alias("platform"), a["url"].alias("url")))))
+    page = page.withColumns({"_held": held("_scopes"), "_else": held("_mains")})
+    page = page.withColumn("_linked", F.concat("_same", F.when(F.size("_held") > 0, F.col("_held")).otherwise(F.col("_else"))))
+    kinds = F.array_sort(F.array_distinct(F.transform("_linked", lambda s: s["platform"])))
+    page = page.withColumn("social_links", F.transform(kinds, lambda k: F.element_at(F.filter("_linked", lambda s: s["platform"] == k), 1)))
+    return page.drop("_own", "_same", "_ps", "_held", "_else", "_linked")
+
+
 def author_fields(page: DataFrame) -> DataFrame:
-    """Adds the author record's fields to a parsed page. Each is the first source that has it; null where none has."""
-    n, people = F.col("nodes"), _typed(F.col("ld"), "Person")
-    sites = F.array(F.lower(F.coalesce(dom.meta(n, "og:site_name"), F.lit(""))), F.lower(F.coalesce(dom.meta(n, "application-name"), F.lit(""))))
-    heads = F.filter(F.transform(dom.by_tag(n, "h1"), lambda h: text.collapse(h["text"])), lambda t: (t != "") & (F.length(t) < 80) & ~F.array_contains(sites, F.lower(t)))
-    byline = dom.meta(n, "author", "byl", "byline", "parsely-author")
-    long = lambda c, least: F.when(F.length(c) >= least, text.collapse(text.strip_tags(c)))
-    name = F.coalesce(_first(people, "name"), F.try_element_at(heads, F.lit(1)), F.when(F.length(byline) < 80, byline))
-    bio = F.left(F.coalesce(long(_first(people, "bio"), 20), long(dom.meta(n, "description", "author-description"), 20), dom.first_text(n, lists.BIO_SELECTORS, 20), longest_paragraph(n)), F.lit(2000))
-    scopes = F.flatten(F.array(*[dom.select(n, s) for s in lists.AUTHOR_SCOPES]))
-    mains = dom.by_tag(n, "main", "article")
-    boxed = F.filter(scopes, lambda s: ~s["tag"].isin("html", "body") & ~F.exists(n, lambda d: d["tag"].isin("header", "footer") & (d["id"] > s["id"]) & (d["id"] <= s["end"])))
-    scope = F.when(F.size(boxed) > 0, boxed).otherwise(mains)
-    anchors = F.filter(n, lambda a: (a["tag"] == "a") & (F.coalesce(a["attrs"]["href"], F.lit("")) != "") & F.exists("scope", lambda s: (a["id"] > s["id"]) & (a["id"] <= s["end"])))
-    page = page.withColumn("name", name).withColumn("bio", bio).withColumn("scope", scope).withColumn("hrefs", F.transform(anchors, lambda a: a["attrs"]["href"]))
-    everywhere = F.when(F.size("scope") > 0, F.array_join(F.transform("scope", lambda s: s["text"]), " ")).otherwise(F.array_join(F.transform(F.filter(n, lambda x: x["parent"] == -1), lambda x: x["text"]), " "))
-    mailed = F.transform(F.filter("hrefs", lambda h: F.lower(h).startswith("mailto:")), lambda h: F.regexp_replace(F.substring(h, 8, 400), r"\?.*$", ""))
-    found = F.array_sort(F.array_distinct(F.concat(text.emails(everywhere), F.filter(mailed, text.plausible_email))))
-    ranked = F.array_sort(F.transform(found, lambda e: F.struct((-text.email_score(e, F.col("name"), urls.root_domain(F.col("url")))).alias("s"), e.alias("e"))))
-    linked = F.filter(F.transform(F.concat(F.flatten(F.transform(people, lambda p: p["same_as"])), F.col("hrefs")), lambda u: F.struct(urls.classify_social(u).alias("platform"), u.alias("url"))), lambda s: s["platform"].isNotNull())
-    # The first URL of a platform wins: profiles named in JSON-LD stand first.
-    kinds = F.array_sort(F.array_distinct(F.transform(linked, lambda s: s["platform"])))
-    social = F.transform(kinds, lambda k: F.element_at(F.filter(linked, lambda s: s["platform"] == k), 1))
+    """Adds the author record's fields, and emails, to a parsed page. Each is the first source that has it; null where none has."""
+    d, people = F.col("dom"), F.col("_people")
+    page = page.withColumns({"_people": _typed(F.col("ld"), "Person"), "_scopes": author_scopes(), "_mains": main_scopes(d)})
+    page = with_accounts(page).withColumn("_boxes", F.when(F.size("_scopes") > 0, F.col("_scopes")).otherwise(F.col("_mains")))
+    head = dom.collapse(dom.text(d, dom.first(dom.by_tag(d, "h1"))))
+    head = F.when((head != "") & (F.length(head) < 80) & ~F.array_contains(site_names(), F.lower(head)), head)
+    key = lambda m: F.lower(F.coalesce(F.nullif(m["attrs"]["name"], F.lit("")), m["attrs"]["property"], F.lit("")))
+    byline = dom.first(F.filter(F.transform(F.filter(d["nodes"], lambda m: (m["tag"] == "meta") & F.array_contains(dom.strings(lists.BYLINE_META), key(m))), lambda m: F.trim(m["attrs"]["content"])), lambda c: F.length(c).between(1, 79)))
+    told = dom.first(F.filter(F.transform(people, lambda p: p["bio"]), lambda b: F.length(b) >= 20))
+    described = F.trim(text.strip_tags(dom.meta("dom", "description", "author-description")))
+    bio = F.left(F.coalesce(text.collapse(text.strip_tags(told)), F.when(F.length(described) >= 20, text.collapse(described)), dom.first_text("dom", lists.BIO_SELECTORS, 20), longest_paragraph(d)), F.lit(2000))
+    page = page.withColumns({
+        "name": F.coalesce(_first(people, "name"), head, byline), "bio": bio,
+        "emails": page_emails(d, F.col("anchors"), F.col("_boxes"), people),
+        "location": F.coalesce(_first(people, "place"), dom.first_text("dom", lists.LOCATION_SELECTORS)),
+        "organization": F.coalesce(_first(people, "org"), _first(_typed(F.col("ld"), "Organization"), "name"), dom.meta("dom", "og:site_name"), dom.meta("dom", "application-name")),
+        "_job": F.coalesce(_first(people, "job"), dom.first_text("dom", lists.JOB_SELECTORS)), "_email": _first(people, "email"),
+    })
+    page = page.withColumn("emails", ranked_emails(F.col("emails"), F.col("name"), F.col("url")))
+    account = lambda kind: dom.first(F.filter("social_links", lambda s: s["platform"] == kind))["url"]
     return page.withColumns({
-        "emails": found, "email": F.coalesce(_first(people, "email"), F.try_element_at(ranked, F.lit(1))["e"]), "social_links": social,
-        "job_title": F.coalesce(_first(people, "job"), dom.first_text(n, lists.JOB_SELECTORS)),
-        "location": F.coalesce(_first(people, "place"), dom.first_text(n, lists.LOCATION_SELECTORS)),
-        "organization": F.coalesce(_first(people, "org"), _first(_typed(F.col("ld"), "Organization"), "name"), dom.meta(n, "og:site_name"), dom.meta(n, "application-name")),
-    }).drop("scope", "hrefs")
+        "job_title": F.coalesce("_job", text.role_in_prose(F.col("bio"), F.col("name"))), "email": F.coalesce("_email", dom.first(F.col("emails"))),
+        "linkedin": account("linkedin"), "twitter": account("twitter"),
+    }).drop("_people", "_scopes", "_mains", "_boxes", "_job", "_email")
+
 
+def candidates(page: DataFrame) -> DataFrame:
+    """Adds found, array<struct<source, name, profile_url>>, to a parsed page: the ordered union of all detectors, the first of
+    each (name, URL). Sources: 0 JSON-LD, 1 meta, 2 byline links, 3 links to author pages, 4 microdata, 5 title.
 
-def candidates(page: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, source, ord, name, profile_url): the ordered union of all detectors, the first of each (name, URL)."""
-    n, here = F.col("nodes"), F.col("url")
-    pair = lambda name, url: F.struct(name.alias("name"), url.alias("profile_url"))
+    A profile page is on the article's site and isn't the article: of links elsewhere only the name stays."""
+    d, here = F.col("dom"), F.col("url")
     none = F.lit(None).cast("string")
-    people = F.transform(_typed(F.col("ld"), "Person"), lambda p: pair(p["name"], F.when(urls.same_domain(p["url"], here), p["url"])))
-    strings = F.transform(F.filter("ld", lambda p: p["author"].isNotNull()), lambda p: pair(p["author"], none))
-    metas = F.flatten(F.transform(F.filter(n, lambda m: (m["tag"] == "meta") & F.lower(F.coalesce(m["attrs"]["name"], m["attrs"]["property"], F.lit(""))).isin(lists.AUTHOR_META)), lambda m: F.transform(F.split(m["attrs"]["content"], ";|,| and "), lambda t: pair(F.trim(t), none))))
-    anchors = lambda found: F.transform(found, lambda a: pair(text.collapse(a["text"]), a["attrs"]["href"]))
-    bylines = F.flatten(F.array(*[anchors(dom.select(n, s)) for s in lists.BYLINE_SELECTORS]))
-    profile = anchors(F.filter(n, lambda a: (a["tag"] == "a") & urls.looks_like_author_page(F.coalesce(a["attrs"]["href"], F.lit("")))))
-    micro = anchors(dom.select(n, "[itemprop=author]"))
-    by = F.array(pair(F.trim(F.regexp_extract(F.coalesce(dom.title(n), F.lit("")), r"(?i)\bBy\s+([A-Za-z](?U)[\w'’.\- ]{1,70}?)(?:\s*[|\-–—]\s|$)", 1)), none))
-
-    def ranked(i: int, c: Column) -> Column:
-        return F.transform(c, lambda s: F.struct(F.lit(i).alias("source"), s["name"].alias("name"), s["profile_url"].alias("profile_url")))
-
-    every = [ranked(i, c) for i, c in enumerate([F.concat(strings, people), metas, bylines, profile, micro, by])]
-    rows = page.select(*keys, here.alias("_base"), F.posexplode(F.concat(*every)).alias("ord", "c")).select(*keys, "_base", "ord", "c.*")
-    rows = rows.withColumn("profile_url", urls.resolve_url(F.col("_base"), F.col("profile_url")))
-    rows = rows.withColumn("profile_url", F.when(urls.same_domain(F.col("profile_url"), F.col("_base")) & (F.col("profile_url") != F.col("_base")), F.col("profile_url"))).withColumn("name", F.when(text.plausible_name(F.col("name")), F.trim("name")))
-    rows = rows.where("name is not null or profile_url is not null")
-    return rows.groupBy(*keys, F.lower("name").alias("_n"), "profile_url").agg(F.min(F.struct("ord", "source", "name", "_base")).alias("c")).select(*keys, "c.source", "c.ord", "c.name", "profile_url", "c._base")
-
-
-def choose_author(found: DataFrame, keys: list[str]) -> DataFrame:
-    """The candidate with most of: a name, a URL, on the same site, that looks like an author page; the earliest of equals."""
-    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    url = F.col("profile_url")
-    score = flag(F.col("name").isNotNull()) + flag(url.isNotNull()) + flag(urls.same_domain(url, F.col("_base"))) + flag(urls.looks_like_author_page(url))
-    return found.withColumn("score", score).groupBy(*keys).agg(F.max_by(F.struct("name", "profile_url", "score"), F.struct("score", -F.col("ord"))).alias("c")).select(*keys, "c.*")
+    page = page.withColumn("_self", F.coalesce(urls.absolute(here, here), here))
+    pair = lambda name, url: F.struct(name.alias("name"), url.alias("url"))
+    at_home = lambda url: F.coalesce(urls.same_domain(url, here), F.lit(False))
+    name_of = lambda c: F.when(text.plausible_name(c), c)
+    some = lambda ok, p: F.when(ok, F.array(p)).otherwise(F.array().cast("array<struct<name string, url string>>"))
+
+    def from_ld(n: Column) -> Column:
+        is_person = F.exists(n["types"], lambda t: F.contains(t, F.lit("Person")) | F.contains(t, F.lit("Author")))
+        same = F.transform(F.filter(n["same_as"], at_home), lambda u: pair(n["name"], urls.absolute(here, u)))
+        own = F.when(n["url"].isNotNull(), F.array(pair(n["name"], F.when(at_home(n["url"]), urls.absolute(here, n["url"]))))).otherwise(F.concat(same, F.array(pair(n["name"], none))))
+        return F.concat(some(text.plausible_name(n["author"]), pair(n["author"], none)), F.when(is_person, own).otherwise(F.array().cast("array<struct<name string, url string>>")))
+
+    def from_meta(m: Column) -> Column:
+        content = F.trim(m["attrs"]["content"])
+        parts = F.filter(F.transform(F.split(content, r"[;,]|\s+and\s+"), F.trim), text.plausible_name)
+        return F.when(F.lower(content).startswith("http"), some(at_home(content), pair(none, urls.absolute(here, content)))).otherwise(F.transform(parts, lambda t: pair(t, none)))
+
+    def from_link(a: Column) -> Column:
+        """A byline's link; without a followable href only its label counts."""
+        return some(F.coalesce(a["url"] != F.col("_self"), F.lit(True)), pair(name_of(a["label"]), F.when(at_home(a["url"]), a["url"])))
+
+    def from_item(a: Column) -> Column:
+        under = dom.within(d["nodes"], a)
+        prop = lambda p: dom.first(F.filter(under, lambda n: F.coalesce(n["attrs"]["itemprop"] == p, F.lit(False))))
+        scoped = F.map_contains_key(a["attrs"], "itemscope")
+        link = prop("url")
+        name = F.when((a["tag"] != "a") & scoped, dom.text(d, prop("name"))).otherwise(dom.text(d, a))
+        url = F.when(a["tag"] == "a", a["url"]).when(scoped, link["url"])
+        return some(text.plausible_name(name), pair(dom.collapse(name), urls.clean_url(url)))
+
+    meta_key = lambda m: F.lower(F.coalesce(F.nullif(m["attrs"]["name"], F.lit("")), m["attrs"]["property"], F.lit("")))
+    metas = F.filter(d["nodes"], lambda m: (m["tag"] == "meta") & F.array_contains(dom.strings(lists.AUTHOR_META), meta_key(m)) & (F.trim(m["attrs"]["content"]) != ""))
+    paths = F.filter("anchors", lambda a: at_home(a["url"]) & (a["url"] != F.col("_self")) & urls.looks_like_author_page(a["url"]))
+    items = dom.select("dom", "[itemprop=author]")
+    by = F.trim(F.regexp_extract(F.coalesce(dom.title(d), F.lit("")), lists.TITLE_BYLINE, 1))
+    linked = F.transform(dom.select("dom", *lists.BYLINE_SELECTORS), lambda a: F.struct(dom.collapse(dom.text(d, a)).alias("label"), urls.clean_url(a["url"]).alias("url")))
+    page = page.withColumns({"_links": linked, "_paths": paths, "_items": items, "_metas": metas, "_by": by})
+    scoped = F.filter("_items", lambda a: F.map_contains_key(a["attrs"], "itemscope"))
+    detected = [
+        F.flatten(F.transform("ld", from_ld)),
+        F.flatten(F.transform("_metas", from_meta)),
+        F.flatten(F.transform("_links", from_link)),
+        F.transform("_paths", lambda a: pair(name_of(a["label"]), a["url"])),
+        F.concat(F.flatten(F.transform("_items", from_item)), F.transform(F.filter("_paths", lambda a: inside(a["id"], scoped)), lambda a: pair(none, a["url"]))),
+        some(text.plausible_name(F.col("_by")), pair(F.col("_by"), none)),
+    ]
+    told = lambda i: lambda s: F.struct(F.lit(i).alias("source"), F.nullif(F.trim(s["name"]), F.lit("")).alias("name"), s["url"].alias("profile_url"))
+    every = F.concat(*[F.transform(c, told(i)) for i, c in enumerate(detected)])
+    page = page.withColumn("_every", F.filter(every, lambda c: c["name"].isNotNull() | c["profile_url"].isNotNull()))
+    key = lambda c: F.struct(F.lower(c["name"]).alias("n"), c["profile_url"].alias("u"))
+    keys = F.array_distinct(F.transform("_every", key))
+    found = F.transform(keys, lambda k: F.element_at(F.filter("_every", lambda c: key(c).eqNullSafe(k)), 1))
+    return page.withColumn("found", found).drop("_self", "_every", "_links", "_paths", "_items", "_metas", "_by")
+
+
+def candidate_score(c: Column, here: Column) -> Column:
+    flag = lambda ok: F.coalesce(ok, F.lit(False)).cast("int")
+    url = c["profile_url"]
+    return flag(c["name"].isNotNull()) + flag(url.isNotNull()) + flag(urls.same_domain(url, here)) + flag(urls.looks_like_author_page(url))
+
+
+def choose_author(found: Column, here: Column) -> Column:
+    """The candidate with most of: a name, a URL, on the same site, that looks like an author page; the earliest of equals. Null without any."""
+    scored = F.transform(found, lambda c, i: F.struct((-candidate_score(c, here)).alias("s"), i.alias("i"), c.alias("c")))
+    return dom.first(F.array_sort(scored))["c"]
+
+
+def choose_authors(found: Column, most: int = 10) -> Column:
+    """The first candidate of each name, so many at most."""
+    named = F.filter(found, lambda c: c["name"].isNotNull())
+    names = F.slice(F.array_distinct(F.transform(named, lambda c: F.lower(c["name"]))), 1, most)
+    return F.transform(names, lambda n: F.element_at(F.filter(named, lambda c: F.lower(c["name"]) == n), 1))
 
 
 def crawl(articles: DataFrame, captured: DataFrame) -> DataFrame:
-    """articles(page_id, url, html) and all captured pages to (page_id, article_url, status, and the author's record)."""
-    page = parsed(articles)
-    state = page.select("page_id", F.col("url").alias("article_url"), page_state(F.col("nodes"), F.col("html")).alias("state"))
-    chosen = choose_author(candidates(page, ["page_id"]), ["page_id"])
-    fields = ["job_title", "bio", "email", "social_links", "organization", "location"]
-    wanted = captured.join(chosen.select(F.col("profile_url").alias("url")).distinct(), "url", "left_semi")
-    profile = author_fields(parsed(wanted)).select(F.col("url").alias("profile_url"), F.col("name").alias("page_name"), *fields)
-    out = state.join(chosen, "page_id", "left").join(profile, "profile_url", "left")
-    status = F.when(F.col("state").isin("blocked", "paywall"), F.col("state")).when(F.col("score").isNull(), "no_author_found").when(F.col("profile_url").isNull(), "no_author_page").otherwise("success")
-    return out.select("page_id", "article_url", status.alias("status"), F.coalesce("name", "page_name").alias("name"), "profile_url", *fields)
+    """articles(page_id, url, html) and all captured pages(url, html) to (page_id, article_url, status, the author's record, authors).
+
+    status: blocked or paywall of either page, no_author_found, no_author_page, error where the profile page isn't among the captured ones, success.
+    authors has all of several: the first with the record, others with their own page's, or with name and URL where it has none. Of repeated
+    captures of a URL the least counts. page_id names an article; repeated ones count once."""
+    page = candidates(parsed(articles.withColumn("url", urls.normalize_article_url(F.col("url")))))
+    page = page.select("page_id", F.col("url").alias("article_url"), page_state(F.col("dom"), F.col("html")).alias("state"), choose_author(F.col("found"), F.col("url")).alias("chosen"), choose_authors(F.col("found")).alias("several"))
+    rest = F.transform(F.slice("several", 2, 9), lambda c, i: F.struct((i + 1).alias("place"), c["name"].alias("name"), c["profile_url"].alias("profile_url")))
+    slots = F.concat(F.array(F.struct(F.lit(0).alias("place"), F.col("chosen.name").alias("name"), F.col("chosen.profile_url").alias("profile_url"))), F.when(F.size("several") > 1, rest).otherwise(F.array().cast("array<struct<place int, name string, profile_url string>>")))
+    fetched = F.col("state").isin("blocked", "paywall")
+    slots = F.when(fetched | F.col("chosen").isNull(), F.array().cast("array<struct<place int, name string, profile_url string>>")).otherwise(slots)
+    asked = page.select("page_id", "article_url", "state", F.col("chosen").isNull().alias("none"), (F.size("several") > 1).alias("many"), F.explode_outer(slots).alias("s"))
+    open_to = F.coalesce(urls.same_domain(F.col("s.profile_url"), F.col("article_url")), F.lit(False))
+    # A profile that isn't fetched has a key of its own that no page has: no task gets all of these rows.
+    asked = asked.withColumn("url", F.when(open_to, F.col("s.profile_url"))).withColumn("key", F.coalesce("url", F.concat(F.lit("\u0001"), F.col("page_id").cast("string"))))
+    wanted = captured.select("url", "html").join(asked.select("url").where("url is not null").distinct(), "url", "left_semi").groupBy("url").agg(F.min("html").alias("html"))
+    known = author_fields(parsed(wanted))
+    known = known.select(F.col("url").alias("key"), page_state(F.col("dom"), F.col("html")).alias("page_state"), F.col("name").alias("page_name"), *FIELDS)
+    got = asked.join(known, "key", "left")
+    stub = F.coalesce(F.col("page_state").isin("blocked", "paywall"), F.lit(True))
+    main = F.col("s.place") == 0
+    own = F.when(~stub, F.col("page_name"))
+    record = F.struct(
+        F.col("s.place").alias("place"), F.col("page_state").alias("state"), F.when(main, F.coalesce("s.name", own)).otherwise(F.coalesce(own, "s.name")).alias("name"),
+        F.when(main, F.col("url")).otherwise(F.col("s.profile_url")).alias("profile_url"), *[F.when(~stub, F.col(f)).alias(f) for f in FIELDS],
+    )
+    kept = ["article_url", "state", "none", "many"]
+    out = got.groupBy("page_id").agg(*[F.first(c).alias(c) for c in kept], F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), record))).alias("all")).withColumn("r", dom.first(F.col("all")))
+    status = (
+        F.when(F.col("state").isin("blocked", "paywall"), F.col("state")).when(F.col("none"), "no_author_found").when(F.col("r.profile_url").isNull(), "no_author_page")
+        .when(F.col("r.state").isNull(), "error").when(F.col("r.state").isin("blocked", "paywall"), F.col("r.state")).otherwise("success")
+    )
+    authors = F.transform("all", lambda r: F.struct(*[r[f].alias(f) for f in lists.AUTHOR_FIELDS]))
+    out = out.withColumn("status", status)
+    return out.select("page_id", "article_url", "status", *[F.col(f"r.{f}").alias(f) for f in lists.AUTHOR_FIELDS], F.when((F.col("status") == "success") & F.col("many"), authors).alias("authors"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lists
+from ..functions.text import elapsed
 from ..functions.urls import author_key
 
-FILLED = ["name", "profile_url", "job_title", "bio", "email", "linkedin", "twitter", "organization", "location"]
+FILLED = lists.AUTHOR_FIELDS
 
 
 def dedupe(results: DataFrame, ord_column: str = "ord") -> DataFrame:
@@ -15,7 +17,9 @@ def dedupe(results: DataFrame, ord_column: str = "ord") -> DataFrame:
 
     Rows without a key stay apart."""
     key = F.coalesce(author_key(F.col("profile_url"), F.col("email"), F.col("name")), F.concat(F.lit("\x00"), F.col(ord_column)))
-    some = lambda c: F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col(ord_column)))
+    kinds = dict(results.dtypes)
+    filled = lambda c: F.size(c) > 0 if kinds[c].startswith("array") else F.col(c) != ""
+    some = lambda c: F.min_by(F.when(filled(c), F.col(c)), F.when(filled(c), F.col(ord_column)))
     urls = F.array_sort(F.collect_list(F.struct(ord_column, "article_url")))
     fields = [c for c in FILLED if c in results.columns]
     return results.groupBy(key.alias("author_key")).agg(
@@ -47,3 +51,52 @@ def not_loaded(new: DataFrame, loaded: DataFrame) -> DataFrame:
 
 def social_string(links: Column) -> Column:
     return F.array_join(F.transform(links, lambda s: F.concat(s["platform"], F.lit(": "), s["url"])), "; ")
+
+
+def merged(found: DataFrame, page: DataFrame, key: str) -> DataFrame:
+    """Article-page records with what their profile pages add: non-empty fields of the page, but for the name, where the article's stands."""
+    fields = [f for f in lists.AUTHOR_FIELDS if f in page.columns and f in found.columns]
+    kinds = dict(found.dtypes)
+    full = lambda f: F.when(F.size(f"p.{f}") > 0, F.col(f"p.{f}")) if kinds[f].startswith("array") else F.when(F.col(f"p.{f}") != "", F.col(f"p.{f}"))
+    pick = lambda f: F.coalesce(F.when(F.col("a.name") != "", F.col("a.name")), full(f)) if f == "name" else F.coalesce(full(f), F.col(f"a.{f}"))
+    others = [F.col(f"a.{c}") for c in found.columns if c not in fields]
+    return found.alias("a").join(page.alias("p"), F.col(f"a.{key}") == F.col(f"p.{key}"), "left").select(*others, *[pick(f).alias(f) for f in fields])
+
+
+def api_shape(results: DataFrame) -> DataFrame:
+    """job_id and one result as the service gives it: article_url, author, authors, status, error and elapsed seconds to hundredths."""
+    author = F.struct(*[F.col(f) for f in lists.AUTHOR_FIELDS if f in results.columns]).alias("author")
+    several = F.col("authors") if "authors" in results.columns else F.array()
+    return results.select("job_id", F.struct("article_url", author, F.coalesce(several, F.array().cast(results.schema["authors"].dataType) if "authors" in results.columns else F.array()).alias("authors"), "status", "error", elapsed(F.col("elapsed_seconds"), F.lit(False)).alias("elapsed_seconds")).alias("result"))
+
+
+def progress(entries: DataFrame) -> DataFrame:
+    """done, total and percent of entries(status); pending ones aren't done."""
+    done = F.count_if(F.col("status") != "pending")
+    return entries.agg(done.alias("done"), F.count(F.lit(1)).alias("total"), F.when(F.count(F.lit(1)) > 0, 100.0 * done / F.count(F.lit(1))).otherwise(0.0).alias("percent"))
+
+
+def pending(entries: DataFrame) -> DataFrame:
+    return entries.where("status = 'pending'")
+
+
+def completed(entries: DataFrame) -> DataFrame:
+    """Entries that have a result."""
+    return entries.where("result is not null")
+
+
+def dedupe_counts(results: DataFrame, ord_column: str = "ord") -> DataFrame:
+    """Rows before and after dedupe, in one pass: rows without a key stay apart."""
+    key = author_key(F.col("profile_url"), F.col("email"), F.col("name"))
+    return results.agg(F.count(F.lit(1)).alias("before"), (F.count_distinct(key) + F.count_if(key.isNull())).alias("after"))
+
+
+def without(entries: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """Entries minus the chosen ones."""
+    return entries.join(chosen.select(key), key, "left_anti")
+
+
+def sort_by(entries: DataFrame, column: str, ascending: bool = True) -> DataFrame:
+    """Ordered by a column as text, empty ones first."""
+    c = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return entries.orderBy(c.asc() if ascending else c.desc())

@@ -1,33 +1,121 @@
-"""URL lists from arguments, text files and sheets saved as CSV."""
+"""URL lists from arguments, text files, sheets (CSV and XLSX) and request bodies."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists
 from ..functions.urls import valid_http
 
+CELLS = "row long, cells array<string>"
+REQUEST = "url string, urls array<string>, timeout double, delay double, use_playwright boolean"
+
+
+def trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, r"^(?U)\s+|(?U)\s+$", "")
+
 
 def from_args(spark: SparkSession, urls: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(urls)), "ord long, url string")
 
 
+def url_lines(lines: DataFrame) -> DataFrame:
+    """lines(ord, value): trimmed lines that start with http."""
+    return lines.select("ord", trimmed(F.col("value")).alias("url")).where(F.col("url").startswith("http"))
+
+
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), "value")
+
+
 def from_text(spark: SparkSession, path: str) -> DataFrame:
-    """Trimmed lines that start with http."""
-    url = F.regexp_replace("value", r"^\s+|\s+$", "")
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), url.alias("url")).where(F.col("url").startswith("http"))
+    return url_lines(numbered(spark, path))
+
+
+def url_cells(sheet: DataFrame) -> DataFrame:
+    """sheet(row, cells): the column that the least row's header names, else the first; that row never counts. Cells that start with http."""
+    head = sheet.agg(F.min("row").alias("head"), F.min_by("cells", "row").alias("names"))
+    known = F.transform("names", lambda c: F.array_contains(F.array(*map(F.lit, lists.SHEET_HEADERS)), F.lower(F.trim(F.coalesce(c, F.lit(""))))))
+    at = F.greatest(F.array_position(known, True), F.lit(1)).cast("int")
+    rows = sheet.crossJoin(F.broadcast(head.select("head", at.alias("at")))).where("row > head")  # one row
+    return rows.select(F.col("row").alias("ord"), trimmed(F.try_element_at("cells", F.col("at"))).alias("url")).where(F.col("url").startswith("http"))
 
 
 def from_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV sheet's URL column by its header, else its first column."""
-    sheet = spark.read.option("header", True).csv(path)
-    at = next((i for i, c in enumerate(sheet.columns) if c.strip().lower() in lists.SHEET_HEADERS), 0)
-    return sheet.toDF(*[f"c{i}" for i in range(len(sheet.columns))]).select(F.monotonically_increasing_id().alias("ord"), F.trim(f"c{at}").alias("url")).where(F.col("url").startswith("http"))
+    """A sheet's URL column; .xlsx workbooks by their first sheet, all else as CSV."""
+    if path.lower().endswith(".xlsx"):
+        return url_cells(read_xlsx(spark, path))
+    sheet = spark.read.option("header", False).csv(path)
+    return url_cells(sheet.select(F.monotonically_increasing_id().alias("row"), F.array(*sheet.columns).alias("cells")))
+
+
+def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """(row, cells) of a workbook's first sheet: texts, shared and inline, and numbers as written."""
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_workbooks, CELLS)
+
+
+def _workbooks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    text = lambda e: "".join(t.text or "" for t in e.iter(f"{space}t"))
+    for frame in frames:
+        for content in frame.content:
+            book = zipfile.ZipFile(io.BytesIO(content))
+            names = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+            shared = [text(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{space}si")] if "xl/sharedStrings.xml" in book.namelist() else []
+            rows = []
+            for place, row in enumerate(ElementTree.fromstring(book.read(names[0])).iter(f"{space}row")):
+                cells: list[str | None] = []
+                for cell in row.iter(f"{space}c"):
+                    at = 0
+                    for letter in re.match("[A-Z]*", cell.get("r", ""))[0]:
+                        at = at * 26 + ord(letter) - 64
+                    cells += [None] * (at - 1 - len(cells))
+                    value = cell.find(f"{space}v")
+                    cells.append(text(cell) if cell.get("t") == "inlineStr" else None if value is None else shared[int(value.text)] if cell.get("t") == "s" else value.text)
+                rows.append((int(row.get("r", place + 1)), cells))
+            yield pd.DataFrame(rows, columns=["row", "cells"])
+
+
+def web_lines(lines: DataFrame, most: int = 50) -> DataFrame:
+    """lines(ord, value): blank ones dropped, a header as the first line skipped, one outer comma on either side removed, valid URLs,
+    the first so many. Spark keeps only so many rows of each partition."""
+    kept = lines.select("ord", trimmed(F.col("value")).alias("value")).where("value <> ''")
+    first = kept.orderBy("ord").limit(1).select(F.col("ord").alias("first"))
+    header = F.lower("value").isin("url", "urls") & F.col("ord").eqNullSafe(F.col("first"))
+    rows = kept.join(F.broadcast(first), F.col("ord") == F.col("first"), "left").where(~header)  # one row
+    return rows.select("ord", trimmed(F.regexp_replace("value", "^,|,$", "")).alias("url")).where(valid_http(F.col("url"))).orderBy("ord").limit(most)
 
 
 def from_web_csv(spark: SparkSession, path: str, most: int = 50) -> DataFrame:
-    """Lines without outer commas, a header line skipped, valid URLs, the first so many."""
-    line = F.regexp_replace(F.regexp_replace("value", r"^\s+|\s+$", ""), "^,|,$", "")
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), line.alias("url"))
-    return rows.where(~F.lower("url").isin("url", "urls") & valid_http(F.col("url"))).orderBy("ord").limit(most)
+    return web_lines(numbered(spark, path), most)
+
+
+def added(loaded: DataFrame, new: DataFrame) -> DataFrame:
+    """loaded(ord, url) with new(url) typed in: trimmed, not blank, not there yet; they follow in order of their text."""
+    fresh = new.select(trimmed(F.col("url")).alias("url")).where("url <> ''").distinct().join(loaded.select("url"), "url", "left_anti")
+    last = loaded.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("last"))
+    return loaded.select("ord", "url").unionByName(fresh.crossJoin(F.broadcast(last)).select((F.col("last") + F.row_number().over(Window.orderBy("url"))).alias("ord"), "url"))  # typed by hand: few
+
+
+def appended(args: DataFrame, file: DataFrame) -> DataFrame:
+    """URLs of the arguments, then those of the file, repeats kept: (source, ord, url)."""
+    return args.select(F.lit(0).alias("source"), "ord", "url").unionByName(file.select(F.lit(1).alias("source"), "ord", "url"))
+
+
+def requests(bodies: DataFrame, most: int = 50, timeout: float = 20.0, delay: float = 1.5) -> DataFrame:
+    """bodies(request, value): request bodies with url or urls to (request, place, url, timeout, delay, rendered, error), a row for
+    each URL. A batch of more than `most` is rejected as one row; so are bodies that aren't JSON or have an invalid URL."""
+    read = bodies.select("request", F.from_json("value", REQUEST).alias("b"))
+    every = F.coalesce(F.col("b.urls"), F.array("b.url"))
+    wrong = F.exists(every, lambda u: ~valid_http(u))
+    error = F.when(F.col("b").isNull() | (F.col("b.url").isNull() & F.col("b.urls").isNull()), "invalid body").when(F.size(every) > most, F.lit(f"Maximum {most} URLs per batch")).when(wrong, "invalid url")
+    rows = read.withColumn("error", error).withColumn("all", F.when(F.col("error").isNull(), every).otherwise(F.array(F.lit(None).cast("string"))))
+    return rows.select("request", F.posexplode("all").alias("place", "url"), F.coalesce("b.timeout", F.lit(timeout)).alias("timeout"), F.coalesce("b.delay", F.lit(delay)).alias("delay"), F.coalesce("b.use_playwright", F.lit(True)).alias("rendered"), "error")

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from folioscope.plans.queries import ORACLE, QUERIES
+from folioscope.plans.all import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,13 +17,18 @@ def rows(columns, values):
     return sorted([tuple(plain(r[i]) for i in order) for r in values], key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
-def test_same_as_sql(spark, name):
+@pytest.fixture(scope="session")
+def duck():
     con = duckdb.connect()
     for t in Path(SF).glob("*.parquet"):
         con.execute(f"CREATE VIEW {t.stem} AS SELECT * FROM read_parquet('{t}')")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_same_as_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
-    found = con.execute(ORACLE[name])
+    found = duck.execute(ORACLE[name])
     columns, expected = [d[0] for d in found.description], found.fetchall()
     assert sorted(columns) == sorted(df.columns)
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(columns, expected)
