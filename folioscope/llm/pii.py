@@ -3,30 +3,49 @@
 from __future__ import annotations
 
 import re
-from functools import cache
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from .common import LOWER, UPPER
 from .spans import Span, add_columns, base_digest, listed
 
 #: Kinds in the order of listing; the first four are the base kinds.
-KINDS = ["email", "ip", "card", "phone", "account", "address"]
+KINDS = ["email", "ip", "card", "phone", "account", "identity", "address"]
 BASE = KINDS[:4]
+FOLD = str.maketrans(UPPER, LOWER)
 
 LETTERS_DIGITS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 DIGITS = frozenset("0123456789")
 LOCAL = LETTERS_DIGITS | frozenset("._%+-")
 LABEL = LETTERS_DIGITS | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
-#: Schemes and cues that precede an address or an account number.
+#: Schemes, and cues of identifiers with the sort of value that follows them, lower-cased; words that may stand between.
 SCHEMES = ["mailto:", "tel:", "sms:", "://"]
-CUES = ["IBAN", "iban", "Iban"]
-#: An IBAN's country, check digits and number, grouped or not.
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", re.ASCII)
+CUES = {
+    "iban": ["iban"],
+    "bank": ["account", "acct", "a/c", "konto", "kontonummer", "compte", "cuenta", "sort code", "blz"],
+    "routing": ["routing", "aba"],
+    "swift": ["swift", "bic", "swift code"],
+    "ssn": ["ssn", "social security"],
+    "passport": ["passport", "reisepass", "passeport", "pasaporte"],
+    "tax": ["tax id", "vat id", "vat", "ust-idnr", "tin"],
+}
+BETWEEN = re.compile(r"(?:[\x20\t]{0,3}(?:number|num|nummer|code|no|nr|n°|id|is|#|[:.=-])){0,4}[\x20\t]{0,3}", re.ASCII)
+#: Values by sort, and the kind of span that each makes. Lengths are bounded, so a look costs the same however long a text is.
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Z0-9])", re.ASCII)
+VALUES = {
+    "bank": (re.compile(r"[0-9](?:[\x20-]?[0-9]){5,17}(?![0-9])", re.ASCII), "account"),
+    "routing": (re.compile(r"[0-9]{9}(?![0-9])", re.ASCII), "account"),
+    "swift": (re.compile(r"[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?(?![A-Za-z0-9])", re.ASCII), "account"),
+    "ssn": (re.compile(r"(?!000|666|9)[0-9]{3}([\x20-]?)(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![0-9])", re.ASCII), "identity"),
+    "passport": (re.compile(r"(?=[A-Z]{0,3}[0-9])[A-Z0-9]{6,9}(?![A-Za-z0-9])", re.ASCII), "identity"),
+    "tax": (re.compile(r"(?:[A-Z]{2})?[0-9](?:[\x20-]?[0-9]){7,11}(?![0-9])", re.ASCII), "identity"),
+}
 
 
-@cache
 def automaton():
+    """Anchors: at-signs, plus signs, digits, schemes and cues; a longer cue that ends at the same place is told instead."""
     import ahocorasick
 
     out = ahocorasick.Automaton()
@@ -34,8 +53,9 @@ def automaton():
         out.add_word(word, (word if word in "@+" else "digit", 1))
     for word in SCHEMES:
         out.add_word(word, ("scheme", len(word)))
-    for word in CUES:
-        out.add_word(word, ("cue", len(word)))
+    for sort, words in CUES.items():
+        for word in words:
+            out.add_word(word, (sort, len(word)))
     out.make_automaton()
     return out
 
@@ -117,40 +137,71 @@ def phone_at(text: str, at: int) -> tuple[Span | None, int]:
     return ((at, end, "phone") if 10 <= sum(c in DIGITS for c in text[at:end]) <= 15 else None), end
 
 
-def account_after(text: str, at: int) -> Span | None:
-    """An IBAN that passes its check, at most a colon and spaces after the cue."""
-    while at < len(text) and text[at] in ": ":
-        at += 1
+def valid_iban(body: str) -> bool:
+    return len(body) >= 15 and int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97 == 1
+
+
+def iban_at(text: str, at: int) -> Span | None:
+    """An IBAN that passes its check; grouped ones may be followed by other words in capitals, which are left off."""
     if not (m := IBAN.match(text, at)):
         return None
-    body, end = m[0].replace(" ", ""), m.end()
-    while len(body) >= 15:
-        if int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97 == 1:
-            return at, end, "account"
-        body, end = body[:-1], end - 1
-        while text[end - 1] == " ":
-            end -= 1
-    return None
+    end = m.end()
+    while end > at and not valid_iban(text[at:end].replace(" ", "")):
+        end = text.rfind(" ", at, end)
+    return (at, end, "account") if end > at else None
+
+
+def value_after(text: str, at: int, sort: str) -> Span | None:
+    """The identifier that a cue ending at a place announces: of its sort, validated where it has a check."""
+    if at < len(text) and text[at] in LETTERS_DIGITS:
+        return None
+    at += BETWEEN.match(text[at : at + 64].translate(FOLD)).end()
+    if found := iban_at(text, at):
+        return found
+    if sort == "iban":
+        return None
+    pattern, kind = VALUES[sort]
+    if not (m := pattern.match(text, at)):
+        return None
+    if sort == "routing" and sum(w * int(d) for w, d in zip((3, 7, 1) * 3, m[0])) % 10:
+        return None
+    if sort == "passport" and sum(c in DIGITS for c in m[0]) < 5:
+        return None
+    return at, m.end(), kind
 
 
 def address_at(text: str, first: int, last: int) -> Span | None:
-    """mailto:, tel: and sms: with what they address; user:password@host of a URL."""
-    stop = last
-    while stop < len(text) and not text[stop].isspace() and text[stop] not in "\"'<>":
-        stop += 1
-    if text[first:last] == "://":
-        authority = re.match(r"[^/?#\s]*", text[last:stop])[0]
-        user = authority.rpartition("@")[0]
-        return (last, last + len(authority), "address") if ":" in user else None
-    target = text[last:stop].split("?")[0].rstrip(".,;)")
-    return (last, last + len(target), "address") if "@" in target or sum(c in DIGITS for c in target) >= 7 else None
-
-
-def find(text: str) -> list[Span]:
-    """All spans, base ones as the patterns define them: leftmost, not overlapping within a kind."""
+    """mailto:, tel: and sms: with what they address; user:password@host of a URL. No look goes past the next scheme's anchor."""
+    scheme = text[first:last]
+    if scheme == "://":
+        user = last
+        while user < len(text) and text[user] not in "/?#@:" and not text[user].isspace():
+            user += 1
+        at = user
+        while at < len(text) and text[at] not in "/?#@" and not text[at].isspace():
+            at += 1
+        if not last < user < at < len(text) or text[user] != ":" or text[at] != "@":
+            return None
+        end = run_end(text, at + 1, LOCAL)
+        return (last, end, "address") if end > at + 1 else None
+    if scheme == "mailto:":
+        at = run_end(text, last, LOCAL)
+        found = email_at(text, at, last) if at < len(text) and text[at] == "@" else None
+        return (*found, "address") if found else None
+    start = last + (last < len(text) and text[last] == "+")
+    end = run_end(text, start, PHONE - {" "})
+    while end > start and text[end - 1] not in DIGITS:
+        end -= 1
+    return (last, end, "address") if sum(c in DIGITS for c in text[start:end]) >= 7 else None
+
+
+def find(text: str, anchors=None) -> list[Span]:
+    """All spans, base ones as the patterns define them: leftmost, not overlapping within a kind.
+
+    Every look starts at an anchor and ends at the next character of another sort, so work follows the text's length."""
     spans: list[Span] = []
     free = dict.fromkeys(KINDS, 0)  # where a kind may match again
-    for last, (anchor, size) in automaton().iter(text):
+    for last, (anchor, size) in (anchors or automaton()).iter(text.translate(FOLD)):
         at = last + 1 - size
         if anchor == "digit":
             if at >= free["card"]:
@@ -168,32 +219,40 @@ def find(text: str) -> list[Span]:
                 hit, free["phone"] = phone_at(text, at)
                 spans += [hit] if hit else []
         elif anchor == "scheme":
-            if at >= free["address"] and (hit := address_at(text, at, last + 1)):
-                spans.append(hit)
-                free["address"] = hit[1]
-        elif at >= free["account"] and (hit := account_after(text, last + 1)):
+            hit = address_at(text, at, last + 1)
+        elif at == 0 or text[at - 1] not in LETTERS_DIGITS:
+            hit = value_after(text, last + 1, anchor)
+        else:
+            hit = None
+        if anchor not in ("digit", "@", "+") and hit and hit[0] >= free[hit[2]]:
             spans.append(hit)
-            free["account"] = hit[1]
+            free[hit[2]] = hit[1]
     return spans
 
 
-def row(text: str) -> tuple:
-    spans = find(text)
-    base = [s for s in spans if s[2] in BASE]
-    return (*[sum(s[2] == k for s in base) for k in BASE], base_digest(base, KINDS), listed(spans, KINDS))
+def start() -> Callable[[str], tuple]:
+    anchors = automaton()
+
+    def row(text: str) -> tuple:
+        spans = find(text, anchors)
+        base = [s for s in spans if s[2] in BASE]
+        return (*[sum(s[2] == k for s in base) for k in BASE], base_digest(base, KINDS), listed(spans, KINDS))
+
+    return row
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """Adds n_email, n_ip, n_card, n_phone, base_sha256 and spans to documents(text, ...).
 
     An Aho-Corasick automaton finds at-signs, plus signs, digits, schemes and account cues; parsers expand each to its
-    span and validate it. Besides the base kinds: `account` (IBANs that pass mod 97 after a cue) and `address` (targets
-    of mailto:, tel: and sms:, credentials in URLs). Offsets are code points.
+    span and validate it. Besides the base kinds: `account` (IBANs that pass mod 97, account, routing and SWIFT numbers after a
+    cue), `identity` (social security, passport and tax numbers after a cue) and `address` (targets of mailto:, tel: and sms:,
+    credentials in URLs). Offsets are code points. Each task builds the automaton, so executors need not have this package.
 
     Null and empty texts have no spans; texts of any length are read whole; repeated rows and null ids pass through;
     an empty table gives none; input columns that have the names of the added ones are replaced.
     """
-    return add_columns(docs, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", row)
+    return add_columns(docs, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", start)
 
 
 def mask(text: str) -> str:

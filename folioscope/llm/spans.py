@@ -23,8 +23,10 @@ def base_digest(spans: list[Span], kinds: list[str]) -> str:
     return sha_hex(listed(spans, kinds).encode())
 
 
-def add_columns(docs: DataFrame, added: str, row: Callable[[str], tuple]) -> DataFrame:
-    """docs(text, ...) with columns computed from each whole text (null: empty); replaces input columns of these names."""
+def add_columns(docs: DataFrame, added: str, start: Callable[[], Callable[[str], tuple]]) -> DataFrame:
+    """docs(text, ...) with columns computed from each whole text (null: empty); replaces input columns of these names.
+
+    start gives the function of a text; each task calls it once, so what it builds is never shipped."""
     new = StructType.fromDDL(added)
     kept = [c for c in docs.columns if c not in new.names]
     source = docs.select(*[f"`{c}`" for c in kept]) if kept != docs.columns else docs
@@ -33,7 +35,7 @@ def add_columns(docs: DataFrame, added: str, row: Callable[[str], tuple]) -> Dat
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        kinds = to_arrow_schema(new)
+        kinds, row = to_arrow_schema(new), start()
         for batch in batches:
             rows = [row(t or "") for t in batch.column("text").to_pylist()]
             made = [pa.array([r[i] for r in rows], kinds.field(i).type) for i in range(len(names))]
