@@ -40,9 +40,13 @@ def sentences(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of values from each of first to the next; first ends with len(values)."""
-    c = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return c[first[1:]] - c[first[:-1]]
+    """Sums of values from each of first to the next; first ends with len(values). Each is of its own values alone, so that a
+    document's score doesn't depend on its neighbours."""
+    out = np.zeros(len(first) - 1)
+    some = np.flatnonzero(first[1:] > first[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(np.asarray(values, np.float64), first[:-1][some])
+    return out
 
 
 def train(texts: list[str], toxic: list[int], features: int = 20_000, rounds: int = 200, rate: float = 0.1, decay: float = 2e-4) -> tuple[np.ndarray, float]:
