@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -120,7 +121,7 @@ def inside(grams: np.ndarray, row_word: np.ndarray, size: int) -> tuple[np.ndarr
     return grams[ok], at[ok]
 
 
-def scan(column: pa.Array, automata: list[Automaton]) -> tuple[np.ndarray, list[np.ndarray], list[set[int]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def scan(column: pa.Array, automata: Iterable[Automaton]) -> tuple[np.ndarray, list[np.ndarray], list[set[int]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Each row's first word, covered words, items found; word bounds, bytes and row offsets."""
     body, at = raw(column)
     starts, ends, row_word = bounds(body, at, ALNUM)
@@ -157,7 +158,7 @@ def without(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, cover: np.nd
     return body[keep].tobytes().decode("utf-8", "replace")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_words: int = 0, most_share: float = 1.0, clean: bool = True, block_words: int = 200_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_words: int = 0, most_share: float = 0.5, clean: bool = True, block_words: int = 200_000, most_bytes: int = 1 << 30) -> DataFrame:
     """Adds n_words, n_hit, n_items, items_sha256, contaminated, and with clean also clean_text and rejected, to
     documents(text, ...).
 
@@ -167,7 +168,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
 
     Only places where runs of up to four words are known from an item are streamed through the automaton; any window
     consists of such runs. The benchmark is a test set, not a corpus: it comes to the driver and makes an automaton for
-    each block_words words.
+    each block_words words. Their total is checked before they are broadcast: over most_bytes an error asks to split the benchmark. A worker holds
+    one automaton at a time.
 
     Null and empty texts have no words and aren't contaminated; items without words are no items; an item with a null
     id counts in n_items but isn't listed; rows with the same id are items of their own; repeated documents each get a
@@ -184,17 +186,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
         if words_held >= block_words:
             blocks.append(held)
             held, words_held = [], 0
-    index = [spark.sparkContext.broadcast(cloudpickle.dumps(Automaton(b, window))) for b in [*blocks, held] if b]
+    made = []
+    for b in [*blocks, held]:
+        if b:
+            made.append(cloudpickle.dumps(Automaton(b, window)))
+            if sum(map(len, made)) > most_bytes:
+                raise ValueError(f"the benchmark's automata take over {most_bytes} bytes: give it in parts")
+    index = [spark.sparkContext.broadcast(m) for m in made]
     names = spark.sparkContext.broadcast(named)
     added = StructType.fromDDL("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", clean_text string, rejected boolean" * clean)
     kept = [c for c in docs.columns if c not in added.names]
     source = docs.select(*[f"`{c}`" for c in kept])
 
     def over(batches):
-        automata, named = [pickle.loads(b.value) for b in index], names.value
+        only, named = pickle.loads(index[0].value) if len(index) == 1 else None, names.value
         for batch in batches:
             for part in chunks(batch, "text"):
-                row_word, cover, found, starts, ends, body, at = scan(part.column("text"), automata)
+                row_word, cover, found, starts, ends, body, at = scan(part.column("text"), [only] if only else (pickle.loads(b.value) for b in index))
                 n = np.diff(row_word)
                 c = np.concatenate([[0], np.cumsum(cover)])
                 hit = c[row_word[1:]] - c[row_word[:-1]]
