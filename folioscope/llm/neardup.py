@@ -472,8 +472,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near-duplicates of a smaller id: one of each component, and those without words.
     Of repeated rows of one id and text one stays."""
     found = linked(Scratch(docs.sparkSession, "neardup"), docs)
-    stay = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("s")).select(F.col("s.doc_id").alias("i"), F.col("s.k").alias("h"))
-    named = docs.withColumn("_k", F.xxhash64("text"))
-    worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    kept = named.where(worded).join(stay, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("_k") == F.col("h")), "left_semi").dropDuplicates(["doc_id", "_k"])
-    return kept.unionByName(named.where(~worded)).drop("_k")
+    stay = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("s")).select(F.col("s.doc_id").alias("s_id"), F.col("s.k").alias("s_k"))
+    # The columns travel as one, so that none can clash with these.
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("k"), F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)).alias("worded"))
+    kept = named.where("worded").join(stay, F.col("i").eqNullSafe(F.col("s_id")) & (F.col("k") == F.col("s_k")), "left_semi").dropDuplicates(["i", "k"])
+    return kept.unionByName(named.where("not worded")).select("doc.*")
