@@ -106,8 +106,8 @@ def test_near_duplicates(spark, corpus):
     want = sorted(((r[0], len(sets[i]), least.get(of[i]) if sets[i] else r[0]) for i, r in enumerate(corpus)), key=repr)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()), key=repr)
     assert got == want
-    kept = keep_one(docs)
-    assert kept.columns == docs.columns
+    kept = keep_one(docs.selectExpr("*", "1 AS h", "2 AS i", "3 AS _k", "4 AS doc", "5 AS worded", "6 AS s_k"))
+    assert kept.columns == [*docs.columns, "h", "i", "_k", "doc", "worded", "s_k"]
     assert kept.count() == len({of[i] for i, s in enumerate(sets) if s}) + sum(not s for s in sets)
     assert near_duplicates(empty(spark)).count() == 0
 
@@ -200,10 +200,106 @@ def test_secret_key_owners(spark):
 
 
 def test_pii_rows(spark, corpus):
-    assert pii.find_pii(spark.createDataFrame(corpus, SCHEMA)).count() == len(corpus)
+    """Counts, digest and joined spans of every row; base spans are those of the patterns."""
+    rows = [*corpus, (300, "a@b.org, +1 212 555 0199; 1.2.3.4 é card 4111 1111 1111 1111", *[None] * 7)]
+    got = pii.find_pii(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = Counter()
+    for r in rows:
+        base = sorted(base_pii(r[1] or ""), key=lambda s: (s[0], pii.KINDS.index(s[2])))
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()
+        want[(r[0], *[sum(s[2] == k for s in base) for k in pii.BASE], digest)] += 1
+    assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == want
+    assert {r.spans for r in got if r.doc_id == 300} == {"email:0:7,phone:9:24,ip:26:33,card:41:60"}
     assert pii.find_pii(empty(spark)).count() == 0
 
 
+def test_pii_identifiers():
+    found = lambda t: [(t[a:b], k) for a, b, k in sorted(pii.find(t)) if k not in pii.BASE]
+    assert found("account no. 12345678, then") == [("12345678", "account")]
+    assert found("Acct no: DE89370400440532013000.") == [("DE89370400440532013000", "account")]
+    assert found("IBAN: DE89 3704 0044 0532 0130 00 BIC: COBADEFFXXX") == [("DE89 3704 0044 0532 0130 00", "account"), ("COBADEFFXXX", "account")]
+    assert found("IBAN DE88370400440532013000; routing number 021000021, routing 021000022") == [("021000021", "account")]
+    assert found("SSN 123-45-6789, ssn: 000-45-6789; my Passport is C01X00T47") == [("123-45-6789", "identity"), ("C01X00T47", "identity")]
+    assert found("mailto:ann@b.org?x tel:+1-212-555-0199 https://u:p@host.org/x http://a.org:80/ sms:12") == [("ann@b.org", "address"), ("+1-212-555-0199", "address"), ("u:p@host.org", "address")]
+    assert found("myaccount 12345678 accounts 12345678 account holder") == []
+
+
+@pytest.mark.parametrize("unit", ["mailto:", "://", "tel:1", "IBAN ", "account no ", "+1", "a@", "1.", "http://a:b"])
+def test_pii_long_texts(unit):
+    """Work follows the length: a text of a megabyte takes some seconds at most, however its anchors crowd."""
+    import time
+
+    begun = time.time()
+    pii.find(unit * (1_000_000 // len(unit)))
+    assert time.time() - begun < 8
+
+
+def test_pii_without_the_package(tmp_path):
+    """Executors need not have this package installed."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).parents[2])!r})
+from pyspark.sql import SparkSession
+from folioscope.llm.pii import find_pii
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+print("EMAILS", find_pii(spark.createDataFrame([(1, "a@b.org")], "doc_id long, text string")).first().n_email)
+"""
+    import os
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "EMAILS 1" in out.stdout, out.stderr[-2000:]
+
+
+def test_secret_verdicts(spark):
+    rows = [(i, "password=hunter2222", f"s{i}") for i in range(3)] + [(9, "token: mine123456 password=hunter2222", "s1"), (8, None, "s2")]
+    got = {r.doc_id: r for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[9].verdicts == "assign:0:17:live,assign:18:37:copied"
+    assert (got[0].verdicts, got[8].verdicts) == ("assign:0:19:copied", "")
+    assert got[9].base_sha256 == hashlib.sha256(b"assign:0:17,assign:18:37").hexdigest()
+    assert secrets.find("eyJ-" * 250_000) == []
+
+
+def test_scores_of_documents_alone():
+    """A score doesn't depend on the texts beside it."""
+    table = RNG.standard_normal(1 << BITS).astype(np.float32)
+    texts = [". ".join(prose(int(n)) for n in RNG.integers(1, 30, 8)) for _ in range(60)] + ["", "one"]
+    together, _ = score_batch(pa.array(texts, pa.string()), table, -3.0)
+    alone = [score_batch(pa.array([t], pa.string()), table, -3.0)[0][0] for t in texts]
+    assert together.tolist() == alone
+
+
+def test_smallest_largest_shard(spark, monkeypatch):
+    """With thousands of small groups, the largest shard is the least that the order of groups allows."""
+    from folioscope.llm import sharding
+
+    monkeypatch.setattr(sharding, "LARGE", 64)
+    sizes = np.maximum(1, (RNG.pareto(1.1, 3000) * 20).astype(int))
+    groups = [(hashlib.sha256(str(i).encode()).hexdigest(), int(n)) for i, n in enumerate(sizes)]
+    of_large, starts = place_cuts(spark.createDataFrame(groups, "digest string, bytes long"), 16)
+    total = sum(n for _, n in groups)
+    large = sorted(((n, d) for d, n in groups if n * 64 >= total), reverse=True)
+    order = [n for n, _ in large] + [n for d, n in sorted(groups) if n * 64 < total]
+    assert set(of_large) == {d for _, d in large}
+    shards = Counter()
+    for d, n in groups:
+        shards[of_large[d] if d in of_large else sum(d >= s for s in starts)] += n
+
+    def feasible(capacity):
+        used, at = 1, 0
+        for n in order:
+            if n > capacity:
+                return False
+            used, at = (used + 1, n) if at + n > capacity else (used, at + n)
+        return used <= 16
+
+    assert feasible(max(shards.values())) and not feasible(max(shards.values()) - 1)
+
+
 def test_embeddings(spark):
     x = RNG.standard_normal((40, 16))
     x = np.concatenate([x, x[:20] + 0.05 * RNG.standard_normal((20, 16)), x[:5] * 3, x[:3]])
@@ -221,6 +317,17 @@ def test_embeddings(spark):
     want = Counter((v[0], sum(j != i and w[2] == v[2] and cos(v[1], w[1]) for j, w in ok) if i in usable else 0) for i, v in enumerate(every))
     assert Counter((r.vec_id, r.n_links) for r in got) == want
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
+    of = {i: i for i in usable}
+    for _ in ok:
+        for i, v in ok:
+            for j, w in ok:
+                if w[2] == v[2] and cos(v[1], w[1]):
+                    of[i] = of[j] = min(of[i], of[j])
+    least = {}
+    for i, v in ok:
+        if v[0] is not None:
+            least[of[i]] = min(least.get(of[i], v[0]), v[0])
+    assert Counter((r.vec_id, r.component_id) for r in got) == Counter((v[0], least.get(of[i]) if i in usable else v[0]) for i, v in enumerate(every))
     assert link_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
