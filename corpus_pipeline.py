@@ -16,7 +16,8 @@ from folioscope.llm.toxicity import score_toxicity
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under a half. Null and empty texts stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_toxicity(docs, labels).where("predicted = 0").select(*docs.columns)
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    return score_toxicity(docs.select(columns, "doc_id", "text"), labels).where("predicted = 0").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,20 +26,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents that don't exceed the coverage limit, which is none of their words here: one window of a benchmark item rejects a document."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate(docs, benchmark, clean=False).where("not contaminated").select(*docs.columns)
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    return decontaminate(docs.select(columns, "text"), benchmark, most_share=0.0).where("not rejected").select("doc.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, to whole documents: a copy that the budget cuts counts if half
-    of it is taken. Repeated rows are taken together. Documents without words aren't taken."""
-    keyed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    mixed = mix_sources(keyed.select("_row", "doc_id", "text", "source"))
-    times = mixed.where("taken > 0").groupBy("_row", "doc_id").agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times")).where("_times > 0")
-    times = Scratch(spark, "mixed").save(times.withColumnRenamed("doc_id", "_id").withColumnRenamed("_row", "_of"))
-    taken = keyed.join(times, (F.col("_row") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_row", "doc_id"])
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    of it is taken. Repeated rows are taken together. Documents without words aren't taken. The columns travel as one, so that none can clash."""
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(columns.alias("doc"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "source")
+    mixed = mix_sources(keyed.select("row", "doc_id", "text", "source"))
+    times = mixed.where("taken > 0").groupBy("row", "doc_id").agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times")).where("times > 0")
+    times = Scratch(spark, "mixed").save(times.select(F.col("row").alias("of"), F.col("doc_id").alias("id"), "times"))
+    taken = keyed.join(times, (F.col("row") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))).dropDuplicates(["row", "doc_id"])
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
