@@ -53,6 +53,26 @@ WITH sized AS (
 SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(s.taken, 0)::BIGINT AS taken FROM queued q LEFT JOIN served s USING (r)
 """
 
+OP5 = r"""
+WITH RECURSIVE rows_of AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+), usable AS (
+  SELECT * FROM rows_of
+  WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0
+), links AS (
+  SELECT a.r AS u, b.r AS v FROM usable a JOIN usable b ON a.label = b.label AND len(a.x) = len(b.x) AND a.r <> b.r
+  WHERE CASE WHEN len(a.x) = len(b.x) THEN list_cosine_similarity(a.x, b.x) >= 0.93 ELSE false END
+), reach AS (
+  SELECT r AS u, r AS v FROM usable UNION SELECT p.u, l.v FROM reach p JOIN links l ON l.u = p.v
+), least_id AS (
+  SELECT p.u, min(w.vec_id) AS root FROM reach p JOIN rows_of w ON w.r = p.v GROUP BY p.u
+), counted AS (
+  SELECT u, count(*) AS n FROM links GROUP BY u
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(root, vec_id)::BIGINT AS component_id, coalesce(vec_id = coalesce(root, vec_id), false) AS kept
+FROM rows_of w LEFT JOIN least_id l ON l.u = w.r LEFT JOIN counted c ON c.u = w.r
+"""
+
 OP6 = rf"""
 WITH split AS (
   SELECT row_number() OVER () AS r, page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {FOLD}), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
@@ -84,4 +104,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM worded LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
-ORACLE_SQL = {"op2_ngram_jaccard": OP2, "op3_mix_sources": OP3, "op6_url_filters": OP6, "op10_decontaminate": OP10}
+ORACLE_SQL = {"op2_ngram_jaccard": OP2, "op3_mix_sources": OP3, "op5_embeddings": OP5, "op6_url_filters": OP6, "op10_decontaminate": OP10}
