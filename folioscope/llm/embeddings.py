@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import Scratch, components
 
@@ -15,9 +16,14 @@ from .common import Scratch, components
 CAPS, CAPS_LEAST, HELD = 24, 12, 32
 #: Blocks of a direction; each takes one of a block's codes.
 BLOCKS = 3
-#: A filter with more vectors is cut into parts that meet in pairs.
-PART = 2048
-
+#: Rows of a cell, which is a run of neighbouring filters; one with more is cut into parts that meet in pairs.
+PART = 4096
+#: Memberships that a cell has on average, at most, and rows of a slot.
+CELL, SLOT = 32768, 8192
+#: Vectors, and names of filters, that are held against each other at once.
+TILE = 2048
+#: Crowded cells that are broadcast at most (32 bytes each); beyond, they are joined by a shuffle.
+CROWDED = 10_000
 
 class Caps:
     """Random directions, each a product of block codes, after a random rotation; and the cap's threshold."""
@@ -34,6 +40,10 @@ class Caps:
             self.book.append(c / np.linalg.norm(c, axis=1, keepdims=True) * np.sqrt((b - a) / dim))
         share = min(0.5, CAPS / self.codes**self.blocks)
         self.threshold = NormalDist().inv_cdf(1 - share) / np.sqrt(dim)
+        # filters of a cell: those that share as many leading codes as its size allows, so that most of a vector's filters lie in few cells
+        fair = max(1, CELL * self.codes**self.blocks // (CAPS * max(vectors, 1)))
+        whole = max(self.codes**k for k in range(self.blocks + 1) if self.codes**k <= max(fair, 1))
+        self.width = min(fair // whole * whole, self.codes ** max(self.blocks - 1, 0))
 
     def passed(self, unit: np.ndarray) -> list[np.ndarray]:
         """Each vector's filters, ascending: all directions beyond the threshold, by list decoding; if those are under
@@ -64,44 +74,91 @@ def usable(column: Column) -> Column:
     return F.coalesce(finite & F.exists(column, lambda v: v != 0), F.lit(False))
 
 
-def join_part(key, table: pa.Table, least: float) -> pa.Table:
-    """Within each filter of a slot: each vector's links that no lower filter has too, and its smallest neighbour."""
-    label = table.column("label").to_numpy()
-    cap, i, j = (table.column(n).to_numpy() for n in ("cap", "i", "j"))
-    node, copies, own = (table.column(n).to_numpy() for n in ("node", "copies", "own"))
-    vectors, caps = table.column("unit").combine_chunks(), table.column("caps").combine_chunks()
-    dims = np.diff(vectors.offsets.to_numpy())
-    order = np.lexsort((own, j, i, cap, label, dims))
-    keys = np.stack([dims, label, cap, i, j])[:, order]
+def cosines(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether pairs of unit vectors link. Products depend on a block's shape in the last bits, so close calls are made pair by pair."""
+    found = a @ b.T
+    linked = found >= least
+    p, q = np.nonzero(np.abs(found - least) < 1e-9)
+    linked[p, q] = (a[p] * b[q]).sum(axis=1) >= least
+    return linked
+
+
+def share_lower(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Whether pairs share a name of their lists."""
+    names = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    shared = np.zeros((len(a), len(b)), bool)
+    for k in range(0, len(names), TILE):
+        some = names[k : k + TILE]
+        has = []
+        for side in (a, b):
+            m = np.zeros((len(side), len(some)), np.float32)
+            flat, row = np.concatenate(side), np.repeat(np.arange(len(side)), [len(c) for c in side])
+            at = np.minimum(np.searchsorted(some, flat), len(some) - 1)
+            here = some[at] == flat
+            m[row[here], at[here]] = 1
+            has.append(m)
+        shared |= has[0] @ has[1].T > 0
+    return shared
+
+
+def smallest_reached(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column of the links, the smallest node that it reaches over them."""
+    most = np.iinfo(np.int64).max
+    while True:
+        to_a = np.minimum(a, np.where(linked, b[None, :], most).min(axis=1))
+        to_b = np.minimum(b, np.where(linked, to_a[:, None], most).min(axis=0))
+        if (to_a == a).all() and (to_b == b).all():
+            return a, b
+        a, b = to_a, to_b
+
+
+def join_slot(table: pa.Table, least: float) -> pa.Table:
+    """Within each filter of a slot's cells: each vector's links that no lower filter has too, and the smallest vector that
+    it reaches there, so that the filter's links and what they connect are kept without its pairs."""
+    label, cell, width, i, j, node, copies, own = (table.column(n).to_numpy() for n in ("label", "cell", "width", "i", "j", "node", "copies", "own"))
+    vectors, caps = table.column("x").combine_chunks(), table.column("caps").combine_chunks()
+    at, c_at = vectors.offsets.to_numpy(), caps.offsets.to_numpy()
+    dims, start = np.diff(at), at[:-1] - at[0]
+    flat = vectors.flatten().to_numpy().astype(np.float64)
+    flat /= np.repeat(np.maximum.reduceat(np.abs(flat), start), dims)
+    flat /= np.repeat(np.sqrt(np.add.reduceat(flat * flat, start)), dims)
+    passed, c_at = caps.flatten().to_numpy(), c_at - c_at[0]
+    row = np.repeat(np.arange(len(node)), np.diff(c_at))
+    here = passed >= (cell * width)[row]  # the lower ones only tell which pairs were met before
+    row, cap = row[here], passed[here]
+    order = np.lexsort((row, j[row], i[row], cap, label[row], dims[row]))
+    row, cap = row[order], cap[order]
+    keys = np.stack([dims[row], label[row], cap, i[row], j[row]])
     cuts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0), [True]]))
-    flat, v_at = vectors.flatten().to_numpy(), vectors.offsets.to_numpy()
-    passed, c_at = caps.flatten().to_numpy(), caps.offsets.to_numpy()
     out = [[], [], []]
-    for a, b in zip(cuts, cuts[1:]):
-        if b - a < 2:
-            continue
-        rows = order[a:b]
-        d = dims[rows[0]]
-        x = flat[v_at[rows][:, None] + np.arange(d)].astype(np.float64)
-        linked = x @ x.T >= least
-        np.fill_diagonal(linked, False)
-        if i[rows[0]] != j[rows[0]]:  # two parts of a filter: pairs of one part are met elsewhere
-            linked &= own[rows][:, None] != own[rows][None, :]
-        if not linked.any():
+    for lo, hi in zip(cuts, cuts[1:]):
+        if hi - lo < 2:
             continue
-        some = np.flatnonzero(linked.any(axis=1))
-        linked, rows = linked[np.ix_(some, some)], rows[some]
-        here = cap[rows[0]]
-        lower = [passed[c_at[r] : c_at[r + 1]] for r in rows]
-        lower = [c[c < here] for c in lower]
-        names = np.unique(np.concatenate(lower))
-        has = np.zeros((len(rows), max(1, len(names))), np.float32)
-        for k, c in enumerate(lower):
-            has[k, np.searchsorted(names, c)] = 1
-        first = linked & (has @ has.T == 0)
-        out[0].append(node[rows])
-        out[1].append(first @ copies[rows])
-        out[2].append(np.where(linked, node[rows][None, :], np.iinfo(np.int64).max).min(axis=1))
+        rows, name = row[lo:hi], cap[lo]
+        tiles = [rows[k : k + TILE] for k in range(0, len(rows), TILE)]
+        units = [flat[start[t][:, None] + np.arange(dims[t[0]])] for t in tiles]
+        for p in range(len(tiles)):
+            for q in range(p, len(tiles)):
+                linked = cosines(units[p], units[q], least)
+                a, b = tiles[p], tiles[q]
+                if p == q:
+                    np.fill_diagonal(linked, False)
+                if i[a[0]] != j[a[0]]:  # two parts of a cell: pairs of one part are met elsewhere
+                    linked &= own[a][:, None] != own[b][None, :]
+                if not linked.any():
+                    continue
+                in_a, in_b = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+                linked, a, b = linked[np.ix_(in_a, in_b)], a[in_a], b[in_b]
+                lower = [[c[c < name] for c in (passed[c_at[r] : c_at[r + 1]] for r in side)] for side in (a, b)]
+                first = linked & ~share_lower(*lower)
+                least_a, least_b = smallest_reached(linked, node[a], node[b])
+                out[0].append(node[a])
+                out[1].append(first @ copies[b])
+                out[2].append(least_a)
+                if p != q:
+                    out[0].append(node[b])
+                    out[1].append(first.T @ copies[a])
+                    out[2].append(least_b)
     made = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
     return pa.table({n: pa.array(c.astype(np.int64), pa.int64()) for n, c in zip(("u", "links", "v"), made)})
 
@@ -112,7 +169,8 @@ def link_embeddings(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     Vectors of one label and dimension link when their cosine, in double precision, is at least `least`. Each passes
     the filters whose directions lie within a cap around it; vectors of a filter are compared with each other, and a pair is
     counted in the lowest filter that both pass. Filters grow in number with the largest label, so that each
-    holds about as many vectors at any size. Whether all close pairs share a filter is likely, not certain; the recall
+    holds about as many vectors at any size. A vector travels once to each cell, a run of filters with the same leading codes,
+    in its own element type; cells are dealt to slots, as many as all rows need. Whether all close pairs share a filter is likely, not certain; the recall
     is measured against brute force in the tests. No pair below the threshold is linked.
 
     Equal vectors are one node, and link. Vectors that are null, zero, or hold a null or a component that isn't finite, and those
@@ -120,7 +178,9 @@ def link_embeddings(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     such a row isn't kept. Repeated rows are vectors of their own. An empty table gives none.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "vectors")
-    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x")).withColumn("node", F.when(usable(F.col("x")) & F.col("label").isNotNull(), F.xxhash64("label", "x")))
+    single = vectors.schema["embedding"].dataType == ArrayType(FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    kind = "float" if single else "double"
+    rows = vectors.select("vec_id", "label", F.col("embedding").cast(f"array<{kind}>").alias("x")).withColumn("node", F.when(usable(F.col("x")) & F.col("label").isNotNull(), F.xxhash64("label", "x")))
     rows = scratch.save(rows)
     nodes = scratch.save(rows.where("node is not null").groupBy("node").agg(F.first("label").cast("long").alias("label"), F.first("x").alias("x"), F.count(F.lit(1)).alias("copies")))
     most = nodes.groupBy("label", F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
@@ -130,31 +190,40 @@ def link_embeddings(vectors: DataFrame, least: float = 0.93) -> DataFrame:
         for batch in batches:
             column = batch.column("x")
             flat, at = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
-            units, passed = [None] * batch.num_rows, [None] * batch.num_rows
+            passed, widths = [None] * batch.num_rows, np.zeros(batch.num_rows, np.int64)
             dims = np.diff(at)
             for d in np.unique(dims):
                 which = np.flatnonzero(dims == d)
-                x = flat[at[which][:, None] + np.arange(d)]
+                x = flat[at[which][:, None] + np.arange(d)].astype(np.float64)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 book = books.setdefault(int(d), Caps(int(d), most))
-                for k, c, u in zip(which, book.passed(x), x):
-                    units[k], passed[k] = u, c
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label"), batch.column("copies"), pa.array(units, pa.list_(pa.float64())), pa.array(passed, pa.list_(pa.int64()))], names=["node", "label", "copies", "unit", "caps"])
-
-    decoded = scratch.save(nodes.select("node", "label", "copies", "x").mapInArrow(decode, "node long, label long, copies long, unit array<double>, caps array<long>"))
-    held = decoded.select("node", "label", F.size("unit").alias("d"), F.explode("caps").alias("cap"))
-    crowded = held.groupBy("label", "d", "cap").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART).select("label", "d", "cap", F.ceil(F.col("n") / PART).alias("parts"))
-    spread = decoded.select("*", F.size("unit").alias("d"), F.explode("caps").alias("cap")).join(crowded, ["label", "d", "cap"], "left")
-    parts = F.coalesce("parts", F.lit(1))
-    own = F.pmod(F.xxhash64("node"), parts)
+                widths[which] = book.width
+                for k, c in zip(which, book.passed(x)):
+                    passed[k] = c
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("node", "label", "copies", "x")), pa.array(passed, pa.list_(pa.int64())), pa.array(widths)], names=["node", "label", "copies", "x", "caps", "width"])
+
+    decoded = scratch.save(nodes.select("node", "label", "copies", "x").mapInArrow(decode, f"node long, label long, copies long, x array<{kind}>, caps array<long>, width long"))
+    cells = F.array_distinct(F.transform("caps", lambda c: F.floor(c / F.col("width"))))
+    key = ["label", "d", "cell"]
+    counted = scratch.save(decoded.select("label", F.size("x").alias("d"), F.explode(cells).alias("cell")).groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
+    crowded = scratch.save(counted.where(F.col("n") > PART).select(*key, F.ceil(F.col("n") / PART).alias("parts")))
+    total, many = counted.agg(F.sum("n")).first()[0] or 0, crowded.count()
+    spread = decoded.select("*", F.size("x").alias("d"), F.explode(cells).alias("cell"))
+    spread = spread.withColumn("caps", F.filter("caps", lambda c: c < (F.col("cell") + 1) * F.col("width")))
+    if many:
+        spread = spread.join(F.broadcast(crowded) if many <= CROWDED else crowded, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        total += crowded.agg(F.sum((F.col("parts") - 1) * PART * F.col("parts"))).first()[0]
+    else:
+        spread = spread.withColumn("parts", F.lit(1))
     met = (
-        spread.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        spread.withColumn("own", F.pmod(F.xxhash64("node"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
         .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     )
-    slots = max(8, most * CAPS // 4096)
-    placed = met.select("label", "cap", "i", "j", "own", "node", "copies", "unit", "caps", F.pmod(F.xxhash64("label", "d", "cap", "i", "j"), F.lit(slots)).alias("slot"))
-    found = scratch.save(placed.groupBy("slot").applyInArrow(lambda key, t: join_part(key, t, least), "u long, links long, v long"))
+    slots = max(8, -(-total // SLOT))
+    placed = met.select("label", "cell", "width", "i", "j", "own", "node", "copies", "x", "caps", F.pmod(F.xxhash64(*key, "i", "j"), F.lit(slots)).alias("slot"))
+    placed = placed.repartition(max(slots // 4, min(slots, 16)), "slot")
+    found = scratch.save(placed.groupBy("slot").applyInArrow(lambda t: join_slot(t, least), "u long, links long, v long"))
 
     links = scratch.save(found.groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "node"))
     roots = scratch.save(components(scratch, found.select("u", "v")))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from folioscope.llm import pii, repeats, secrets
+from folioscope.llm import embeddings, pii, repeats, secrets
 from folioscope.llm.bytewords import raw
 from folioscope.llm.decontaminate import decontaminate
 from folioscope.llm.embeddings import link_embeddings
@@ -331,6 +331,51 @@ def test_embeddings(spark):
     assert link_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def linked_by_brute_force(x, least=0.93):
+    """Each vector's links and the smallest place in its component."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= least
+    np.fill_diagonal(linked, False)
+    root = np.arange(len(x))
+    while True:
+        lower = np.minimum(root, np.where(linked, root[None, :], len(x)).min(axis=1))
+        if (lower == root).all():
+            return linked.sum(axis=1), root
+        root = lower
+
+
+@pytest.mark.parametrize("part, tile, crowded", [(4096, 2048, 10_000), (150, 64, 10_000), (150, 64, 0)])
+def test_embedding_clusters(spark, monkeypatch, part, tile, crowded):
+    """Planted pairs close to the threshold, a dense cluster, chains whose ends don't link; cells in parts, filters in tiles."""
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(embeddings, "PART", part)
+    monkeypatch.setattr(embeddings, "TILE", tile)
+    monkeypatch.setattr(embeddings, "CROWDED", crowded)
+    base = rng.standard_normal((300, 64))
+    close = base[:150] + 0.33 * rng.standard_normal((150, 64))
+    cluster = rng.standard_normal(64) + 0.15 * rng.standard_normal((400, 64))
+    turns = np.radians(20) * np.arange(12)
+    planes = [np.linalg.qr(rng.standard_normal((64, 2)))[0] for _ in range(20)]
+    chains = [np.cos(t) * p[:, 0] + np.sin(t) * p[:, 1] for p in planes for t in turns]
+    x = np.concatenate([base, close, cluster, chains]).astype(np.float32)
+    got = link_embeddings(spark.createDataFrame([(i, v.tolist(), 3, 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int, node int")).collect()
+    links, roots = linked_by_brute_force(x.astype(float))
+    assert len(got) == len(x) and links[:300].any() and links[450:850].min() > 100 and links[850:].min() > 0
+    by = {r.vec_id: r for r in got}
+    assert sum(by[i].n_links for i in range(len(x))) >= 0.99 * links.sum()
+    assert all(by[i].n_links <= links[i] for i in range(len(x)))
+    assert np.mean([by[i].component_id == roots[i] for i in range(len(x))]) >= 0.99
+
+
+def test_smallest_reached():
+    """A chain 1-10-5-2, in which no vector's smallest neighbour tells of the link between 5 and 10."""
+    nodes = np.array([1, 10, 5, 2])
+    linked = np.zeros((4, 4), bool)
+    for a, b in ((0, 1), (1, 2), (2, 3)):
+        linked[a, b] = linked[b, a] = True
+    assert all((side == 1).all() for side in embeddings.smallest_reached(linked, nodes, nodes))
+
+
 def test_urls(spark):
     def judge(url):
         host, path = "", ""
