@@ -10,7 +10,12 @@ from .common import Scratch
 #: The weights of sources in order of name, repeating.
 WEIGHTS = [5, 2, 1]
 #: Slices of a source's shuffled order: a source's running sum is its slices' sums plus a sum inside the slice, so no task holds a source.
+#: More where all rows are more than SLICES * ROWS.
 SLICES = 512
+#: Rows for which there is a slice, and packets' rows for which there is a partition.
+ROWS = 200_000
+#: The four hex digits by which rows are sliced tell no more apart.
+MOST_SLICES = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -40,7 +45,7 @@ def targets(sizes: DataFrame, weights: list[int], share: float, most: float) ->
     )
 
 
-def mix_sources(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, seed: str = "mix", partitions: int = 64) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """Adds size, source_size, target and taken to documents(doc_id, text, source, ...).
 
     Each source is a queue of its documents in shuffled order (md5 of seed and doc_id), run through again until most
@@ -62,12 +67,15 @@ def mix_sources(docs: DataFrame, weights: list[int] | None = None, share: float
     slim = [c for c in kept if c != "text"]
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc.doc_id").cast("string"), F.lit(""))).cast("binary"))
     # The text isn't moved: rows are numbered without it and carry their other columns.
-    base = scratch.save(rows.select(F.struct(*[F.col(f"doc.`{c}`") for c in slim]).alias("doc"), "source", "size", order.alias("key")).withColumn("slice", F.conv(F.substring("key", 1, 4), 16, 10).cast("int") % SLICES))
+    plain = scratch.save(rows.select(F.struct(*[F.col(f"doc.`{c}`") for c in slim]).alias("doc"), "source", "size", order.alias("key")))
+    count = plain.count()
+    slices = min(max(SLICES, count // ROWS), MOST_SLICES)
+    base = plain.withColumn("slice", F.conv(F.substring("key", 1, 4), 16, 10).cast("int") % slices)
     goal = scratch.save(targets(base, weights, share, most))
 
-    slices = base.groupBy("source", "slice").agg(F.sum("size").alias("words"))
+    sliced = base.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     by_slice = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.withColumn("offset", F.coalesce(F.sum("words").over(by_slice), F.lit(0))).join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", "slice", "offset", "rank", "source_size", "target")
+    offsets = sliced.withColumn("offset", F.coalesce(F.sum("words").over(by_slice), F.lit(0))).join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", "slice", "offset", "rank", "source_size", "target")
     inside = Window.partitionBy("source", "slice").orderBy("key", "size")
     numbered = base.withColumn("row", F.row_number().over(inside)).withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     right = offsets.withColumnRenamed("source", "s").withColumnRenamed("slice", "b")
@@ -83,7 +91,7 @@ def mix_sources(docs: DataFrame, weights: list[int] | None = None, share: float
         .select("rank", "slice", "row", F.explode(F.array(F.struct(F.col("head").alias("words"), (F.col("from") + F.col("head")).alias("done")), F.struct((F.col("size") - F.col("head")).alias("words"), (F.col("from") + F.col("size")).alias("done")))).alias("p"), "target")
         .select("rank", "slice", "row", "p.words", (F.col("p.done") / F.col("target")).alias("finish"), "p.done").where("words > 0")
     )
-    ranged = scratch.save(packets.repartitionByRange(partitions, "finish", "rank", "done").withColumn("part", F.spark_partition_id()))
+    ranged = scratch.save(packets.repartitionByRange(max(64, copies * count // ROWS), "finish", "rank", "done").withColumn("part", F.spark_partition_id()))
     totals = ranged.groupBy("part").agg(F.sum("words").alias("words"))
     whole = totals.withColumn("earlier", F.coalesce(F.sum("words").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "earlier")
     budget = goal.agg(F.coalesce(F.round(F.sum("target")), F.lit(0)).cast("long").alias("budget"))
