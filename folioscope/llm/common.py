@@ -68,18 +68,21 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """Connected components of edges(u, v) over ordered node values: (node, root), root the smallest node.
+    """Connected components of edges(u, v): (node, root), root one of the component's nodes, the same for all of it.
 
-    Each round maps every node to the smallest of itself and its neighbours and contracts the edges, until none
-    is left: rounds follow the logarithm of the diameter. The maps are then chained. Nothing is collected.
-    Empty edges give an empty table; self-links are ignored.
+    Randomised contraction: in each round every node goes to the one of the smallest hash, salted by the round, among itself
+    and its neighbours, and edges are contracted, until none is left. The expected share of nodes that remain in a round is
+    below one in any graph, chains in order of node value included, so rounds follow the logarithm of the number of nodes.
+    The maps are then chained. Nothing is collected. Empty edges give an empty table; self-links are ignored.
     """
     left = scratch.save(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct())
     first = left
     maps: list[DataFrame] = []
     while not left.isEmpty():
+        drawn = lambda c, salt=len(maps): F.xxhash64(F.lit(salt), c)
         both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
+        near = both.groupBy("u").agg(F.min_by("v", drawn("v")).alias("m"))
+        step = scratch.save(near.select(F.col("u").alias("node"), F.when(drawn("m") < drawn("u"), F.col("m")).otherwise(F.col("u")).alias("root")))
         maps.append(step)
         a, b = step.select(F.col("node").alias("u"), F.col("root").alias("ru")), step.select(F.col("node").alias("v"), F.col("root").alias("rv"))
         moved = left.join(a, "u").join(b, "v").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).where("u < v").distinct()
