@@ -371,7 +371,8 @@ def candidates(scratch: Scratch, lists: DataFrame, parts: DataFrame | None, bits
     sizes = (100 * F.col("a.high") >= PERCENT * F.col("b.low")) & (100 * F.col("b.high") >= PERCENT * F.col("a.low"))
     differ = F.least("a.least", "b.least") != F.greatest("a.greatest", "b.greatest")
     meet = a.join(b, (F.col("a.token") == F.col("b.token")) & near & sizes & differ).select(F.col("a.left").alias("left"), F.col("b.left").alias("right"))
-    meet = meet.repartition(64)
+    # As many tasks as the cluster's shuffles have: block pairs grow with the rows.
+    meet = meet.repartition(max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     found = alone.unionByName(meet).mapInArrow(lambda batches: compare(batches, only_forest), "u long, v long")
     out = scratch.save(found.distinct())
     scratch.drop(rows)
