@@ -122,6 +122,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, slices: int = 256) -> Dat
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """The placed documents as Parquet, a folder for each shard."""
-    shard_documents(docs, shards).repartition("shard").sortWithinPartitions("slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 16, rows: int = 100_000) -> None:
+    """The placed documents as Parquet, a folder for each shard. A shard's slots lie in runs of so many rows, each in one
+    file and in order, so that no task holds a shard."""
+    shard_documents(docs, shards).repartition("shard", F.floor(F.col("slot") / rows)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

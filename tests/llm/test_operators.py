@@ -11,13 +11,14 @@ import pytest
 
 from folioscope.llm import embeddings, pii, repeats, secrets
 from folioscope.llm.bytewords import raw
+from folioscope.llm.common import Scratch, components
 from folioscope.llm.decontaminate import decontaminate
 from folioscope.llm.embeddings import link_embeddings
 from folioscope.llm.mixing import mix_sources
 from folioscope.llm.neardup import keep_one, near_duplicates
 from folioscope.llm.repeats import remove_repeats
 from folioscope.llm.secrets import scan_secrets
-from folioscope.llm.sharding import LARGE, place_cuts, shard_documents
+from folioscope.llm.sharding import LARGE, place_cuts, shard_documents, write_shards
 from folioscope.llm.toxicity import BITS, score_batch, score_toxicity, sentences
 from folioscope.llm.urlfilter import RULES, filter_urls, rule_table
 
@@ -393,6 +394,35 @@ def test_urls(spark):
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out.collect()} == {i: judge(u) for i, u in enumerate(cases)}
 
 
+def test_hot_urls(spark):
+    """A hot URL, with a rule or without, null or not, is judged like any other, in each of its rows."""
+    of = lambda i: [None, "http://x.net/a", "none", f"http://h{i}.org/fr/{i}", "http://y.com/"][i % 5]
+    docs = spark.createDataFrame([(i, of(i), "c") for i in range(6000)], "page_id long, url string, hot string").repartition(7)
+    out = {r.page_id: r for r in filter_urls(docs, rule_table(spark, RULES)).collect()}
+    assert len(out) == 6000 and all(r.url == of(i) and r.hot == "c" for i, r in out.items())
+    rules = [(None, "allow"), ("net/", "block"), (None, "allow"), ("org/fr/", "allow"), (None, "allow")]
+    assert all((r.rule, r.verdict) == rules[i % 5] for i, r in out.items())
+    assert filter_urls(docs.limit(0), rule_table(spark, RULES)).count() == 0
+
+
+def test_components(spark):
+    """Chains whose values ascend are contracted in a few rounds; rings, stars, self-links and repeated links."""
+    chain = [(i, i + 1) for i in range(400)]
+    ring = [(1000 + i, 1000 + (i + 1) % 50) for i in range(50)]
+    star = [(2000, 2000 + i) for i in range(1, 60)]
+    links = chain + ring + star + [(3000, 3000), (5000, 4000), (4000, 5000), (5000, 4000)]
+    scratch = Scratch(spark, "components")
+    found = components(scratch, spark.createDataFrame(links, "u long, v long")).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.root, set()).add(r.node)
+    assert len(found) == sum(map(len, groups.values()))
+    assert sorted(map(sorted, groups.values())) == [list(range(401)), list(range(1000, 1050)), list(range(2000, 2060)), [4000, 5000]]
+    assert all(root in nodes for root, nodes in groups.items())
+    assert scratch.n < 2 * 20
+    assert components(scratch, spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_toxicity(spark):
     rows, labels = [], []
     for i in range(400):
@@ -421,6 +451,20 @@ def test_shards(spark, corpus):
     assert shard_documents(empty(spark)).count() == 0
 
 
+def test_written_shards(spark, corpus, tmp_path):
+    docs = spark.createDataFrame(corpus, SCHEMA).drop("shard")
+    write_shards(docs, str(tmp_path / "out"), 4, rows=3)
+    want = {}
+    for r in shard_documents(docs, 4).collect():
+        want.setdefault(r.shard, []).append(r.slot)
+    got = {}
+    for f in (tmp_path / "out").glob("shard=*/*.parquet"):
+        slots = [r.slot for r in spark.read.parquet(str(f)).collect()]
+        assert slots == sorted(slots)
+        got.setdefault(int(f.parent.name[6:]), []).extend(slots)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_shards_least_capacity(spark, seed):
     """The largest shard can't be a byte smaller in the order of groups."""
