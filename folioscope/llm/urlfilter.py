@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import Scratch, lower_ascii
 
 #: Fixed values: (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -45,7 +45,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", widt
     expression = lambda h, p: F.sha2(F.concat_ws("\x00", h, p).cast("binary"), 256)
     known = rules.select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"), expression(lower_ascii(F.col("host")), F.col("path")).alias("digest")).withColumn("short", F.substring("digest", 1, 8))
 
-    total, counted = pages.count(), pages.groupBy(F.col("url").alias("u")).agg(F.count(F.lit(1)).alias("n"))
+    scratch = Scratch(pages.sparkSession, "urls")
+    counted = scratch.save(pages.groupBy(F.col("url").alias("u")).agg(F.count(F.lit(1)).alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
     judged = counted.select("u", host(F.col("u")).alias("h"), path(F.col("u")).alias("p"))
     labels = F.split("h", "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -53,7 +55,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", widt
     spread = judged.where("h <> ''").withColumn("suffix", F.explode(suffixes)).withColumn("width", F.explode(lengths)).select("u", expression(F.col("suffix"), F.expr("substring(p, 1, width)")).alias("e"))
     met = spread.withColumn("short", F.substring("e", 1, 8)).join(known, "short").where(F.col("e") == F.col("digest"))
     rank = F.struct(F.length(F.concat("r_host", "r_path")), F.length("r_host"), F.col("r_verdict") == "block")
-    best = met.groupBy("u").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), rank).alias("best"))
+    best = scratch.save(met.groupBy("u").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), rank).alias("best")))
     hot = counted.where(F.col("n") * HOT >= total).select("u").join(best, "u", "left").select(F.col("u").alias("hot_u"), F.lit(True).alias("hot"), F.col("best").alias("hot_best"))
     kept = [F.col(f"p.`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("p"))
