@@ -1,9 +1,10 @@
-"""The ten operators' queries and their SQL."""
+"""The operators' queries and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .clustering import cluster_vectors
 from .common import table
 from .decontaminate import decontaminate
 from .embeddings import link_embeddings
@@ -15,6 +16,7 @@ from .secrets import scan_secrets
 from .sharding import shard_documents
 from .sql import ORACLE_SQL  # noqa: F401  read with QUERIES
 from .toxicity import score_toxicity
+from .turns import damage, repair_conversations
 from .urlfilter import RULES, filter_urls, rule_table
 
 
@@ -63,4 +65,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), clean=False).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_jaccard, op3_mix_sources, op4_pii, op5_embeddings, op6_url_filters, op7_secrets, op8_toxicity, op9_shards, op10_decontaminate)}
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_jaccard, op3_mix_sources, op4_pii, op5_embeddings, op6_url_filters, op7_secrets, op8_toxicity, op9_shards, op10_decontaminate, op11_conversations, op13_clusters)}

@@ -104,4 +104,79 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM worded LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
-ORACLE_SQL = {"op2_ngram_jaccard": OP2, "op3_mix_sources": OP3, "op5_embeddings": OP5, "op6_url_filters": OP6, "op10_decontaminate": OP10}
+OP11 = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations
+), summed AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(place, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, x: xor(xor(a, x) // 2, 3988292384::BIGINT * (xor(a, x) % 2))), 4294967295::BIGINT) % 20 AS kind FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM summed, unnest(generate_series(1, CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS t(copy) WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, left(role, 1) AS initial, regexp_extract(text, '(?s)([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail FROM damaged
+), faulty AS (
+  SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY n) AS earlier FROM placed
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE earlier IS NOT NULL AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS rows_left FROM faulty GROUP BY conv_id
+), ids AS (
+  SELECT DISTINCT conv_id FROM conversations
+), steps(conv_id, n, state, cost, audit, told) AS (
+  SELECT conv_id, 0::BIGINT, s.state, s.cost, s.audit, s.told FROM ids, (VALUES (0, 0, '', ''), (2, 3, 'I', 'user:'), (3, 6, 'II', 'user:' || chr(10) || 'assistant:')) AS s(state, cost, audit, told)
+  UNION ALL
+  SELECT conv_id, n, state, best.c, best.a, best.t FROM (
+    SELECT conv_id, n, state, min({'c': cost, 'a': audit, 't': told}) AS best FROM (
+      WITH kept AS (
+        SELECT p.conv_id, f.n, 'D' AS e, p.state AS state, p.cost + 4 AS cost, p.audit || 'D' AS audit, p.told FROM steps p JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.n = p.n + 1
+        UNION ALL
+        SELECT p.conv_id, f.n, m.e, m.later, p.cost + CASE WHEN m.e = 'R' THEN 3 ELSE 0 END + CASE WHEN f.fault = 'truncated' THEN 3 ELSE 0 END, p.audit || m.e,
+          p.told || CASE WHEN p.state = 0 THEN '' ELSE chr(10) END || CASE WHEN m.e = 'K' THEN f.role WHEN m.later = 2 THEN 'user' ELSE 'assistant' END || ':' || f.text
+        FROM steps p JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.n = p.n + 1
+        JOIN (VALUES ('K', 's', 0, 1), ('K', 'u', 0, 2), ('K', 'u', 1, 2), ('K', 'u', 3, 2), ('K', 'a', 2, 3), ('R', '', 0, 2), ('R', '', 1, 2), ('R', '', 3, 2), ('R', '', 2, 3)) AS m(e, initial, before, later)
+          ON m.before = p.state AND (m.e = 'R' OR m.initial = f.initial)
+        WHERE f.fault NOT IN ('blank', 'duplicate')
+      )
+      SELECT conv_id, n, state, cost, audit, told FROM kept
+      UNION ALL
+      SELECT conv_id, n, i.later, cost + 3 * length(i.e), audit || i.e, kept.told || CASE WHEN state = 0 THEN '' ELSE chr(10) END || i.told
+      FROM kept JOIN (VALUES (0, 2, 'I', 'user:'), (1, 2, 'I', 'user:'), (3, 2, 'I', 'user:'), (2, 3, 'I', 'assistant:'), (0, 3, 'II', 'user:' || chr(10) || 'assistant:'), (1, 3, 'II', 'user:' || chr(10) || 'assistant:')) AS i(before, later, e, told) ON i.before = kept.state
+    ) GROUP BY conv_id, n, state
+  )
+), ends AS (
+  SELECT s.conv_id, min({'c': s.cost, 'a': s.audit, 't': s.told}) AS best FROM steps s LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM s.conv_id WHERE s.state IN (0, 3) AND s.n = coalesce(c.rows_left, 0) GROUP BY s.conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  e.best.c::BIGINT AS cost, e.best.a AS audit, sha256(e.best.t) AS repaired_sha256
+FROM ends e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+def _clusters(k: int, rounds: int) -> str:
+    """Every round is the same two tables: each vector's nearest centroid, and the centroids' components after it."""
+    parts = [
+        """kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), flat AS MATERIALIZED (
+  SELECT r, i, v[i] AS x FROM kept, unnest(generate_series(1, 64)) AS t(i)
+), started AS (
+  SELECT r, row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c FROM kept
+), c0 AS MATERIALIZED (
+  SELECT c, i, x FROM started JOIN flat USING (r) WHERE c < """ + str(k) + "\n)"
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS MATERIALIZED (\n  SELECT r, min({{'d': d, 'c': c}}) AS best FROM (SELECT r, c, sum((f.x - m.x) * (f.x - m.x))::BIGINT AS d FROM flat f JOIN c{n} m ON m.i = f.i GROUP BY r, c) GROUP BY r\n)")
+        if n < rounds:
+            moved = f"SELECT best.c AS c, i, (sum(x) - ((sum(x) % count(*) + count(*)) % count(*))) // count(*) AS x FROM a{n} JOIN flat USING (r) GROUP BY best.c, i"
+            parts.append(f"c{n + 1} AS MATERIALIZED (\n  SELECT o.c, o.i, coalesce(w.x, o.x)::BIGINT AS x FROM c{n} o LEFT JOIN ({moved}) w ON w.c = o.c AND w.i = o.i\n)")
+    last = f"""
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia, digest AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS digest FROM c{rounds} GROUP BY c) g ON g.c = best.c
+"""
+    return "WITH " + ", ".join(parts) + last
+
+
+OP13 = _clusters(8, 10)
+
+ORACLE_SQL = {"op2_ngram_jaccard": OP2, "op3_mix_sources": OP3, "op5_embeddings": OP5, "op6_url_filters": OP6, "op10_decontaminate": OP10, "op11_conversations": OP11, "op13_clusters": OP13}
