@@ -8,6 +8,7 @@ from .clustering import cluster_vectors
 from .common import table
 from .decontaminate import decontaminate
 from .embeddings import link_embeddings
+from .extraction import extract_pages
 from .neardup import near_duplicates
 from .mixing import mix_sources
 from .pii import find_pii
@@ -69,8 +70,12 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damage(table(spark, sf_dir, "conversations")))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_jaccard, op3_mix_sources, op4_pii, op5_embeddings, op6_url_filters, op7_secrets, op8_toxicity, op9_shards, op10_decontaminate, op11_conversations, op13_clusters)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_jaccard, op3_mix_sources, op4_pii, op5_embeddings, op6_url_filters, op7_secrets, op8_toxicity, op9_shards, op10_decontaminate, op11_conversations, op12_main_text, op13_clusters)}
