@@ -262,9 +262,9 @@ def _ordered(scratch: Scratch, told: DataFrame) -> DataFrame:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_lines, n_shared) of pages(page_id, url, html): a row for each input row.
 
-    Pages are cut into lines at block elements. In each host, paths are put in order, and each path's first capture (the least by its lines)
+    Pages are cut into lines at block elements. In each host, paths are put in order, and each path's fullest capture (of equals the greatest by its lines)
     is aligned with those of the two paths before it and after it by a longest common subsequence of lines; shared lines (see
-    `shared_lines`) are what the site adds to its pages. Any other capture of a path takes over what it shares with the first. Then `main_text` takes
+    `shared_lines`) are what the site adds to its pages. Any other capture of a path takes over what it shares with that one. Then `main_text` takes
     the article: shared lines go first, and elements, roles and class names tell furniture that no neighbour has.
     Text in an article element is never taken for shared, as articles quote and copy each other.
 
@@ -285,7 +285,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("host"), part.column("path"), pa.array([_names(x) for x in found], pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], names=["host", "path", "names", "sizes"])
 
     lines = rows.where("host <> ''").select("host", "path", "html").mapInArrow(named, "host string, path string, names array<long>, sizes array<int>")
-    captures = lines.groupBy("host", "path").agg(F.min(F.struct("names", "sizes")).alias("l"), F.count(F.lit(1)).alias("n"))
+    captures = lines.groupBy("host", "path").agg(F.max(F.struct(F.size("names").alias("many"), "names", "sizes")).alias("l"), F.count(F.lit(1)).alias("n"))
     captures = _ordered(scratch, captures.select("host", "path", "n", "l.names", "l.sizes"))
     # A group has the places of its pages and those next to it on both sides.
     group = lambda shift: F.floor((F.col("place") + shift) / GROUP)
