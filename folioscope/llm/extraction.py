@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from hashlib import blake2b
 
 import numpy as np
@@ -39,6 +40,8 @@ OPEN, ARTICLE, FURNITURE, FORM, MAIN = range(5)
 SIDE, GROUP, COPY = 2, 64, 0.8
 #: Bits of an alignment that are held at once; a longer one is halved first.
 HELD = 1 << 28
+#: Pages whose lines are unpacked at once.
+ROWS = 256
 #: Pages of one path, at least, that are dealt to several tasks, and such paths at most (by the share of all pages that each must have).
 HOT, HOT_PATHS = 10_000, 1000
 
@@ -241,6 +244,17 @@ def main_text(lines: list[tuple[str, int, bool]], shared: list[bool]) -> tuple[s
     return " ".join(kept), gone
 
 
+def _packed(lines: list[tuple[str, int, bool]]) -> bytes:
+    """Lines hold no line break, as their white space is one space."""
+    marks = bytes(place | heading << 3 for _, place, heading in lines)
+    return zlib.compress(marks + b"\n\n" + "\n".join(t for t, _, _ in lines).encode("utf-8", "replace"), 1)
+
+
+def _unpacked(data: bytes) -> list[tuple[str, int, bool]]:
+    marks, texts = zlib.decompress(data).split(b"\n\n", 1)
+    return [(t, m & 7, bool(m >> 3)) for t, m in zip(texts.decode().split("\n"), marks)]
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host and path; both empty without a host's mark."""
     host = lower_ascii(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1))
@@ -272,7 +286,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     path of a host. Repeated rows are one capture and stay rows of their own. Malformed and very long pages pass in linear time; an alignment holds
     32 MiB at most. An empty table gives none. Further columns aren't read.
 
-    Lines travel as 64-bit names; a page's html travels once, to its path's verdict. A host of any size is cut into groups of 64
+    Lines travel as 64-bit names; a page's own lines travel once, compressed, to its path's verdict. A host of any size is cut into groups of 64
     neighbouring paths, and pages of a very common path are dealt to several tasks."""
     spark, scratch = pages.sparkSession, Scratch(pages.sparkSession, "lines")
     host, path = url_parts(F.col("url"))
@@ -307,13 +321,21 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     dealt = lambda df, parts: df.join(F.broadcast(hot), ["host", "path"], "left").withColumn("part", parts(F.coalesce("parts", F.lit(1)).cast("long"))).drop("parts")
     told = dealt(told, lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     spread = dealt(rows, lambda n: F.pmod(F.monotonically_increasing_id(), n))
-    both = spread.join(told, key, "left").select("page_id", "url", "html", "names", "shared")
+    schema = pages.select("page_id", "url").schema
 
-    def extracted(batches):
+    def packed(batches):
         for part in (p for batch in batches for p in chunks(batch, "html")):
+            lines = pa.array([_packed(lines_of(h)) for h in part.column("html").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", *key)), lines], names=["page_id", "url", *key, "lines"])
+
+    travelling = spread.mapInArrow(packed, StructType([*schema.fields, *StructType.fromDDL("host string, path string, part long, lines binary").fields]))
+    both = travelling.join(told, key, "left").select("page_id", "url", "lines", "names", "shared")
+
+    def extracted(batches):
+        for part in (batch.slice(i, ROWS) for batch in batches for i in range(0, batch.num_rows, ROWS)):
             texts, n_lines, n_shared = [], [], []
-            for page, names, shared in zip(*(part.column(c).to_pylist() for c in ("html", "names", "shared"))):
-                found = lines_of(page)
+            for lines, names, shared in zip(*(part.column(c).to_pylist() for c in ("lines", "names", "shared"))):
+                found = _unpacked(lines)
                 own = _names(found) if names else []
                 if own != names:
                     marks = [False] * len(found)
@@ -326,5 +348,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 n_shared.append(gone)
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in ([len(t) for t in texts], n_lines, n_shared))], names=["page_id", "url", "text", "n_chars", "n_lines", "n_shared"])
 
-    schema = pages.select("page_id", "url").schema
     return both.mapInArrow(extracted, StructType([*schema.fields, *StructType.fromDDL("text string, n_chars long, n_lines long, n_shared long").fields]))
