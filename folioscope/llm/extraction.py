@@ -246,13 +246,13 @@ def main_text(lines: list[tuple[str, int, bool]], shared: list[bool]) -> tuple[s
 
 def _packed(lines: list[tuple[str, int, bool]]) -> bytes:
     """Lines hold no line break, as their white space is one space."""
-    marks = bytes(place | heading << 3 for _, place, heading in lines)
+    marks = bytes(64 | place | heading << 3 for _, place, heading in lines)
     return zlib.compress(marks + b"\n\n" + "\n".join(t for t, _, _ in lines).encode("utf-8", "replace"), 1)
 
 
 def _unpacked(data: bytes) -> list[tuple[str, int, bool]]:
     marks, texts = zlib.decompress(data).split(b"\n\n", 1)
-    return [(t, m & 7, bool(m >> 3)) for t, m in zip(texts.decode().split("\n"), marks)]
+    return [(t, m & 7, bool(m & 8)) for t, m in zip(texts.decode().split("\n"), marks)]
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:

@@ -260,3 +260,9 @@ def test_balls_skip():
     far = np.sqrt(((moved - at) ** 2).sum(axis=1))
     again, *_, looked = Ball(moved).assign(x, cluster, upper + far[cluster], lower - far.max())
     assert (again == ((x[:, None] - moved[None]) ** 2).sum(axis=2).argmin(axis=1)).all() and looked < 5000 * 64 / 20
+
+
+def test_lines_packed():
+    """Lines come back as they were, whatever their places."""
+    for lines in ([], [("a b", FURNITURE, True), ("c", FURNITURE, True), ("é", MAIN, False)], [("x", OPEN, False)]):
+        assert extraction._unpacked(extraction._packed(lines)) == lines
