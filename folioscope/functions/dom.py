@@ -1,130 +1,55 @@
 """HTML as a nested-set array of nodes, from one parse; all else is expressions over it.
 
 A node's descendants are the ids after it up to its `end`. Texts aren't stored per node: each has its place in the page's text, so
-a page takes space in proportion to its length, however deep its elements nest.
+a page takes space in proportion to its length, however deep its elements nest. What a node lies in and holds (nearest paragraph and list item, links' text,
+headers and footers) and what the library's selectors find comes from the same sweep.
 """
 
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from itertools import accumulate
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-NODE = "struct<id int, end int, parent int, depth int, tag string, attrs map<string,string>, classes array<string>, t0 int, t1 int, r0 int, r1 int, own string, url string>"
-PAGE = f"struct<nodes array<{NODE}>, classed array<{NODE}>, text string, raw string>"
-#: Elements without content; elements whose strings aren't text, and aren't visible.
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-NOT_TEXT = {"script", "style", "template"}
-NOT_VISIBLE = {"script", "style", "noscript"}
-#: Elements that don't count as a page's content.
-NOT_CONTENT = ["script", "style", "noscript", "svg", "head"]
-
-
-class Reader(HTMLParser):
-    """No implied end tags: an end tag closes the nearest open element of its name, if there is one."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.nodes, self.open, self.held = [], [], []
-        self.text, self.raw = [], []
-        self.text_end = self.raw_end = -1  # of the strings so far, joined by spaces
-
-    def string(self, data: str, comment: bool = False):
-        """A string's place, told to the open elements that had none yet."""
-        tag = self.nodes[self.open[-1]]["tag"] if self.open else ""
-        clean = data.strip()
-        if clean and not comment and tag not in NOT_TEXT and not any(self.nodes[i]["tag"] == "template" for i in self.open):
-            self.begin("t0", self.text_end + 1)
-            self.text.append(clean)
-            self.text_end += 1 + len(clean)
-        if tag not in NOT_VISIBLE:
-            self.begin("r0", self.raw_end + 1)
-            self.raw.append(data)
-            self.raw_end += 1 + len(data)
-        if tag == "script" and not comment:
-            self.nodes[self.open[-1]]["own"] += data
-
-    def begin(self, place: str, at: int):
-        for i in reversed(self.open):
-            if self.nodes[i][place] >= 0:
-                return
-            self.nodes[i][place] = at
-
-    def flush(self):
-        if self.held:
-            data, self.held = "".join(self.held), []
-            self.string(data)
-
-    def handle_starttag(self, tag, attrs):
-        self.flush()
-        attrs = {k: v or "" for k, v in attrs}
-        parent = self.open[-1] if self.open else -1
-        self.nodes.append({"id": len(self.nodes), "end": len(self.nodes), "parent": parent, "depth": len(self.open), "tag": tag, "attrs": attrs, "classes": attrs.get("class", "").split(), "t0": -1, "t1": 0, "r0": -1, "r1": 0, "own": "", "url": None})
-        if tag not in VOID:
-            self.open.append(len(self.nodes) - 1)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def shut(self, depth: int):
-        for i in self.open[depth:]:
-            n = self.nodes[i]
-            n["end"] = len(self.nodes) - 1
-            n["t1"], n["r1"] = self.text_end if n["t0"] >= 0 else 0, self.raw_end if n["r0"] >= 0 else 0
-        del self.open[depth:]
-
-    def handle_endtag(self, tag):
-        self.flush()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[k]]["tag"] == tag:
-                self.shut(k)
-                return
-
-    def handle_data(self, data):
-        self.held.append(data)
-
-    def handle_comment(self, data):
-        self.flush()
-        self.string(data, comment=True)
-
-    def result(self) -> tuple[list[dict], str, str]:
-        self.close()
-        self.flush()
-        self.shut(0)
-        for n in self.nodes:
-            n["t0"], n["r0"] = max(n["t0"], 0), max(n["r0"], 0)
-        return self.nodes, " ".join(self.text), " ".join(self.raw)
-
-
-def _nodes(pages: list[list[dict]]) -> pa.Array:
-    flat = [n for nodes in pages for n in nodes]
-    offsets = lambda sizes: pa.array(_running(sizes), pa.int32())
-    column = lambda k, kind: pa.array([n[k] for n in flat], kind)
-    attrs = pa.MapArray.from_arrays(offsets([len(n["attrs"]) for n in flat]), pa.array([k for n in flat for k in n["attrs"]], pa.string()), pa.array([v for n in flat for v in n["attrs"].values()], pa.string()))
-    fields = {k: column(k, pa.int32()) for k in ("id", "end", "parent", "depth")} | {"tag": column("tag", pa.string()), "attrs": attrs, "classes": column("classes", pa.list_(pa.string()))}
-    fields |= {k: column(k, pa.int32()) for k in ("t0", "t1", "r0", "r1")} | {"own": column("own", pa.string()), "url": column("url", pa.string())}
-    return pa.ListArray.from_arrays(offsets([len(p) for p in pages]), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
-
-
-def _running(sizes: list[int]) -> list[int]:
-    out = [0]
-    for n in sizes:
-        out.append(out[-1] + n)
-    return out
+from . import scan
+
+NODE = "struct<id int, end int, parent int, depth int, p int, li int, links int, edges int, tag string, attrs map<string,string>, classes array<string>, t0 int, t1 int, r0 int, r1 int, own string, url string>"
+PAGE = f"struct<nodes array<{NODE}>, hits array<array<int>>, title string, content int, text string, raw string>"
+
+
+def _offsets(sizes) -> pa.Array:
+    return pa.array([0, *accumulate(sizes)], pa.int32())
+
+
+def _nodes(pages: list[scan.Page], urls: list[dict[int, str]]) -> pa.Array:
+    every = lambda f: [v for p in pages for v in f(p)]
+    numbers = {
+        "id": lambda p: range(len(p.tags)), "end": lambda p: p.end, "parent": lambda p: p.parent, "depth": lambda p: p.depth, "p": lambda p: p.near_p, "li": lambda p: p.near_li,
+        "links": scan.Page.linked, "edges": lambda p: p.holds("header", "footer"),
+    }
+    fields = {k: pa.array(every(f), pa.int32()) for k, f in numbers.items()}
+    attrs = every(lambda p: p.attrs)
+    fields["tag"] = pa.array(every(lambda p: p.tags), pa.string())
+    fields["attrs"] = pa.MapArray.from_arrays(_offsets(map(len, attrs)), pa.array([k for a in attrs for k in a], pa.string()), pa.array([v for a in attrs for v in a.values()], pa.string()))
+    fields["classes"] = pa.array(every(lambda p: p.classes), pa.list_(pa.string()))
+    for k in ("t0", "t1", "r0", "r1"):
+        fields[k] = pa.array(every(lambda p, k=k: [max(v, 0) for v in getattr(p, k)]), pa.int32())
+    fields["own"] = pa.array(every(lambda p: [p.own.get(i, "") for i in range(len(p.tags))]), pa.string())
+    fields["url"] = pa.array([u.get(i) for p, u in zip(pages, urls) for i in range(len(p.tags))], pa.string())
+    return pa.ListArray.from_arrays(_offsets(len(p.tags) for p in pages), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
 
 
 #: Links that lead to no page.
 NO_PAGE = re.compile(r"(?:#|javascript:|data:|mailto:|tel:|sms:)", re.IGNORECASE)
 
 
-def _link(base: str | None, href: str) -> str | None:
+def link(base: str | None, href: str) -> str | None:
     href = href.strip()
     if not href or NO_PAGE.match(href):
         return None
@@ -135,30 +60,31 @@ def _link(base: str | None, href: str) -> str | None:
         return None
 
 
-def read(html: list[str | None], bases: list[str | None]) -> tuple[pa.Array, list[list[dict]]]:
-    """Pages as a struct column, and their nodes. Surrogates that character references can make are replaced, as no string column holds them."""
-    pages = []
-    sound = lambda s: s if s is None or s.isascii() else s.encode("utf-8", "replace").decode("utf-8")
-    for h, base in zip(html, bases):
-        reader = Reader()
-        reader.feed(h or "")
-        nodes, text, raw = reader.result()
-        for n in nodes:
-            n["own"] = sound(n["own"])
-            n["attrs"] = {sound(k): sound(v) for k, v in n["attrs"].items()}
-            n["classes"] = [sound(c) for c in n["classes"]]
-            if n["attrs"].get("href"):
-                n["url"] = sound(_link(base, n["attrs"]["href"]))
-            elif n["attrs"].get("itemprop") == "url":
-                n["url"] = sound(_link(base, text[n["t0"] : n["t1"]]))
-        pages.append((nodes, sound(text), sound(raw)))
-    every, classed = [p[0] for p in pages], [[n for n in p[0] if n["classes"]] for p in pages]
-    texts = [pa.array([p[i] for p in pages], pa.string()) for i in (1, 2)]
-    return pa.StructArray.from_arrays([_nodes(every), _nodes(classed), *texts], names=["nodes", "classed", "text", "raw"]), every
+def node_url(page: scan.Page, base: str | None, i: int) -> str | None:
+    """Where a node's href leads, or the text of a node that is said to be a URL; null if that can't be followed."""
+    attrs = page.attrs[i]
+    if attrs.get("href"):
+        return link(base, attrs["href"])
+    return link(base, page.text[max(page.t0[i], 0) : page.t1[i]]) if attrs.get("itemprop") == "url" else None
+
+
+def title_of(page: scan.Page) -> str | None:
+    found = page.found("title")
+    return page.text[max(page.t0[found[0]], 0) : page.t1[found[0]]] if found else None
+
+
+def read(html: list[str | None], bases: list[str | None]) -> pa.Array:
+    """Pages as a struct column."""
+    pages = [scan.Page(h) for h in html]
+    urls = [{i: node_url(p, base, i) for i, a in enumerate(p.attrs) if a} for p, base in zip(pages, bases)]
+    texts = {k: pa.array([getattr(p, k) for p in pages], pa.string()) for k in ("text", "raw")}
+    hits = pa.array([p.hits for p in pages], pa.list_(pa.list_(pa.int32())))
+    columns = {"nodes": _nodes(pages, urls), "hits": hits, "title": pa.array(map(title_of, pages), pa.string()), "content": pa.array([p.content_length() for p in pages], pa.int32())} | texts
+    return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
 
 
 def with_dom(pages: DataFrame, name: str = "dom") -> DataFrame:
-    """pages(html, url or not, ...) with the page: its nodes, those with classes, its text and its visible strings as they are.
+    """pages(html, url or not, ...) with the page: its nodes, what the library's selectors find (by node), its title, the length of its content, its text and its visible strings as they are.
 
     An operator of its own, not a UDF: expressions over its column are never merged with the parse, which runs once a page.
     Null html has no nodes. A column of that name is replaced."""
@@ -168,11 +94,23 @@ def with_dom(pages: DataFrame, name: str = "dom") -> DataFrame:
     def over(batches):
         for batch in batches:
             bases = batch.column("url").to_pylist() if "url" in kept else [None] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, read(batch.column("html").to_pylist(), bases)[0]], names=[*kept, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, read(batch.column("html").to_pylist(), bases)], names=[*kept, name])
 
     return source.mapInArrow(over, StructType(source.schema.fields + StructType.fromDDL(f"{name} {PAGE}").fields))
 
 
+def built_once(build):
+    """Columns built once for a JVM: they name their inputs and belong to no table, and building some thousands of them takes seconds."""
+    held: dict = {}
+
+    def get():
+        if held.get("of") is not SparkContext._gateway:
+            held.update(of=SparkContext._gateway, columns=build())
+        return held["columns"]
+
+    return get
+
+
 def text(page: Column, node: Column) -> Column:
     """The node's strings, stripped, joined by spaces."""
     return F.substring(page["text"], node["t0"] + 1, node["t1"] - node["t0"])
@@ -196,11 +134,10 @@ def strings(values: list[str]) -> Column:
     return F.expr("array(" + ", ".join(map(literal, values)) + ")")
 
 
-def _simple(selector: str, n: str) -> tuple[str, bool]:
-    """(predicate of a node as SQL, whether it asks for a class) of `tag`, `.class`, `[attr]`, `[attr=v]`, `[attr~=v]` and `[attr*=v]`, joined without spaces."""
-    tests, classed = [], False
+def _simple(selector: str, n: str) -> str:
+    """Predicate of a node as SQL of `tag`, `.class`, `[attr]`, `[attr=v]`, `[attr~=v]` and `[attr*=v]`, joined without spaces."""
+    tests = []
     for tag, klass, attr, op, value in re.findall(r"([a-z][a-z0-9]*)|\.([\w-]+)|\[([\w-]+)(?:([~*]?=)([^\]]+))?\]", selector):
-        classed |= bool(klass) or attr == "class"
         at, v = f"{n}.attrs[{literal(attr)}]", literal(value)
         if tag:
             tests.append(f"{n}.tag = {literal(tag)}")
@@ -214,15 +151,16 @@ def _simple(selector: str, n: str) -> tuple[str, bool]:
             tests.append(f"array_contains(split(coalesce({at}, ''), '[ \\\\t\\\\n\\\\r\\\\f]+'), {v})")
         else:
             tests.append(f"coalesce(contains({at}, {v}), false)")
-    return " AND ".join(tests), classed
+    return " AND ".join(tests)
 
 
 def select_sql(page: str, selector: str) -> str:
-    """Nodes that a selector of one or two steps (descendant) finds, in document order."""
+    """Nodes that a selector of one or two steps (descendant) finds, in document order. The parse has found the library's own; any other is looked for among all nodes."""
+    if selector in scan.NUMBER:
+        return f"transform({page}.hits[{scan.NUMBER[selector]}], i -> {page}.nodes[i])"
 
     def matching(step: str, n: str) -> str:
-        test, classed = _simple(step, n)
-        return f"filter({page}.{'classed' if classed else 'nodes'}, {n} -> {test})"
+        return f"filter({page}.nodes, {n} -> {_simple(step, n)})"
 
     *outer, inner = selector.split()
     found = matching(inner, "n")
@@ -238,6 +176,8 @@ def select(page: str, *selectors: str) -> Column:
 
 
 def by_tag(page: Column, *tags: str) -> Column:
+    if len(tags) == 1 and tags[0] in scan.NUMBER:
+        return F.transform(page["hits"][scan.NUMBER[tags[0]]], lambda i: page["nodes"][i])
     return F.filter(page["nodes"], lambda n: n["tag"].isin(*tags))
 
 
@@ -266,22 +206,9 @@ def meta(page: str, *keys: str) -> Column:
     return F.expr(f"trim(try_element_at(filter({page}.nodes, m -> {test}), 1).attrs['content'])")
 
 
-def link_density(page: Column, box: Column) -> Column:
+def link_density(box: Column) -> Column:
     """Share of a node's text that its links have; 1 without text."""
-    links = F.filter(page["nodes"], lambda n: (n["tag"] == "a") & (n["id"] > box["id"]) & (n["id"] <= box["end"]))
-    linked = F.aggregate(links, F.lit(0), lambda s, n: s + text_length(n))
-    return F.when(text_length(box) > 0, linked / text_length(box)).otherwise(1.0)
-
-
-def title(page: Column) -> Column:
-    return text(page, first(by_tag(page, "title")))
-
-
-def content_length(page: Column) -> Column:
-    """Length of the text outside head, scripts, styles and drawings."""
-    boxes = by_tag(page, *NOT_CONTENT)
-    outer = F.filter(boxes, lambda n: (text_length(n) > 0) & ~F.exists(boxes, lambda a: (a["id"] < n["id"]) & (n["id"] <= a["end"])))
-    return F.greatest(F.lit(0), F.length(page["text"]) - F.aggregate(outer, F.lit(0), lambda s, n: s + text_length(n) + 1))
+    return F.when(text_length(box) > 0, box["links"] / text_length(box)).otherwise(1.0)
 
 
 def data_attributes(node: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,67 +10,122 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..functions import dom, lists, text, urls
+from ..functions import dom, jsonld, lists, scan, text, urls
 
-LD = "array<struct<types array<string>, name string, job string, bio string, email string, org string, place string, url string, same_as array<string>, author string>>"
+LD = "array<struct<types array<string>, name string, job string, bio string, email string, said string, org string, place string, url string, same_as array<string>, accounts array<string>, author string>>"
+LINK = "label string, url string"
+FACTS = (
+    "struct<title string, text string, content int, h1 string, metas array<struct<key string, name string, property string, content string>>, prose string, bio string, job string, place string, "
+    f"anchors array<struct<{LINK}, prose boolean, scope int, main int, item boolean>>, bylines array<struct<{LINK}>>, items array<struct<{LINK}>>, "
+    "scoped boolean, seen array<string>, mails array<string>, codes array<string>, data array<string>>"
+)
 #: Fields of an author's record beside the name and the profile's URL.
 FIELDS = [f for f in lists.AUTHOR_FIELDS if f not in ("name", "profile_url")]
+#: Pages that are read at once.
+ROWS = 256
+#: Characters of text that page states are told by, of a bio that selectors find, of running text, of what may be a person's name.
+STATED, BIO, PROSE, NAME = 20000, 20, 80, 80
 
 
-def _string(x):
-    return x.strip() if isinstance(x, str) and x.strip() else None
+def _name(page: scan.Page, i: int) -> str | None:
+    """A node's text if it isn't too long for a name."""
+    return page.string(i) if page.length(i) <= NAME else None
 
 
-def _objects(x):
-    """Pre-order walk over every object."""
-    if isinstance(x, dict):
-        yield x
-    for y in x.values() if isinstance(x, dict) else x if isinstance(x, list) else ():
-        yield from _objects(y)
+def _first_text(page: scan.Page, selectors: list[str], least: int = 1) -> str | None:
+    """Of each selector the first element; the text of the first that has enough."""
+    for s in selectors:
+        found = page.found(s)
+        if found and page.c1[found[0]] - page.c0[found[0]] >= least:
+            return page.string(found[0])
 
 
-def _block(raw):
-    """A block as it is, else without the comment marks or CDATA marks around it."""
-    for attempt in (raw, raw.strip("/* \n\t"), raw.replace("//<![CDATA[", "").replace("//]]>", ""), raw.replace("<![CDATA[", "").replace("]]>", "")):
-        try:
-            return json.loads(attempt)
-        except (ValueError, RecursionError):
-            continue
-
-
-def _record(n):
-    kinds, place, same = n.get("@type"), n.get("address"), n.get("sameAs")
-    place = place if isinstance(place, dict) else {}
-    orgs = [n.get(k) for k in ("worksFor", "affiliation", "memberOf")]
-    named = [_string(o.get("name")) if isinstance(o, dict) else _string(o) for o in orgs]
+def _longest_paragraph(page: scan.Page, linked: list[int]) -> str | None:
+    """The longest paragraph over 50 characters outside list items that isn't mostly links, of main, else article, else the page;
+    the first of equals."""
+    box = next(iter(page.found("main") or page.found("article")), None)
+    best, most = None, 50
+    for p in page.found("p"):
+        size = page.c1[p] - page.c0[p]
+        if size > most and page.near_li[p] < 0 and (box is None or box < p <= page.end[box]) and linked[p] <= 0.5 * page.length(p):
+            best, most = p, size
+    return None if best is None else page.string(best)
+
+
+def _facts(page: scan.Page, base: str | None) -> dict:
+    """All that the author record, the candidates and the page's state read of a page, each text once."""
+    linked, edges = page.linked(), page.holds("header", "footer")
+    scopes = [i for i in page.found(*lists.AUTHOR_SCOPES) if page.tags[i] not in ("html", "body") and not edges[i]]
+    mains = page.found("main", "article")
+    area = page.outermost(scopes or mains)
+    within = lambda nodes: [i for i, k in zip(nodes, page.first_box(nodes, area)) if k >= 0] if area else nodes
+    url = lambda i: dom.node_url(page, base, i)
+    anchors = [i for i in page.found("a") if page.attrs[i].get("href")]
+    inside = lambda boxes: page.first_box(anchors, boxes)
+    prose = lambda p: p >= 0 and page.length(p) >= PROSE and linked[p] < 0.5 * page.length(p)
+    authors = page.found("[itemprop=author]")
+    scoped = [i for i in authors if "itemscope" in page.attrs[i]]
+    named, to = page.found("[itemprop=name]"), page.found("[itemprop=url]")
+
+    def item(i: int) -> dict:
+        """A link's own text and URL; those of the parts of a scoped item; the text of any other."""
+        if page.tags[i] == "a":
+            return {"label": _name(page, i), "url": url(i)}
+        if i not in known:
+            return {"label": _name(page, i), "url": None}
+        name, link = (next(iter(nodes[k : k + 1]), None) if (k := bisect_right(nodes, i)) < len(nodes) and nodes[k] <= page.end[i] else None for nodes in (named, to))
+        return {"label": None if name is None else _name(page, name), "url": None if link is None else url(link)}
+
+    known = set(scoped)
+    metas = []
+    for i in page.found("meta"):
+        a = page.attrs[i]
+        if a.get("content", "").strip():
+            name, prop = a.get("name", "").lower(), a.get("property", "").lower()
+            metas.append({"key": name or prop, "name": name, "property": prop, "content": a["content"].strip()})
+    mails = [h[7:].split("?")[0].strip() for h in (page.attrs[i]["href"].strip() for i in within(anchors)) if h[:7].lower() == "mailto:"]
+    data = [i for i, a in enumerate(page.attrs) if any(k.startswith("data-") and k != "data-cfemail" for k in a)]
+    head = next(iter(page.found("h1")), None)
     return {
-        "types": [str(t) for t in (kinds if isinstance(kinds, list) else [kinds] if kinds else [])], "name": _string(n.get("name")), "job": _string(n.get("jobTitle")), "bio": _string(n.get("description")),
-        "email": _string(n.get("email")), "org": next((o for o in named if o), None), "place": _string(place.get("addressLocality") or place.get("addressRegion") or place.get("name")),
-        "url": n["url"] if isinstance(n.get("url"), str) else None, "same_as": [s for s in same if isinstance(s, str)] if isinstance(same, list) else [], "author": n["author"] if isinstance(n.get("author"), str) else None,
+        "title": dom.title_of(page), "text": page.text[:STATED], "content": page.content_length(), "h1": None if head is None else page.string(head), "metas": metas, "prose": _longest_paragraph(page, linked),
+        "bio": _first_text(page, lists.BIO_SELECTORS, BIO), "job": _first_text(page, lists.JOB_SELECTORS), "place": _first_text(page, lists.LOCATION_SELECTORS),
+        "anchors": [
+            {"label": _name(page, i), "url": url(i), "prose": prose(page.near_p[i]), "scope": s, "main": m, "item": k >= 0}
+            for i, s, m, k in zip(anchors, inside(scopes), inside(mains), inside(scoped))
+        ],
+        "bylines": [{"label": _name(page, i), "url": url(i)} for i in page.found(*lists.BYLINE_SELECTORS)], "items": [item(i) for i in authors], "scoped": bool(scopes),
+        "seen": [page.raw[max(page.r0[i], 0) : page.r1[i]] for i in area] if area else [page.raw], "mails": mails, "codes": [page.attrs[i]["data-cfemail"] for i in within(page.found("[data-cfemail]"))],
+        "data": [v for i in within(data) for k, v in page.attrs[i].items() if k.startswith("data-") and k != "data-cfemail"],
     }
 
 
+def _ld(page: scan.Page, base: str | None) -> list[dict]:
+    blocks = [page.own.get(i, "") for i in page.found("script") if page.attrs[i].get("type") == "application/ld+json"]
+    records = [jsonld.record(n) for raw in blocks for n in jsonld.objects(jsonld.block(raw))]
+    return [r | {"accounts": [u for u in (jsonld.sound(dom.link(base, s)) for s in r["same_as"]) if u]} for r in records]
+
+
 def parsed(pages: DataFrame) -> DataFrame:
-    """pages(url, html, ...) with dom, ld and anchors, in one pass through Python.
+    """pages(url or not, html, ...) with page and ld, in one pass through Python that takes time in proportion to a page's length.
 
-    ld has every object of the JSON-LD blocks, in order; blocks that don't parse are skipped. anchors are links with an
-    href: place, label, href and resolved URL, null if it can't be followed. Columns of these names are replaced."""
-    kept = [c for c in pages.columns if c not in ("dom", "ld", "anchors")]
+    page has the facts that all else reads: title, the start of its text, the length of its content, first heading, metas, texts that selectors
+    find, links with a label (null if too long for a name) and the blocks that they lie in, and the strings and attributes of the author's blocks, else
+    of the content, else of the page. ld has every object of the JSON-LD blocks, in order; blocks that don't parse are skipped. Columns of these names are replaced."""
+    kept = [c for c in pages.columns if c not in ("page", "ld")]
     source = pages.select(*[f"`{c}`" for c in kept])
-    added = StructType.fromDDL(f"dom {dom.PAGE}, ld {LD}")
+    added = StructType.fromDDL(f"page {FACTS}, ld {LD}")
 
     def over(batches):
-        kind = to_arrow_schema(added).field("ld").type
+        kinds = to_arrow_schema(added)
         for batch in batches:
-            page, nodes = dom.read(batch.column("html").to_pylist(), batch.column("url").to_pylist())
-            scripts = [[n["own"] for n in ns if n["tag"] == "script" and n["attrs"].get("type") == "application/ld+json"] for ns in nodes]
-            objects = [[_record(n) for raw in s for n in _objects(_block(raw))] for s in scripts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, page, pa.array(objects, kind)], names=[*kept, "dom", "ld"])
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                bases = part.column("url").to_pylist() if "url" in kept else [None] * part.num_rows
+                read = [scan.Page(h) for h in part.column("html").to_pylist()]
+                facts = pa.array([_facts(p, b) for p, b in zip(read, bases)], kinds.field("page").type)
+                yield pa.RecordBatch.from_arrays([*part.columns, facts, pa.array([_ld(p, b) for p, b in zip(read, bases)], kinds.field("ld").type)], names=[*kept, "page", "ld"])
 
-    out = source.mapInArrow(over, StructType(source.schema.fields + added.fields))
-    page = F.col("dom")
-    linked = F.filter(page["nodes"], lambda n: (n["tag"] == "a") & (F.coalesce(n["attrs"]["href"], F.lit("")) != ""))
-    return out.withColumn("anchors", F.transform(linked, lambda n: F.struct(n["id"].alias("id"), dom.collapse(dom.text(page, n)).alias("label"), F.trim(n["attrs"]["href"]).alias("href"), urls.clean_url(n["url"]).alias("url"))))
+    return source.mapInArrow(over, StructType(source.schema.fields + added.fields))
 
 
 def _typed(ld: Column, *kinds: str) -> Column:
@@ -87,68 +142,52 @@ def _has(c: Column, markers: list[str]) -> Column:
 
 def page_state(page: Column, html: Column, status: Column | None = None) -> Column:
     """blocked, retry, paywall, thin or ok, by HTTP status if there is one, title, markers and the length of the content."""
-    title, body = F.lower(F.coalesce(dom.title(page), F.lit(""))), F.lower(F.left(page["text"], F.lit(20000)))
+    title, body = F.lower(F.coalesce(page["title"], F.lit(""))), F.lower(F.left(page["text"], F.lit(STATED)))
     challenge = _has(title, lists.CHALLENGE_TITLES) | _has(F.lower(F.left(F.coalesce(html, F.lit("")), F.lit(8000))), lists.CHALLENGE_BODIES)
     paywall = _has(title, lists.PAYWALL_TITLES) | _has(body, lists.PAYWALL_BODIES)
     out = F.when(status.isin(lists.REFUSED), "blocked").when(status.isin(lists.RETRIED), "retry") if status is not None else F.when(F.lit(False), "")
-    return out.when(challenge, "blocked").when(paywall, "paywall").when(dom.content_length(page) < 200, "thin").otherwise("ok")
+    return out.when(challenge, "blocked").when(paywall, "paywall").when(page["content"] < 200, "thin").otherwise("ok")
 
 
 def classify_fetched(fetched: DataFrame, backoff: float = 1.5) -> DataFrame:
     """fetched(url, status_code, content_type, content, retry_after, attempt) with html, garbled, state and, for those to
     be fetched again, delay in seconds."""
     html = text.decode_bytes(F.col("content"), text.charset(F.col("content_type")))
-    out = dom.with_dom(fetched.withColumn("html", html))
-    state = page_state(F.col("dom"), F.col("html"), F.col("status_code"))
+    out = parsed(fetched.withColumn("html", html))
+    state = page_state(F.col("page"), F.col("html"), F.col("status_code"))
     delay = F.when(text.http_class(F.col("status_code")) == "retry", text.retry_delay(F.col("retry_after"), backoff, F.col("attempt")))
-    return out.withColumns({"garbled": F.coalesce(text.bad_chars(F.col("html")), F.lit(False)), "state": state, "delay": delay}).drop("dom")
-
-
-def inside(node_id: Column, boxes: Column) -> Column:
-    return F.exists(boxes, lambda s: (s["id"] < node_id) & (node_id <= s["end"]))
-
-
-def longest_paragraph(page: Column) -> Column:
-    """The longest paragraph over 50 characters outside list items that isn't mostly links, of main, else article, else the page;
-    the first of equals."""
-    items = dom.by_tag(page, "li")
-    box = F.coalesce(dom.first(dom.by_tag(page, "main")), dom.first(dom.by_tag(page, "article")))
-    near = F.filter(dom.by_tag(page, "p"), lambda p: (dom.text_length(p) > 50) & F.coalesce((p["id"] > box["id"]) & (p["id"] <= box["end"]), F.lit(True)))
-    ok = F.filter(near, lambda p: ~inside(p["id"], items) & (dom.link_density(page, p) <= 0.5))
-    texts = F.filter(F.transform(ok, lambda p: dom.collapse(dom.text(page, p))), lambda t: F.length(t) > 50)
-    best = F.aggregate(texts, F.lit(""), lambda s, t: F.when(F.length(t) > F.length(s), t).otherwise(s))
-    return F.when(best != "", best)
+    return out.withColumns({"garbled": F.coalesce(text.bad_chars(F.col("html")), F.lit(False)), "state": state, "delay": delay}).drop("page", "ld")
 
 
 def author_scopes(name: str = "dom") -> Column:
     """Boxes that selectors of author blocks find, selector by selector; those that hold a header or footer wrap the page and don't count."""
-    found, edges = dom.select(name, *lists.AUTHOR_SCOPES), dom.by_tag(F.col(name), "header", "footer")
-    return F.filter(found, lambda s: ~s["tag"].isin("html", "body") & ~F.exists(edges, lambda d: (d["id"] > s["id"]) & (d["id"] <= s["end"])))
+    return F.filter(dom.select(name, *lists.AUTHOR_SCOPES), lambda s: ~s["tag"].isin("html", "body") & (s["edges"] == 0))
 
 
 def main_scopes(page: Column) -> Column:
     return F.concat(dom.by_tag(page, "main"), dom.by_tag(page, "article"))
 
 
-def site_names(page: str = "dom") -> Column:
+def meta(page: Column, *keys: str) -> Column:
+    """Content of the first meta element of a page's facts that has one of the names or properties."""
+    named = dom.strings(list(keys))
+    return dom.first(F.filter(page["metas"], lambda m: F.array_contains(named, m["name"]) | F.array_contains(named, m["property"])))["content"]
+
+
+def site_names(page: Column) -> Column:
     """The publication's names, lower-cased."""
-    return F.array_distinct(F.filter(F.array(F.lower(dom.meta(page, "og:site_name")), F.lower(dom.meta(page, "application-name"))), lambda v: v.isNotNull()))
-
-
-def page_emails(page: Column, anchors: Column, scopes: Column, people: Column) -> Column:
-    """Distinct plausible addresses in order: a person's in JSON-LD, and of the scopes, or of the whole page without any, mail links, text, coded and data attributes."""
-    everywhere = F.size(scopes) == 0
-    nodes = F.filter(page["nodes"], lambda n: everywhere | inside(n["id"], scopes))
-    # The joint is no white space and no part of an address: none is read across two scopes.
-    seen = F.when(everywhere, page["raw"]).otherwise(F.array_join(F.transform(scopes, lambda s: dom.visible(page, s)), "\u0001"))
-    mail = F.filter(anchors, lambda a: (everywhere | inside(a["id"], scopes)) & F.lower(a["href"]).startswith("mailto:"))
-    mailed = F.transform(mail, lambda a: F.trim(F.substring_index(F.substring(a["href"], F.lit(8), F.length(a["href"])), "?", 1)))
-    coded = F.transform(F.filter(nodes, lambda n: F.map_contains_key(n["attrs"], "data-cfemail")), lambda n: text.decode_hidden_email(n["attrs"]["data-cfemail"]))
-    kept = F.array_join(F.flatten(F.transform(nodes, dom.data_attributes)), "\u0001")
-    written = F.transform(F.regexp_extract_all(kept, F.lit(lists.EMAIL), F.lit(0)), lambda e: F.regexp_replace(e, r"^\.+|\.+$", ""))
+    return F.array_distinct(F.array_compact(F.array(F.lower(meta(page, "og:site_name")), F.lower(meta(page, "application-name")))))
+
+
+def page_emails(page: Column, people: Column) -> Column:
+    """Distinct plausible addresses in order: a person's in JSON-LD, and of the author's blocks, else the content, else the whole page: mail links, text, coded and data attributes."""
+    coded = F.transform(page["codes"], text.decode_hidden_email)
+    # The joint is no white space and no part of an address: none is read across two blocks or two attributes.
+    joint = lambda c: F.array_join(c, "\u0001")
+    written = text.plain_emails(joint(page["data"]))
     known = F.transform(people, lambda p: p["email"])
-    found = F.filter(F.concat(known, mailed, coded, written), lambda e: F.coalesce((e != "") & text.plausible_email(e), F.lit(False)))
-    return F.array_sort(F.array_distinct(F.concat(found, text.emails(seen))))
+    found = F.filter(F.concat(known, page["mails"], coded, written), lambda e: F.coalesce((e != "") & text.plausible_email(e), F.lit(False)))
+    return F.array_sort(F.array_distinct(F.concat(found, text.emails(joint(page["seen"])))))
 
 
 def ranked_emails(found: Column, name: Column, url: Column) -> Column:
@@ -157,114 +196,117 @@ def ranked_emails(found: Column, name: Column, url: Column) -> Column:
     return F.transform(scored, lambda s: s["e"])
 
 
-def with_accounts(page: DataFrame) -> DataFrame:
-    """Adds social_links, (platform, url) by platform, to a parsed page with _scopes and _mains: those of JSON-LD before links of the author's
-    blocks, or of the content where these have no account; the first of a platform counts. Links in running text are citations, no accounts."""
-    d = F.col("dom")
-    account = lambda u: F.struct(urls.classify_social(u).alias("platform"), u.alias("url"))
+@dom.built_once
+def _accounts() -> list[dict[str, Column]]:
+    links = F.filter("page.anchors", lambda a: a["url"].isNotNull() & ~a["prose"] & ((a["scope"] >= 0) | (a["main"] >= 0)))
+    own = F.transform(links, lambda a, i: F.struct(a["scope"].alias("scope"), a["main"].alias("main"), i.alias("i"), urls.classify_social(a["url"]).alias("platform"), a["url"].alias("url")))
+    declared = F.transform(F.flatten(F.transform(_typed(F.col("ld"), "Person"), lambda p: p["accounts"])), lambda u: F.struct(urls.classify_social(u).alias("platform"), u.alias("url")))
     known = lambda found: F.filter(found, lambda s: s["platform"].isNotNull())
-    page = page.withColumns({
-        "_own": known(F.transform(F.filter("anchors", lambda a: a["url"].isNotNull()), lambda a: F.struct(a["id"].alias("id"), urls.classify_social(a["url"]).alias("platform"), a["url"].alias("url")))),
-        "_same": known(F.transform(F.flatten(F.transform(_typed(F.col("ld"), "Person"), lambda p: p["same_as"])), lambda u: account(urls.absolute(F.col("url"), u)))),
-        "_ps": F.transform(dom.by_tag(d, "p"), lambda p: F.struct(p["id"].alias("id"), p["end"].alias("end"), ((dom.text_length(p) >= 80) & (dom.link_density(d, p) < 0.5)).alias("prose"))),
-    })
-    nearest = lambda a: F.try_element_at(F.filter("_ps", lambda p: (p["id"] < a["id"]) & (a["id"] <= p["end"])), F.lit(-1))
-    page = page.withColumn("_own", F.filter("_own", lambda a: ~F.coalesce(nearest(a)["prose"], F.lit(False))))
-    held = lambda boxes: F.flatten(F.transform(boxes, lambda s: F.transform(F.filter("_own", lambda a: (s["id"] < a["id"]) & (a["id"] <= s["end"])), lambda a: F.struct(a["platform"].alias("platform"), a["url"].alias("url")))))
-    page = page.withColumns({"_held": held("_scopes"), "_else": held("_mains")})
-    page = page.withColumn("_linked", F.concat("_same", F.when(F.size("_held") > 0, F.col("_held")).otherwise(F.col("_else"))))
-    kinds = F.array_sort(F.array_distinct(F.transform("_linked", lambda s: s["platform"])))
-    page = page.withColumn("social_links", F.transform(kinds, lambda k: F.element_at(F.filter("_linked", lambda s: s["platform"] == k), 1)))
-    return page.drop("_own", "_same", "_ps", "_held", "_else", "_linked")
-
-
-def author_fields(page: DataFrame) -> DataFrame:
-    """Adds the author record's fields, and emails, to a parsed page. Each is the first source that has it; null where none has."""
-    d, people = F.col("dom"), F.col("_people")
-    page = page.withColumns({"_people": _typed(F.col("ld"), "Person"), "_scopes": author_scopes(), "_mains": main_scopes(d)})
-    page = with_accounts(page).withColumn("_boxes", F.when(F.size("_scopes") > 0, F.col("_scopes")).otherwise(F.col("_mains")))
-    head = dom.collapse(dom.text(d, dom.first(dom.by_tag(d, "h1"))))
-    head = F.when((head != "") & (F.length(head) < 80) & ~F.array_contains(site_names(), F.lower(head)), head)
-    key = lambda m: F.lower(F.coalesce(F.nullif(m["attrs"]["name"], F.lit("")), m["attrs"]["property"], F.lit("")))
-    byline = dom.first(F.filter(F.transform(F.filter(d["nodes"], lambda m: (m["tag"] == "meta") & F.array_contains(dom.strings(lists.BYLINE_META), key(m))), lambda m: F.trim(m["attrs"]["content"])), lambda c: F.length(c).between(1, 79)))
-    told = dom.first(F.filter(F.transform(people, lambda p: p["bio"]), lambda b: F.length(b) >= 20))
-    described = F.trim(text.strip_tags(dom.meta("dom", "description", "author-description")))
-    bio = F.left(F.coalesce(text.collapse(text.strip_tags(told)), F.when(F.length(described) >= 20, text.collapse(described)), dom.first_text("dom", lists.BIO_SELECTORS, 20), longest_paragraph(d)), F.lit(2000))
-    page = page.withColumns({
-        "name": F.coalesce(_first(people, "name"), head, byline), "bio": bio,
-        "emails": page_emails(d, F.col("anchors"), F.col("_boxes"), people),
-        "location": F.coalesce(_first(people, "place"), dom.first_text("dom", lists.LOCATION_SELECTORS)),
-        "organization": F.coalesce(_first(people, "org"), _first(_typed(F.col("ld"), "Organization"), "name"), dom.meta("dom", "og:site_name"), dom.meta("dom", "application-name")),
-        "_job": F.coalesce(_first(people, "job"), dom.first_text("dom", lists.JOB_SELECTORS)), "_email": _first(people, "email"),
-    })
-    page = page.withColumn("emails", ranked_emails(F.col("emails"), F.col("name"), F.col("url")))
+    held = lambda box: F.array_sort(F.transform(F.filter("_own", lambda a: a[box] >= 0), lambda a: F.struct(a[box].alias("box"), a["i"].alias("i"), a["platform"].alias("platform"), a["url"].alias("url"))))
+    kinds = F.array_sort(F.array_distinct(F.transform("_linked", lambda s: s["platform"])))  # as many as there are platforms, at most
+    first = F.transform(kinds, lambda k: F.element_at(F.filter("_linked", lambda s: s["platform"] == k), 1))
+    return [
+        {"_own": known(own), "_same": known(declared)},
+        {"_held": F.when(F.exists("_own", lambda a: a["scope"] >= 0), held("scope")).otherwise(held("main"))},
+        {"_linked": F.concat("_same", F.transform("_held", lambda a: F.struct(a["platform"].alias("platform"), a["url"].alias("url"))))},
+        {"social_links": F.transform(first, lambda s: F.struct(s["platform"].alias("platform"), urls.clean_url(s["url"]).alias("url")))},
+    ]
+
+
+def _with(rows: DataFrame, stages: list[dict[str, Column]]) -> DataFrame:
+    """Columns added step by step; those that begin with an underscore are dropped in the end."""
+    for columns in stages:
+        rows = rows.withColumns(columns)
+    return rows.drop(*[c for columns in stages for c in columns if c.startswith("_")])
+
+
+def with_accounts(rows: DataFrame) -> DataFrame:
+    """Adds social_links, (platform, url) by platform, to a parsed page: those of JSON-LD before links of the author's blocks, or of the content
+    where these have no account; the first of a platform counts, by block, then in order. Links in running text are citations, no accounts."""
+    return _with(rows, _accounts())
+
+
+@dom.built_once
+def _record() -> list[dict[str, Column]]:
+    page, people = F.col("page"), F.col("_people")
+    head = F.when((page["h1"] != "") & (F.length(page["h1"]) < 80) & ~F.array_contains(site_names(page), F.lower(page["h1"])), page["h1"])
+    byline = dom.first(F.filter(page["metas"], lambda m: F.array_contains(dom.strings(lists.BYLINE_META), m["key"]) & (F.length(m["content"]) < 80)))["content"]
+    told = dom.first(F.filter(F.transform(people, lambda p: p["bio"]), lambda b: F.length(b) >= BIO))
+    described = F.trim(text.strip_tags(dom.first(F.filter(page["metas"], lambda m: m["name"].isin("description", "author-description")))["content"]))
+    bio = F.left(F.coalesce(text.collapse(text.strip_tags(told)), F.when(F.length(described) >= BIO, text.collapse(described)), page["bio"], page["prose"]), F.lit(2000))
     account = lambda kind: dom.first(F.filter("social_links", lambda s: s["platform"] == kind))["url"]
-    return page.withColumns({
+    found = {
+        "name": F.coalesce(_first(people, "name"), head, byline), "bio": bio, "emails": page_emails(page, people), "location": F.coalesce(_first(people, "place"), page["place"]),
+        "organization": F.coalesce(_first(people, "org"), _first(_typed(F.col("ld"), "Organization"), "name"), meta(page, "og:site_name"), meta(page, "application-name")),
+        "_job": F.coalesce(_first(people, "job"), page["job"]), "_email": _first(people, "said"),
+    }
+    told = {
         "job_title": F.coalesce("_job", text.role_in_prose(F.col("bio"), F.col("name"))), "email": F.coalesce("_email", dom.first(F.col("emails"))),
         "linkedin": account("linkedin"), "twitter": account("twitter"),
-    }).drop("_people", "_scopes", "_mains", "_boxes", "_job", "_email")
+    }
+    return [{"_people": _typed(F.col("ld"), "Person")}, found, {"emails": ranked_emails(F.col("emails"), F.col("name"), F.col("url"))}, told]
 
 
-def candidates(page: DataFrame) -> DataFrame:
-    """Adds found, array<struct<source, name, profile_url>>, to a parsed page: the ordered union of all detectors, the first of
-    each (name, URL). Sources: 0 JSON-LD, 1 meta, 2 byline links, 3 links to author pages, 4 microdata, 5 title.
+def author_fields(rows: DataFrame) -> DataFrame:
+    """Adds the author record's fields, and emails, to a parsed page. Each is the first source that has it; null where none has."""
+    return _with(with_accounts(rows), _record())
 
-    A profile page is on the article's site and isn't the article: of links elsewhere only the name stays."""
-    d, here = F.col("dom"), F.col("url")
+
+@dom.built_once
+def _found() -> list[dict[str, Column]]:
+    page, here = F.col("page"), F.col("url")
     none = F.lit(None).cast("string")
-    page = page.withColumn("_self", F.coalesce(urls.absolute(here, here), here))
     pair = lambda name, url: F.struct(name.alias("name"), url.alias("url"))
     at_home = lambda url: F.coalesce(urls.same_domain(url, here), F.lit(False))
     name_of = lambda c: F.when(text.plausible_name(c), c)
-    some = lambda ok, p: F.when(ok, F.array(p)).otherwise(F.array().cast("array<struct<name string, url string>>"))
+    empty = F.expr("cast(array() as array<struct<name string, url string>>)")
+    some = lambda ok, p: F.when(ok, F.array(p)).otherwise(empty)
 
     def from_ld(n: Column) -> Column:
         is_person = F.exists(n["types"], lambda t: F.contains(t, F.lit("Person")) | F.contains(t, F.lit("Author")))
         same = F.transform(F.filter(n["same_as"], at_home), lambda u: pair(n["name"], urls.absolute(here, u)))
         own = F.when(n["url"].isNotNull(), F.array(pair(n["name"], F.when(at_home(n["url"]), urls.absolute(here, n["url"]))))).otherwise(F.concat(same, F.array(pair(n["name"], none))))
-        return F.concat(some(text.plausible_name(n["author"]), pair(n["author"], none)), F.when(is_person, own).otherwise(F.array().cast("array<struct<name string, url string>>")))
+        return F.concat(some(text.plausible_name(n["author"]), pair(n["author"], none)), F.when(is_person, own).otherwise(empty))
 
     def from_meta(m: Column) -> Column:
-        content = F.trim(m["attrs"]["content"])
-        parts = F.filter(F.transform(F.split(content, r"[;,]|\s+and\s+"), F.trim), text.plausible_name)
-        return F.when(F.lower(content).startswith("http"), some(at_home(content), pair(none, urls.absolute(here, content)))).otherwise(F.transform(parts, lambda t: pair(t, none)))
+        parts = F.filter(F.transform(F.split(m["content"], r"[;,]|\s+and\s+"), F.trim), text.plausible_name)
+        return F.when(F.lower(m["content"]).startswith("http"), some(at_home(m["content"]), pair(none, urls.absolute(here, m["content"])))).otherwise(F.transform(parts, lambda t: pair(t, none)))
 
     def from_link(a: Column) -> Column:
         """A byline's link; without a followable href only its label counts."""
         return some(F.coalesce(a["url"] != F.col("_self"), F.lit(True)), pair(name_of(a["label"]), F.when(at_home(a["url"]), a["url"])))
 
-    def from_item(a: Column) -> Column:
-        under = dom.within(d["nodes"], a)
-        prop = lambda p: dom.first(F.filter(under, lambda n: F.coalesce(n["attrs"]["itemprop"] == p, F.lit(False))))
-        scoped = F.map_contains_key(a["attrs"], "itemscope")
-        link = prop("url")
-        name = F.when((a["tag"] != "a") & scoped, dom.text(d, prop("name"))).otherwise(dom.text(d, a))
-        url = F.when(a["tag"] == "a", a["url"]).when(scoped, link["url"])
-        return some(text.plausible_name(name), pair(dom.collapse(name), urls.clean_url(url)))
-
-    meta_key = lambda m: F.lower(F.coalesce(F.nullif(m["attrs"]["name"], F.lit("")), m["attrs"]["property"], F.lit("")))
-    metas = F.filter(d["nodes"], lambda m: (m["tag"] == "meta") & F.array_contains(dom.strings(lists.AUTHOR_META), meta_key(m)) & (F.trim(m["attrs"]["content"]) != ""))
-    paths = F.filter("anchors", lambda a: at_home(a["url"]) & (a["url"] != F.col("_self")) & urls.looks_like_author_page(a["url"]))
-    items = dom.select("dom", "[itemprop=author]")
-    by = F.trim(F.regexp_extract(F.coalesce(dom.title(d), F.lit("")), lists.TITLE_BYLINE, 1))
-    linked = F.transform(dom.select("dom", *lists.BYLINE_SELECTORS), lambda a: F.struct(dom.collapse(dom.text(d, a)).alias("label"), urls.clean_url(a["url"]).alias("url")))
-    page = page.withColumns({"_links": linked, "_paths": paths, "_items": items, "_metas": metas, "_by": by})
-    scoped = F.filter("_items", lambda a: F.map_contains_key(a["attrs"], "itemscope"))
+    clean = lambda a: F.struct(a["label"].alias("label"), urls.clean_url(a["url"]).alias("url"))
+    paths = F.filter(page["anchors"], lambda a: at_home(a["url"]) & urls.looks_like_author_page(a["url"]))
+    paths = F.transform(paths, lambda a: F.struct(a["label"].alias("label"), urls.clean_url(a["url"]).alias("url"), a["item"].alias("item")))
+    by = F.trim(F.regexp_extract(F.coalesce(page["title"], F.lit("")), lists.TITLE_BYLINE, 1))
+    parts = {
+        "_links": F.transform(page["bylines"], clean), "_paths": F.filter(paths, lambda a: a["url"] != F.col("_self")), "_by": by, "_items": F.filter(page["items"], lambda a: text.plausible_name(a["label"])),
+        "_metas": F.filter(page["metas"], lambda m: F.array_contains(dom.strings(lists.AUTHOR_META), m["key"])), "_ld": F.filter("ld", lambda n: n["author"].isNotNull() | (F.size(n["types"]) > 0)),
+    }
     detected = [
-        F.flatten(F.transform("ld", from_ld)),
+        F.flatten(F.transform("_ld", from_ld)),
         F.flatten(F.transform("_metas", from_meta)),
         F.flatten(F.transform("_links", from_link)),
         F.transform("_paths", lambda a: pair(name_of(a["label"]), a["url"])),
-        F.concat(F.flatten(F.transform("_items", from_item)), F.transform(F.filter("_paths", lambda a: inside(a["id"], scoped)), lambda a: pair(none, a["url"]))),
+        F.concat(F.transform("_items", lambda a: pair(a["label"], urls.clean_url(a["url"]))), F.transform(F.filter("_paths", lambda a: a["item"]), lambda a: pair(none, a["url"]))),
         some(text.plausible_name(F.col("_by")), pair(F.col("_by"), none)),
     ]
     told = lambda i: lambda s: F.struct(F.lit(i).alias("source"), F.nullif(F.trim(s["name"]), F.lit("")).alias("name"), s["url"].alias("profile_url"))
-    every = F.concat(*[F.transform(c, told(i)) for i, c in enumerate(detected)])
-    page = page.withColumn("_every", F.filter(every, lambda c: c["name"].isNotNull() | c["profile_url"].isNotNull()))
-    key = lambda c: F.struct(F.lower(c["name"]).alias("n"), c["profile_url"].alias("u"))
-    keys = F.array_distinct(F.transform("_every", key))
-    found = F.transform(keys, lambda k: F.element_at(F.filter("_every", lambda c: key(c).eqNullSafe(k)), 1))
-    return page.withColumn("found", found).drop("_self", "_every", "_links", "_paths", "_items", "_metas", "_by")
+    every = F.filter(F.concat(*[F.transform(c, told(i)) for i, c in enumerate(detected)]), lambda c: c["name"].isNotNull() | c["profile_url"].isNotNull())
+    # Equal ones lie next to each other once sorted by key, so that the first of each is told by the one before it.
+    keyed = F.array_sort(F.transform("_every", lambda c, i: F.struct(F.struct(F.lower(c["name"]).alias("name"), c["profile_url"].alias("url")).alias("key"), i.alias("i"), c.alias("c"))))
+    first = F.filter("_sorted", lambda c, i: (i == 0) | ~F.get("_sorted", i - 1)["key"].eqNullSafe(c["key"]))
+    found = F.transform(F.array_sort(F.transform(first, lambda c: F.struct(c["i"].alias("i"), c["c"].alias("c")))), lambda c: c["c"])
+    return [{"_self": F.coalesce(urls.absolute(here, here), here)}, parts, {"_every": every}, {"_sorted": keyed}, {"found": found}]
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Adds found, array<struct<source, name, profile_url>>, to a parsed page: the ordered union of all detectors, the first of
+    each (name, URL). Sources: 0 JSON-LD, 1 meta, 2 byline links, 3 links to author pages, 4 microdata, 5 title.
+
+    A profile page is on the article's site and isn't the article: of links elsewhere only the name stays."""
+    return _with(rows, _found())
 
 
 def candidate_score(c: Column, here: Column) -> Column:
@@ -293,7 +335,7 @@ def crawl(articles: DataFrame, captured: DataFrame) -> DataFrame:
     authors has all of several: the first with the record, others with their own page's, or with name and URL where it has none. Of repeated
     captures of a URL the least counts. page_id names an article; repeated ones count once."""
     page = candidates(parsed(articles.withColumn("url", urls.normalize_article_url(F.col("url")))))
-    page = page.select("page_id", F.col("url").alias("article_url"), page_state(F.col("dom"), F.col("html")).alias("state"), choose_author(F.col("found"), F.col("url")).alias("chosen"), choose_authors(F.col("found")).alias("several"))
+    page = page.select("page_id", F.col("url").alias("article_url"), page_state(F.col("page"), F.col("html")).alias("state"), choose_author(F.col("found"), F.col("url")).alias("chosen"), choose_authors(F.col("found")).alias("several"))
     rest = F.transform(F.slice("several", 2, 9), lambda c, i: F.struct((i + 1).alias("place"), c["name"].alias("name"), c["profile_url"].alias("profile_url")))
     slots = F.concat(F.array(F.struct(F.lit(0).alias("place"), F.col("chosen.name").alias("name"), F.col("chosen.profile_url").alias("profile_url"))), F.when(F.size("several") > 1, rest).otherwise(F.array().cast("array<struct<place int, name string, profile_url string>>")))
     fetched = F.col("state").isin("blocked", "paywall")
@@ -302,9 +344,11 @@ def crawl(articles: DataFrame, captured: DataFrame) -> DataFrame:
     open_to = F.coalesce(urls.same_domain(F.col("s.profile_url"), F.col("article_url")), F.lit(False))
     # A profile that isn't fetched has a key of its own that no page has: no task gets all of these rows.
     asked = asked.withColumn("url", F.when(open_to, F.col("s.profile_url"))).withColumn("key", F.coalesce("url", F.concat(F.lit("\u0001"), F.col("page_id").cast("string"))))
+    if articles.sparkSession.sparkContext.getCheckpointDir():
+        asked = asked.checkpoint()  # narrow, and read twice: else articles are parsed for each reading
     wanted = captured.select("url", "html").join(asked.select("url").where("url is not null").distinct(), "url", "left_semi").groupBy("url").agg(F.min("html").alias("html"))
     known = author_fields(parsed(wanted))
-    known = known.select(F.col("url").alias("key"), page_state(F.col("dom"), F.col("html")).alias("page_state"), F.col("name").alias("page_name"), *FIELDS)
+    known = known.select(F.col("url").alias("key"), page_state(F.col("page"), F.col("html")).alias("page_state"), F.col("name").alias("page_name"), *FIELDS)
     got = asked.join(known, "key", "left")
     stub = F.coalesce(F.col("page_state").isin("blocked", "paywall"), F.lit(True))
     main = F.col("s.place") == 0

@@ -39,6 +39,10 @@ def parse(rows: DataFrame) -> DataFrame:
     return dom.with_dom(rows)
 
 
+def both(rows: DataFrame) -> DataFrame:
+    return dom.with_dom(P.parsed(rows.withColumn("url", F.lit("https://press.org/"))))
+
+
 def listed(c):
     """Candidates as source:name>url."""
     one = lambda s: F.concat(s["source"].cast("string"), F.lit(":"), F.coalesce(s["name"], F.lit("-")), F.lit(">"), F.coalesce(F.regexp_replace(s["profile_url"], "^https://press.org", ""), F.lit("-")))
@@ -60,8 +64,8 @@ of_pages(
         "first": (lambda c: dom.text(c("dom"), dom.first(dom.by_tag(c("dom"), "p", "div", "a"))), ["a b § e g", "one", "l"]),
         "boxes": (lambda c: F.size(dom.select("dom", ".y")) + F.size(dom.select("dom", "div i")) + F.size(dom.select("dom", "[href]")), [0, 2, 1]),
         "data": (lambda c: F.array_join(F.flatten(F.transform(c("dom")["nodes"], dom.data_attributes)), ","), ["", "", "u§@press.org"]),
-        "content": (lambda c: dom.content_length(c("dom")), [None, None, None]),
-    } | {"content": (lambda c: dom.content_length(c("dom")) > 6, [True, True, False])},
+        "content": (lambda c: c("dom")["content"], [None, None, None]),
+    } | {"content": (lambda c: c("dom")["content"] > 6, [True, True, False])},
     parse,
 )
 of_pages(
@@ -83,9 +87,9 @@ of_pages(
     {
         "role": (lambda c: dom.first_text("dom", [".role", ".position"]), ["Night editor §", None, None]),
         "site": (lambda c: dom.meta("dom", "og:site_name"), ["The Daily", "x§", None]),
-        "names": (lambda c: F.array_join(P.site_names(), ";"), ["the daily", "x§;app", ""]),
+        "names": (lambda c: F.array_join(P.site_names(c("page")), ";"), ["the daily", "x§;app", ""]),
     },
-    parse,
+    both,
 )
 of_pages(
     "s11_f40_f41_f42_embedded_json",

@@ -13,7 +13,7 @@ from ..functions import dom, text, urls
 from ..operators import pages as P
 from ..operators import results as R
 from ..sources import sinks
-from .register import ORACLE, QUERIES, query, read
+from .register import ORACLE, QUERIES, query, read, read_dealt
 from ..streaming import jobs
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -56,8 +56,9 @@ e AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_concat(list_transf
 lambda x: NOT regexp_matches(lower(x), '@(example\.com|example\.org|example\.net|yourdomain\.com|domain\.com|email\.com|sentry\.io|wixpress\.com|site\.com)$') AND NOT regexp_matches(x, '\.(png|jpg|jpeg|gif|svg|webp|bmp|pdf)$')))) AS found FROM f)
 SELECT doc_id, array_to_string(found, ',') AS emails FROM e WHERE len(found) > 0""")
 def e9_document_emails(spark, sf_dir):
-    found = read(spark, sf_dir, "documents").select("doc_id", text.emails(F.col("text")).alias("found"))
-    return found.where(F.size("found") > 0).select("doc_id", F.array_join("found", ",").alias("emails"))
+    # One list, or none where it is empty: exploded, so that no filter repeats the search.
+    some = F.filter(F.array(text.emails(F.col("text"))), lambda e: F.size(e) > 0)
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(some).alias("found")).select("doc_id", F.array_join("found", ",").alias("emails"))
 
 
 @query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN true ELSE false END AS ok FROM customer")
@@ -87,7 +88,7 @@ def synthetic(spark, sf_dir) -> DataFrame:
     in_ld = F.col("c_custkey") % 2 == 0
     ld = F.when(in_ld, F.concat(F.lit('<script type="application/ld+json">{"@type":["Person"],"name":"Ann Doe","jobTitle":"Editor '), k, F.lit('","worksFor":{"name":"Org '), k, F.lit('"},"address":{"addressLocality":"Town"},"sameAs":["https://x.com/ld'), k, F.lit('"]}</script>'))).otherwise("")
     body = F.concat(F.lit('<html><head><title>Page</title><meta property="og:site_name" content="Site">'), ld, F.lit('</head><body><h1>Bob Roe</h1><div class="author"><p class="author-title">Reporter</p><a href="mailto:u'), k, F.lit('@press.org?subject=a">m</a><a href="https://x.com/a'), k, F.lit('">x</a><a href="https://github.com/g">g</a><div class="author-bio">Writes about the sea and those who live by it.</div></div><footer><a href="https://facebook.com/site">f</a> desk@press.org</footer></body></html>'))
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://press.org/authors/u"), k, F.lit("/")).alias("url"), body.alias("html"))
+    return read_dealt(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://press.org/authors/u"), k, F.lit("/")).alias("url"), body.alias("html"))
 
 
 @query("""SELECT c_custkey AS page_id, CASE WHEN c_custkey % 2 = 0 THEN 'Ann Doe' ELSE 'Bob Roe' END AS name, CASE WHEN c_custkey % 2 = 0 THEN 'Editor ' || c_custkey ELSE 'Reporter' END AS job_title,

@@ -27,6 +27,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows cost much each: one of fewer splits than the session's cores is dealt out, so that all of them work; a larger one stays as it lies."""
+    rows, cores = read(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def pick(values: list, key: Column) -> Column:
     """The key's value of a list that goes round, with the key in place of the mark."""
     out = F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))

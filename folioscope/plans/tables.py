@@ -14,7 +14,7 @@ from ..sources import urls as sources
 from ..streaming import jobs
 from .page_cases import LONG
 from .queries import RESULTS, result_rows
-from .register import pick, pick_sql, query, read
+from .register import pick, pick_sql, query, read, read_dealt
 
 LINES = ["  §\t", "§", "ftp://a.org/x", "", "HTTP://A.org", ",§,", "URL"]
 
@@ -123,7 +123,7 @@ def j1_j2_f18_p2_crawl(spark, sf_dir):
 
 
 def page_rows(spark, sf_dir) -> DataFrame:
-    return P.parsed(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return P.parsed(read_dealt(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 @query()
@@ -131,7 +131,7 @@ def p1_real_pages(spark, sf_dir):
     """The record, state and candidates of the pages table's own pages."""
     page = P.candidates(P.author_fields(page_rows(spark, sf_dir)))
     chosen = P.choose_author(F.col("found"), F.col("url"))
-    return page.select("page_id", P.page_state(F.col("dom"), F.col("html")).alias("state"), "name", "bio", "email", F.size("emails").alias("n_emails"), R.social_string(F.col("social_links")).alias("social"), "organization", F.size("found").alias("n_candidates"), chosen["name"].alias("author"))
+    return page.select("page_id", P.page_state(F.col("page"), F.col("html")).alias("state"), "name", "bio", "email", F.size("emails").alias("n_emails"), R.social_string(F.col("social_links")).alias("social"), "organization", F.size("found").alias("n_candidates"), chosen["name"].alias("author"))
 
 
 # ---- results ---------------------------------------------------------------------------------------------------------
