@@ -79,20 +79,21 @@ def s8_f9_t7_fetched(spark, sf_dir):
     return P.classify_fetched(c).select("c_custkey", "state", F.col("delay").isNotNull().alias("waits"), "delay", "html", "garbled")
 
 
-ROBOTS = "User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /en/open\nDisallow: /en/\nDisallow: /*.pdf\n"
-
-
 @query(
-    "WITH u AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://[^/?#]*')) AS origin, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)"
-    " SELECT page_id, NOT (path LIKE '/en/%' AND length(origin) % 2 = 0) AS allowed FROM u"
+    "WITH u AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://[^/?#]*')) AS origin, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages),"
+    " f AS (SELECT origin, min(path) AS low, max(path) AS high, count(*) AS n FROM u GROUP BY origin)"
+    " SELECT page_id, CASE WHEN length(origin) % 5 = 0 THEN true WHEN n % 2 = 0 THEN starts_with(path, low) OR NOT starts_with(path, '/' || split_part(low, '/', 2) || '/') ELSE starts_with(path, high) OR NOT starts_with(path, left(high, length(high) - 2)) END AS allowed FROM u JOIN f USING (origin)"
 )
 def s10_f7_j6_robots(spark, sf_dir):
+    """A file for each origin, made of its own paths: one keeps a language out but for its first path, one whatever begins as its last path does."""
     from ..functions import urls
 
     p = read(spark, sf_dir, "pages").select("page_id", "url")
-    origins = p.select(urls.origin(F.col("url")).alias("origin")).distinct()
-    files = origins.select("origin", F.when(F.length("origin") % 2 == 0, 200).otherwise(404).alias("status"), F.lit(ROBOTS).alias("body"))
-    return robots.with_robots(p, files, "folioscope").select("page_id", "allowed")
+    found = p.groupBy(urls.origin(F.col("url")).alias("origin")).agg(F.min(urls.path(F.col("url"))).alias("low"), F.max(urls.path(F.col("url"))).alias("high"), F.count(F.lit(1)).alias("n"))
+    mine = F.concat(F.lit("User-agent: *\nDisallow: /\n\nUser-agent: Folio\nAllow: "), "low", F.lit("\nDisallow: /"), F.split_part("low", F.lit("/"), F.lit(2)), F.lit("/\nAllow: /\n"))
+    every = F.concat(F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: "), "high", F.lit("\nDisallow: "), F.expr("left(high, length(high) - 2)"), F.lit(" # all like it\nDisallow:\n"))
+    files = found.select("origin", F.when(F.length("origin") % 5 == 0, 404).otherwise(200).alias("status"), F.when(F.col("n") % 2 == 0, mine).otherwise(every).alias("body"))
+    return robots.with_robots(p, files, "folio").select("page_id", "allowed")
 
 
 # ---- crawls ----------------------------------------------------------------------------------------------------------

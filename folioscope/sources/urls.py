@@ -11,9 +11,11 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import lists
 from ..functions.urls import valid_http
+from . import shared
 
 CELLS = "row long, cells array<string>"
 REQUEST = "url string, urls array<string>, timeout double, delay double, use_playwright boolean"
@@ -32,8 +34,22 @@ def url_lines(lines: DataFrame) -> DataFrame:
     return lines.select("ord", trimmed(F.col("value")).alias("url")).where(F.col("url").startswith("http"))
 
 
+def in_order(rows: DataFrame, *columns: Column) -> DataFrame:
+    """Rows of files as read, as `ord` and the columns: numbered from 0 in order of file and line, however the files are split and dealt.
+
+    Two passes: one counts the rows of each split, which follow each other in the row ids that Spark gives; the other adds the rows before
+    the split to a row's place in it. Only the splits, of 128 MiB each as a rule, are put in order at once."""
+    split = ["_file", "_start"]
+    read = rows.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    sizes = read.groupBy(*split).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = read.join(sizes.withColumn("_before", before).drop("_n"), split)
+    return out.select((F.col("_before") + F.col("_id") - F.col("_first")).alias("ord"), *[c for c in read.columns if not c.startswith("_")])
+
+
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), "value")
+    """(ord, value): the lines of text files."""
+    return in_order(spark.read.text(path), F.col("value"))
 
 
 def from_text(spark: SparkSession, path: str) -> DataFrame:
@@ -54,7 +70,7 @@ def from_sheet(spark: SparkSession, path: str) -> DataFrame:
     if path.lower().endswith(".xlsx"):
         return url_cells(read_xlsx(spark, path))
     sheet = spark.read.option("header", False).csv(path)
-    return url_cells(sheet.select(F.monotonically_increasing_id().alias("row"), F.array(*sheet.columns).alias("cells")))
+    return url_cells(in_order(sheet, F.array(*sheet.columns).alias("cells")).withColumnRenamed("ord", "row"))
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
@@ -62,16 +78,29 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_workbooks, CELLS)
 
 
+def _first_sheet(book: zipfile.ZipFile) -> str:
+    """The part of the sheet that the workbook lists first, found by its relation; without a list, the sheet part of the least number."""
+    relation = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    parts = set(book.namelist())
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= parts:
+        listed = [e.get(relation) for e in ElementTree.fromstring(book.read("xl/workbook.xml")).iter("{http://schemas.openxmlformats.org/spreadsheetml/2006/main}sheet")]
+        targets = {e.get("Id"): e.get("Target", "") for e in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")).iter("{http://schemas.openxmlformats.org/package/2006/relationships}Relationship")}
+        for target in (targets.get(i, "") for i in listed):
+            part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if part in parts:
+                return part
+    return min((n for n in parts if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+
+
 def _workbooks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
     text = lambda e: "".join(t.text or "" for t in e.iter(f"{space}t"))
     for frame in frames:
         for content in frame.content:
             book = zipfile.ZipFile(io.BytesIO(content))
-            names = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
             shared = [text(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{space}si")] if "xl/sharedStrings.xml" in book.namelist() else []
             rows = []
-            for place, row in enumerate(ElementTree.fromstring(book.read(names[0])).iter(f"{space}row")):
+            for place, row in enumerate(ElementTree.fromstring(book.read(_first_sheet(book))).iter(f"{space}row")):
                 cells: list[str | None] = []
                 for cell in row.iter(f"{space}c"):
                     at = 0
@@ -99,10 +128,23 @@ def from_web_csv(spark: SparkSession, path: str, most: int = 50) -> DataFrame:
 
 
 def added(loaded: DataFrame, new: DataFrame) -> DataFrame:
-    """loaded(ord, url) with new(url) typed in: trimmed, not blank, not there yet; they follow in order of their text."""
+    """loaded(ord, url) with new(url) typed in: trimmed, not blank, not there yet; they follow in order of their text.
+
+    The new ones are sorted by ranges into a table of their own, and the ranges' sizes place each of them."""
     fresh = new.select(trimmed(F.col("url")).alias("url")).where("url <> ''").distinct().join(loaded.select("url"), "url", "left_anti")
     last = loaded.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("last"))
-    return loaded.select("ord", "url").unionByName(fresh.crossJoin(F.broadcast(last)).select((F.col("last") + F.row_number().over(Window.orderBy("url"))).alias("ord"), "url"))  # typed by hand: few
+    return loaded.select("ord", "url").unionByName(_ranked(fresh, "url").crossJoin(F.broadcast(last)).select((F.col("last") + 1 + F.col("place")).alias("ord"), "url"))  # one row
+
+
+def _ranked(rows: DataFrame, column: str) -> DataFrame:
+    """Rows with `place`, their rank from 0 by a column of distinct values."""
+    spark, path = rows.sparkSession, shared.folder(rows.sparkSession, "ranked")
+    rows.repartitionByRange(column).sortWithinPartitions(column).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    run = spark.read.schema(StructType([*rows.schema.fields, StructField("_id", LongType())])).parquet(path).withColumn("_part", F.shiftright("_id", 33))
+    sizes = run.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = run.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return out.select(*rows.columns, (F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).alias("place"))
 
 
 def appended(args: DataFrame, file: DataFrame) -> DataFrame:
