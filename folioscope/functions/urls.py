@@ -1,11 +1,8 @@
-"""URL functions as column expressions; RFC 3986 resolution is a pandas UDF."""
+"""URL functions as column expressions."""
 
 from __future__ import annotations
 
-from urllib.parse import urljoin, urlsplit
-
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dom, lists
@@ -63,19 +60,40 @@ def valid_http(url: Column) -> Column:
     return F.coalesce(url.rlike(r"(?i)^https?://[^/?#\s]+"), F.lit(False))
 
 
-def _join(base: pd.Series, href: pd.Series) -> pd.Series:
-    def one(b, h):
-        try:
-            out = urljoin(b, h.strip())
-            return out if urlsplit(out).scheme else None
-        except (ValueError, AttributeError):
-            return None
+#: Schemes whose references are resolved at all, and those among them that name a host, as the reference's library lists them.
+RELATIVE = ["", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms", "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss"]
+
+
+def _merged_path(base: Column, href: Column) -> Column:
+    """A path seen from a base path, without dot segments (RFC 3986, section 5.2)."""
+    split = lambda p: F.split(p, "/")
+    folder = split(F.regexp_replace(base, "[^/]+$", ""))
+    folder = F.when(F.size(folder) > 1, F.slice(folder, 1, F.size(folder) - 1)).otherwise(folder)
+    below = F.concat(F.when(base != "", folder).otherwise(F.array(F.lit(""))), split(href))
+    parts = F.when(href.startswith("/"), split(href)).otherwise(F.filter(below, lambda s, i: (s != "") | (i == 0) | (i == F.size(below) - 1)))
+    step = lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.array_append(done, s))
+    done = F.aggregate(parts, F.expr("cast(array() as array<string>)"), step)
+    done = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(done, F.lit(""))).otherwise(done)
+    return F.regexp_replace(F.array_join(done, "/"), "^(?!/)", "/")
 
-    return pd.Series([one(b, h) for b, h in zip(base, href)], dtype=object)
+
+def joined(base: Column, href: Column) -> Column:
+    """A reference seen from its base, as RFC 3986 resolves it; a reference of another scheme, or of one that isn't resolved, as it is. Null without a scheme."""
+    own = scheme(href)
+    kind = F.when(own != "", own).otherwise(scheme(base))
+    host = F.regexp_extract(base, r"(?s)^(?:[^:/?#]+:)?(//[^/?#]*)?", 1)
+    at = F.regexp_extract(href, r"(?s)^(?:[^:/?#]+:)?(//[^/?#]*)", 1)
+    query, part = F.regexp_extract(href, r"(?s)^[^?#]*(\?[^#]+)", 1), F.regexp_extract(href, r"(?s)^[^#]*(#.+)$", 1)
+    given = path(href)
+    here = F.concat(kind, F.lit(":"), host, F.when(given != "", _merged_path(path(base), given)).otherwise(path(base)), F.when((given == "") & (query == ""), F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]+)", 1)).otherwise(query), part)
+    there = F.concat(kind, F.lit(":"), at, given, query, part)
+    out = F.when((own != "") & (own != scheme(base)) | ~kind.isin(RELATIVE), href).when(at.rlike("^//."), there).otherwise(here)
+    return F.when(kind != "", out)
 
 
 def resolve_url(base: Column, href: Column) -> Column:
-    return F.when(crawlable(href), clean_url(F.pandas_udf(_join, "string")(base, href)))
+    """Where a link leads, cleaned; null if it can't be followed."""
+    return F.when(crawlable(href), clean_url(joined(F.coalesce(base, F.lit("")), F.trim(href))))
 
 
 def absolute(base: Column, url: Column) -> Column:
@@ -98,6 +116,35 @@ def looks_like_author_link(label: Column, href: Column) -> Column:
     return F.lower(F.coalesce(href, F.lit(""))).rlike("/(" + "|".join(lists.AUTHOR_PATHS) + ")/") | F.exists(dom.strings(lists.AUTHOR_LINK_WORDS), lambda w: F.contains(low, w))
 
 
+def host_suffixes(host: Column) -> Column:
+    """A host and all above it, the longest first."""
+    labels = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+
+
+#: Rows of a platform table that are broadcast at most; a longer one is joined by a shuffle.
+BROADCAST = 100_000
+
+
+def with_platform(rows: DataFrame, url: str, platforms: DataFrame) -> DataFrame:
+    """Rows with `platform`: that of platforms(host, platform) whose host is the URL's or the nearest above it, of any number of labels; null without one, and
+    for LinkedIn's pages other than profiles. Each distinct host meets the table once. A column of that name is replaced."""
+    kept = [c for c in rows.columns if c != "platform"]
+    keyed = rows.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(authority(F.col(url)), F.lit("")).alias("_host"))
+    listed = platforms.groupBy(F.col("host").alias("_suffix")).agg(F.min("platform").alias("_platform"))
+    above = keyed.select("_host").distinct().select("_host", F.posexplode(host_suffixes(F.col("_host"))).alias("_i", "_suffix"))
+    small = listed.limit(BROADCAST + 1).count() <= BROADCAST
+    found = above.join(F.broadcast(listed) if small else listed, "_suffix").groupBy("_host").agg(F.min_by("_platform", "_i").alias("_platform"))
+    out = keyed.join(found, "_host", "left")
+    profile = (F.col("_platform") != "linkedin") | (F.col("_host") == "lnkd.in") | path(F.col(url)).rlike("(?i)^/(in|pub)/")
+    return out.select(*[F.col(f"`{c}`") for c in kept], F.when(profile, F.col("_platform")).alias("platform"))
+
+
+def platform_table(spark: SparkSession) -> DataFrame:
+    """The known platforms' hosts."""
+    return spark.createDataFrame([(h, platform) for platform, hosts in [*lists.SOCIAL_HOSTS.items(), ("linkedin", ["linkedin.com", "lnkd.in"])] for h in hosts], "host string, platform string")
+
+
 def classify_social(url: Column) -> Column:
     """The platform whose host is the URL's host or above it; LinkedIn only for profiles. Hosts have two labels each, so that the URL's
     last two labels look them up."""

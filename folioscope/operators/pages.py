@@ -269,7 +269,7 @@ def _found() -> list[dict[str, Column]]:
         return F.concat(some(text.plausible_name(n["author"]), pair(n["author"], none)), F.when(is_person, own).otherwise(empty))
 
     def from_meta(m: Column) -> Column:
-        parts = F.filter(F.transform(F.split(m["content"], r"[;,]|\s+and\s+"), F.trim), text.plausible_name)
+        parts = F.filter(F.transform(F.split(m["content"], r"[;,]|\s+and\s+"), lambda t: F.trim(t)), text.plausible_name)
         return F.when(F.lower(m["content"]).startswith("http"), some(at_home(m["content"]), pair(none, urls.absolute(here, m["content"])))).otherwise(F.transform(parts, lambda t: pair(t, none)))
 
     def from_link(a: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import page_cases, queries, row_cases, streams, tables  # noqa: F401  each registers its queries
+from . import contents, made_pages, queries, streams, tables  # noqa: F401  each registers its queries
 from .register import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

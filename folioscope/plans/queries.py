@@ -1,8 +1,4 @@
-"""One query for each operator, over the driver's tables, with its SQL.
-
-Round-trip queries build HTML from structured rows, run the extractors on it and return what they found; their SQL computes
-the expected record from the rows alone.
-"""
+"""Queries of URLs, documents, results and job states over the driver's tables, with their SQL."""
 
 from __future__ import annotations
 
@@ -10,10 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dom, text, urls
-from ..operators import pages as P
 from ..operators import results as R
-from ..sources import sinks
-from .register import ORACLE, QUERIES, query, read, read_dealt
+from .register import ORACLE, QUERIES, query, read
 from ..streaming import jobs
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -32,25 +26,6 @@ def f30_clean_url(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", urls.clean_url(F.col("url")).alias("clean"))
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(url, '^([a-z]+://[^/?#]*).*$', '\\1/about/team/'), '#.*', '') AS resolved FROM pages")
-def f31_resolve_url(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", urls.resolve_url(F.col("url"), F.lit("/about/./x/../team/?utm_source=a#b")).alias("resolved"))
-
-
-@query("SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) = 'example.com' OR regexp_extract(url, '://([^/?#]*)', 1) LIKE '%.example.com' AS same_site, CASE WHEN page_id % 3 = 0 THEN true WHEN page_id % 3 = 1 THEN false ELSE regexp_extract(url, '://([^/?#]*)', 1) LIKE 'staff.%' END AS author_page, page_id % 3 = 0 AS valid FROM pages")
-def f3_f4_url_predicates(spark, sf_dir):
-    p = read(spark, sf_dir, "pages")
-    made = F.concat(urls.origin(F.col("url")), F.when(F.col("page_id") % 3 == 0, "/Authors/ann").when(F.col("page_id") % 3 == 1, "/authors").otherwise("/x"))
-    return p.select("page_id", urls.same_domain(F.col("url"), F.lit("https://example.com/")).alias("same_site"), urls.looks_like_author_page(made).alias("author_page"), urls.valid_http(F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, "ftp://a.org/x").otherwise("https:///x")).alias("valid"))
-
-
-@query("SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'linkedin' WHEN 1 THEN NULL WHEN 2 THEN 'twitter' WHEN 3 THEN 'mastodon' WHEN 4 THEN NULL ELSE 'github' END AS platform FROM customer")
-def f37_classify_social(spark, sf_dir):
-    k = F.col("c_custkey")
-    u = F.when(k % 6 == 0, "https://www.linkedin.com/in/a").when(k % 6 == 1, "https://linkedin.com/company/a").when(k % 6 == 2, "https://x.com/a").when(k % 6 == 3, "https://mas.to/@a").when(k % 6 == 4, "https://notx.com/a").otherwise("http://gist.GitHub.com/a")
-    return read(spark, sf_dir, "customer").select("c_custkey", urls.classify_social(u).alias("platform"))
-
-
 @query(r"""WITH f AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS plain, regexp_extract_all(text, '""" + HIDDEN + r"""', 1) AS a, regexp_extract_all(text, '""" + HIDDEN + r"""', 2) AS b, regexp_extract_all(text, '""" + HIDDEN + r"""', 3) AS c FROM documents),
 e AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_concat(list_transform(plain, lambda x: regexp_replace(x, '^\.+|\.+$', '', 'g')), list_transform(range(1, len(a) + 1), lambda i: a[i] || '@' || b[i] || '.' || c[i])),
 lambda x: NOT regexp_matches(lower(x), '@(example\.com|example\.org|example\.net|yourdomain\.com|domain\.com|email\.com|sentry\.io|wixpress\.com|site\.com)$') AND NOT regexp_matches(x, '\.(png|jpg|jpeg|gif|svg|webp|bmp|pdf)$')))) AS found FROM f)
@@ -61,20 +36,6 @@ def e9_document_emails(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.explode(some).alias("found")).select("doc_id", F.array_join("found", ",").alias("emails"))
 
 
-@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN true ELSE false END AS ok FROM customer")
-def f2_person_names(spark, sf_dir):
-    k = F.col("c_custkey")
-    name = F.when(k % 5 == 0, "Ann O'Doe").when(k % 5 == 1, "View All").when(k % 5 == 2, "Twitter feed").when(k % 5 == 3, "Zoë Müller-Žižek").otherwise(F.concat(F.lit("Ann#"), k.cast("string")))
-    return read(spark, sf_dir, "customer").select("c_custkey", text.plausible_name(name).alias("ok"))
-
-
-@query("SELECT c_custkey, 'u' || c_custkey || '@site.org' AS email FROM customer")
-def f45_hidden_email(spark, sf_dir):
-    plain = F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@site.org"))
-    code = F.concat(F.lit("2a"), F.array_join(F.transform(F.split(plain, ""), lambda c: F.lpad(F.hex(F.ascii(c).bitwiseXOR(42)), 2, "0")), ""))
-    return read(spark, sf_dir, "customer").select("c_custkey", text.decode_hidden_email(code).alias("email"))
-
-
 @query(r"""SELECT page_id, trim(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '"'), '&amp;', '&')) AS h1, CAST(len(regexp_extract_all(html, '<a ')) AS BIGINT) AS links, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang FROM pages""")
 def f60_page_dom(spark, sf_dir):
     p = dom.with_dom(read(spark, sf_dir, "pages").select("page_id", "html"), "d")
@@ -82,43 +43,6 @@ def f60_page_dom(spark, sf_dir):
     return p.select("page_id", dom.text(F.col("d"), at("h1")).alias("h1"), F.size(dom.by_tag(F.col("d"), "a")).cast("long").alias("links"), F.coalesce(at("html")["attrs"]["lang"], F.lit("")).alias("lang"))
 
 
-def synthetic(spark, sf_dir) -> DataFrame:
-    """An author's page for each customer: some fields in JSON-LD, some in markup, decoys in the footer."""
-    k = F.col("c_custkey").cast("string")
-    in_ld = F.col("c_custkey") % 2 == 0
-    ld = F.when(in_ld, F.concat(F.lit('<script type="application/ld+json">{"@type":["Person"],"name":"Ann Doe","jobTitle":"Editor '), k, F.lit('","worksFor":{"name":"Org '), k, F.lit('"},"address":{"addressLocality":"Town"},"sameAs":["https://x.com/ld'), k, F.lit('"]}</script>'))).otherwise("")
-    body = F.concat(F.lit('<html><head><title>Page</title><meta property="og:site_name" content="Site">'), ld, F.lit('</head><body><h1>Bob Roe</h1><div class="author"><p class="author-title">Reporter</p><a href="mailto:u'), k, F.lit('@press.org?subject=a">m</a><a href="https://x.com/a'), k, F.lit('">x</a><a href="https://github.com/g">g</a><div class="author-bio">Writes about the sea and those who live by it.</div></div><footer><a href="https://facebook.com/site">f</a> desk@press.org</footer></body></html>'))
-    return read_dealt(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://press.org/authors/u"), k, F.lit("/")).alias("url"), body.alias("html"))
-
-
-@query("""SELECT c_custkey AS page_id, CASE WHEN c_custkey % 2 = 0 THEN 'Ann Doe' ELSE 'Bob Roe' END AS name, CASE WHEN c_custkey % 2 = 0 THEN 'Editor ' || c_custkey ELSE 'Reporter' END AS job_title,
-'Writes about the sea and those who live by it.' AS bio, 'u' || c_custkey || '@press.org' AS email, CASE WHEN c_custkey % 2 = 0 THEN 'Org ' || c_custkey ELSE 'Site' END AS organization, CASE WHEN c_custkey % 2 = 0 THEN 'Town' END AS location,
-'github: https://github.com/g; twitter: https://x.com/' || CASE WHEN c_custkey % 2 = 0 THEN 'ld' ELSE 'a' END || c_custkey AS social FROM customer""")
-def p1_author_records(spark, sf_dir):
-    out = P.author_fields(P.parsed(synthetic(spark, sf_dir)))
-    return out.select("page_id", "name", "job_title", "bio", "email", "organization", "location", R.social_string(F.col("social_links")).alias("social"))
-
-
-@query("""SELECT c_custkey AS page_id, 'https://press.org/news/' || c_custkey AS article_url, CASE c_custkey % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'no_author_page' WHEN 2 THEN 'no_author_found' ELSE 'paywall' END AS status,
-CASE WHEN c_custkey % 4 IN (0, 1) THEN 'Cat Poe' END AS name, CASE WHEN c_custkey % 4 = 0 THEN 'u' || c_custkey || '@press.org' END AS email FROM customer""")
-def s31_crawl(spark, sf_dir):
-    profiles = synthetic(spark, sf_dir)
-    k = F.col("page_id").cast("string")
-    long = F.lit("<p>" + "Some words of a story that goes on for a while. " * 6 + "</p>")
-    by = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit('<a rel="author" href="/authors/u'), k, F.lit('/?utm_source=x">Cat Poe</a>'))).when(F.col("page_id") % 4 == 1, '<a class="byline-name" rel="author" href="https://elsewhere.net/a">Cat Poe</a>').when(F.col("page_id") % 4 == 3, "<p>Subscribe to continue reading.</p>").otherwise("")
-    articles = profiles.select("page_id", F.concat(F.lit("https://press.org/news/"), k).alias("url"), F.concat(F.lit("<html><head><title>Story</title></head><body>"), by, long, F.lit("</body></html>")).alias("html"))
-    out = P.crawl(articles, profiles.select("url", "html"))
-    return out.select("page_id", "article_url", "status", F.when(F.col("status").isin("success", "no_author_page"), F.col("name")).alias("name"), "email")
-
-
-@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'blocked' WHEN 1 THEN 'paywall' WHEN 2 THEN 'thin' ELSE 'ok' END AS state FROM pages""")
-def f10_f11_page_states(spark, sf_dir):
-    k = F.col("page_id") % 4
-    html = F.concat(F.lit("<html><head><title>"), F.when(k == 0, "Just a moment...").otherwise("News"), F.lit("</title></head><body>"), F.when(k == 1, F.lit("Subscribe to continue reading " + "x " * 120)).when(k == 2, "short").otherwise("word " * 60), F.lit("</body></html>"))
-    made = dom.with_dom(read(spark, sf_dir, "pages").select("page_id", html.alias("html")))
-    return made.select("page_id", P.page_state(F.col("dom"), F.col("html")).alias("state"))
-
-
 def result_rows(spark, sf_dir) -> DataFrame:
     """An article for each order, its author the customer: the profile's case and final slash vary, some fields are missing."""
     o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -176,14 +100,8 @@ def job_events(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), "ts", "event_id")
 
 
-@query("""SELECT 'https://press.org/a/' || c_custkey AS "Profile URL", c_name AS "Name", 'github: g' AS "Social Links" FROM customer""")
-def p3_export_rows(spark, sf_dir):
-    c = read(spark, sf_dir, "customer")
-    rows = c.select(F.concat(F.lit("https://press.org/a/"), F.col("c_custkey").cast("string")).alias("profile_url"), F.col("c_name").alias("name"), F.array(F.struct(F.lit("github").alias("platform"), F.lit("g").alias("url"))).alias("social_links"))
-    return sinks.export_rows(rows)
-
-
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'a,' || p_partkey ELSE p_name END AS raw, CASE WHEN p_partkey % 3 = 0 THEN '\"a,' || p_partkey || '\"' ELSE p_name END AS escaped FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name || ',' || p_brand WHEN p_size % 3 = 1 THEN '\"' || p_name || '\"' ELSE p_name END AS raw, CASE WHEN p_size % 3 = 0 THEN '\"' || p_name || ',' || p_brand || '\"' WHEN p_size % 3 = 1 THEN '\"\"\"' || p_name || '\"\"\"' ELSE p_name END AS escaped FROM part")
 def f52_csv_escape(spark, sf_dir):
-    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("a,"), F.col("p_partkey").cast("string"))).otherwise(F.col("p_name"))
+    kind = F.col("p_size") % 3
+    raw = F.when(kind == 0, F.concat("p_name", F.lit(","), "p_brand")).when(kind == 1, F.concat(F.lit('"'), "p_name", F.lit('"'))).otherwise(F.col("p_name"))
     return read(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"), text.csv_escape(raw).alias("escaped"))

@@ -1,16 +1,13 @@
-"""Where queries and their SQL are kept, and queries made from cases."""
+"""Where queries and their SQL are kept."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-#: Stands for a row's key in the texts of cases, so that every row differs.
-MARK = "§"
 
 
 def query(sql: str | None = None):
@@ -31,40 +28,3 @@ def read_dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose rows cost much each: one of fewer splits than the session's cores is dealt out, so that all of them work; a larger one stays as it lies."""
     rows, cores = read(spark, sf_dir, name), spark.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
-
-
-def pick(values: list, key: Column) -> Column:
-    """The key's value of a list that goes round, with the key in place of the mark."""
-    out = F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
-    return F.replace(out, F.lit(MARK), key.cast("string")) if any(isinstance(v, str) for v in values) else out
-
-
-def pick_sql(values: list, key: str) -> str:
-    def literal(v):
-        if v is None:
-            return "NULL"
-        if isinstance(v, bool):
-            return str(v).lower()
-        if isinstance(v, float):
-            return f"CAST({v!r} AS DOUBLE)"
-        if isinstance(v, int):
-            return f"CAST({v} AS INTEGER)"
-        plain = "'" + v.replace("'", "''") + "'"
-        return f"replace({plain}, '{MARK}', CAST({key} AS VARCHAR))" if MARK in v else plain
-
-    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {literal(v)}" for i, v in enumerate(values)) + " END"
-
-
-def cases(name: str, inputs: dict[str, list], outputs: dict[str, tuple[Callable, list]], table: str = "customer", key: str = "c_custkey", prepare: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """A query over all rows of a table: inputs by the key, in turn; outputs as functions of the columns, and what each case must give.
-
-    The SQL knows nothing of the functions: it states the expected values, which follow from reading, not from a run."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = read(spark, sf_dir, table).select(key, *[pick(v, F.col(key)).alias(c) for c, v in inputs.items()])
-        rows = prepare(rows) if prepare else rows
-        return rows.select(key, *[f(F.col).alias(c) for c, (f, _) in outputs.items()])
-
-    run.__name__ = name
-    QUERIES[name] = run
-    ORACLE[name] = f"SELECT {key}, " + ", ".join(f"{pick_sql(values, key)} AS {c}" for c, (_, values) in outputs.items()) + f" FROM {table}"

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dom
-from ..operators import pages as P
-from ..operators import results as R
-from .register import cases
+from folioscope.functions import dom
+from folioscope.operators import pages as P
+from folioscope.operators import results as R
+from cases import cases
 
 KEY = "s_suppkey"
 URL = "https://press.org/authors/u§/"

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text, urls
-from .register import cases
+from folioscope.functions import text, urls
+from cases import cases
 
 cases(
     "f1_plausible_emails",

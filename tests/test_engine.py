@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from folioscope.operators import pages as P
 from folioscope.operators import results as R
 from folioscope.plans.all import QUERIES
-from folioscope.plans.page_cases import LONG
+from cases_pages import LONG
 from folioscope.sources import sinks
 from folioscope.sources import urls as sources
 from folioscope.streaming import jobs
