@@ -19,12 +19,14 @@ def dedupe(results: DataFrame, ord_column: str = "ord") -> DataFrame:
     key = F.coalesce(author_key(F.col("profile_url"), F.col("email"), F.col("name")), F.concat(F.lit("\x00"), F.col(ord_column)))
     kinds = dict(results.dtypes)
     filled = lambda c: F.size(c) > 0 if kinds[c].startswith("array") else F.col(c) != ""
-    some = lambda c: F.min_by(F.when(filled(c), F.col(c)), F.when(filled(c), F.col(ord_column)))
-    urls = F.array_sort(F.collect_list(F.struct(ord_column, "article_url")))
     fields = [c for c in FILLED if c in results.columns]
-    return results.groupBy(key.alias("author_key")).agg(
-        F.min(ord_column).alias(ord_column), F.min_by("article_url", ord_column).alias("article_url"), F.min_by("status", ord_column).alias("status"),
-        *[some(c).alias(c) for c in fields], F.array_distinct(F.transform(urls, lambda s: s["article_url"])).alias("article_urls"),
+    first = {"_status": F.struct(ord_column, "status"), "_url": F.struct(ord_column, "article_url")} | {f"_{c}_": F.when(filled(c), F.struct(ord_column, c)) for c in fields}
+    # Repeats of an article go before an author's articles come together, so that a list holds distinct ones only.
+    articles = results.groupBy(key.alias("author_key"), F.col("article_url").alias("_article")).agg(F.min(ord_column).alias(ord_column), *[F.min(c).alias(n) for n, c in first.items()])
+    urls = F.array_sort(F.collect_list(F.struct(ord_column, F.col("_article").alias("url"))))
+    return articles.groupBy("author_key").agg(
+        F.min(ord_column).alias(ord_column), F.min("_url")["article_url"].alias("article_url"), F.min("_status")["status"].alias("status"), *[F.min(f"_{c}_")[c].alias(c) for c in fields],
+        F.transform(urls, lambda s: s["url"]).alias("article_urls"),
     )
 
 

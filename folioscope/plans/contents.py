@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dom, lists, text, urls
 from ..operators import pages as P
 from ..operators import results as R
-from ..sources import shared, sinks
+from ..sources import captures, shared, sinks
 from ..sources import urls as sources
 from .made_pages import PEOPLE, people
 from .register import query, read, read_dealt
@@ -317,6 +317,17 @@ def s8_f9_t7_fetched(spark, sf_dir):
     return P.classify_fetched(c).select("page_id", "state", F.col("delay").isNotNull().alias("waits"), "delay", "html", "garbled")
 
 
+@query(PAGE + "SELECT page_id, url, CASE WHEN length(html) % 7 = 1 THEN 404 ELSE 200 END AS status_code, html, CASE length(html) % 7 WHEN 2 THEN 'x-' || page_id END AS mark, " + STATE + " AS state FROM s WHERE starts_with(url, 'https://')")
+def s8_s13_captured_archives(spark, sf_dir):
+    """Pages written to capture archives and read back by the start of their URL: status, headers, bytes decoded, state."""
+    path, n = shared.folder(spark, "captures"), F.length("html") % 7
+    headers = F.when(n == 2, F.create_map(F.lit("X-Mark"), F.concat(F.lit("x-"), F.col("page_id").cast("string")), F.lit("Page"), F.col("page_id").cast("string"))).otherwise(F.create_map(F.lit("Page"), F.col("page_id").cast("string")))
+    captures.write_captures(page_table(spark, sf_dir).select("url", F.when(n == 1, 404).otherwise(200).alias("status_code"), F.lit("text/html; charset=utf-8").alias("content_type"), headers.alias("headers"), F.encode("html", "utf-8").alias("content")), path)
+    found = captures.read_captures(spark, path).where(F.col("url").startswith("https://"))
+    rows = P.classify_fetched(found.withColumns({"retry_after": F.lit(None).cast("string"), "attempt": F.lit(0)}))
+    return rows.select(F.col("headers")["page"].cast("long").alias("page_id"), "url", "status_code", "html", F.col("headers")["x-mark"].alias("mark"), "state")
+
+
 # ---- exports --------------------------------------------------------------------------------------------------------
 
 
