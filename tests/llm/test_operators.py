@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import pytest
 from folioscope.llm import embeddings, pii, repeats, secrets
 from folioscope.llm.bytewords import raw
 from folioscope.llm.common import Scratch, components
-from folioscope.llm.decontaminate import decontaminate
+from folioscope.llm.decontaminate import Automaton, decontaminate
 from folioscope.llm.embeddings import link_embeddings
 from folioscope.llm.mixing import mix_sources
 from folioscope.llm.neardup import keep_one, near_duplicates
@@ -499,13 +500,17 @@ def test_toxic_sentences():
     assert cut[2:] == [[], [], [], []]
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("block_words", [200_000, 20, 1])
+def test_decontamination(spark, block_words):
+    """In one pass, and in passes over blocks of few words."""
     items = [(1, prose(30)), (2, "Five short words are here"), (10, "alpha"), (None, prose(12)), (3, None), (4, "..."), (5, prose(12))]
     texts = [prose(20) + " " + items[0][1].upper() + " " + prose(20), "so five, short; words are HERE!", "alpha beta", " ".join(items[0][1].split()[5:14]), " ".join(items[0][1].split()[5:15]), items[3][1], None, "", items[4][1] or "x", prose(500)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_hit string")
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     fold = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    for r in decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect():
+    got = decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), block_words=block_words).collect()
+    assert len(got) == len(texts)
+    for r in got:
         w, hit, found = fold(texts[r.doc_id]), set(), []
         for name, t in items:
             i = fold(t)
@@ -517,3 +522,12 @@ def test_decontamination(spark):
         ids = ",".join(sorted(str(n) for n in found if n is not None))
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit))
         assert not fold(r.clean_text) or len(fold(r.clean_text)) == len(w) - len(hit)
+
+
+def test_repeated_words_take_linear_time():
+    """An item and a document of one word, 20,000 times; windows of several sizes among equal words."""
+    start = time.time()
+    automaton = Automaton([(0, ["a"] * 20_000), (1, ["a"] * 3), (2, ["b", *["a"] * 40])], 10)
+    cover, found = automaton.hits(["a"] * 20_000)
+    assert cover.all() and found == {0, 1, 2} and time.time() - start < 5
+    assert Automaton([(0, ["a"] * 12)], 10).hits(["a"] * 9 + ["b"] + ["a"] * 10)[0].tolist() == [False] * 10 + [True] * 10
