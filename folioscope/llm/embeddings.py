@@ -22,9 +22,12 @@ PART = 4096
 CELL, SLOT = 32768, 8192
 #: Vectors, and names of filters, that are held against each other at once.
 TILE = 2048
+#: Vectors that are list-decoded at once.
+DECODED = 1024
 #: Crowded cells that are broadcast at most (32 bytes each); beyond, they are joined by a shuffle.
 CROWDED = 10_000
 
+
 class Caps:
     """Random directions, each a product of block codes, after a random rotation; and the cap's threshold."""
 
@@ -47,24 +50,31 @@ class Caps:
 
     def passed(self, unit: np.ndarray) -> list[np.ndarray]:
         """Each vector's filters, ascending: all directions beyond the threshold, by list decoding; if those are under
-        CAPS_LEAST, the nearest ones by a lower threshold."""
+        CAPS_LEAST, the nearest ones by a lower threshold. Blocks are taken one by one for many vectors at once: a start of codes
+        stays as long as the later blocks can make up for what it lacks."""
         x = unit @ self.rotation
         scores = [x[:, a:b] @ c.T for a, b, c in zip(self.cuts, self.cuts[1:], self.book)]
         best = [s.max(axis=1) for s in scores]
-        out = []
-        for v in range(len(x)):
-            threshold = self.threshold
-            while True:
-                codes, total = np.zeros(1, np.int64), np.zeros(1)
-                for k, s in enumerate(scores):
-                    rest = sum(b[v] for b in best[k + 1 :])
-                    total, codes = (total[:, None] + s[v]).ravel(), (codes[:, None] * self.codes + np.arange(self.codes)).ravel()
-                    near = total + rest >= threshold  # no later block can make up for more
-                    total, codes = total[near], codes[near]
-                if len(codes) >= min(CAPS_LEAST, self.codes**self.blocks):
-                    break
-                threshold -= 0.1 * abs(threshold) + 0.01
-            out.append(np.sort(codes))
+        rest = [sum(best[k + 1 :], np.zeros(len(x))) for k in range(len(scores))]  # what later blocks can add at most
+        least, threshold = min(CAPS_LEAST, self.codes**self.blocks), np.full(len(x), self.threshold)
+        out: list = [None] * len(x)
+        for tile in np.array_split(np.arange(len(x)), max(1, -(-len(x) // DECODED))):
+            while len(tile):
+                row, codes, total = tile, np.zeros(len(tile), np.int64), np.zeros(len(tile))
+                for s, more in zip(scores, rest):
+                    grown = total[:, None] + s[row]
+                    near = grown + more[row][:, None] >= threshold[row][:, None]
+                    at, code = np.nonzero(near)
+                    row, codes, total = row[at], codes[at] * self.codes + code, grown[near]
+                order = np.lexsort((codes, row))
+                row, codes = row[order], codes[order]
+                ends = np.searchsorted(row, tile, "right")
+                starts = np.searchsorted(row, tile, "left")
+                enough = ends - starts >= least
+                for v, lo, hi in zip(tile[enough].tolist(), starts[enough].tolist(), ends[enough].tolist()):
+                    out[v] = codes[lo:hi]
+                tile = tile[~enough]
+                threshold[tile] -= 0.1 * np.abs(threshold[tile]) + 0.01
         return out
 
 
