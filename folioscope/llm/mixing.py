@@ -48,13 +48,13 @@ def targets(sizes: DataFrame, weights: list[int], share: float, most: float) ->
 def mix_sources(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """Adds size, source_size, target and taken to documents(doc_id, text, source, ...).
 
-    Each source is a queue of its documents in shuffled order (md5 of seed and doc_id), run through again until most
+    Each source is a queue of its documents in shuffled order (md5 of seed, doc_id and the text's md5), run through again until most
     times its size. A document copy's virtual finish time is the queue's words so far over the source's target. A copy
     that straddles time 1, when the source has its target, is two packets. Packets are range-sorted over all sources
     by finish time and the mix is cut at the total budget, in the middle of a packet if need be.
 
-    Null or empty text: size and taken 0. Null source: a source, last in order. Null ids shuffle as one value. Equal
-    rows each take part; ties in the order go by size. An empty table gives none. Columns of the input that have the
+    Null or empty text: size and taken 0. Null source: a source, last in order. Null ids shuffle by their texts, as do
+    rows of one repeated id. Equal rows each take part, and are told apart by nothing. An empty table gives none. Columns of the input that have the
     names of the four are replaced.
     """
     weights = weights or WEIGHTS
@@ -65,7 +65,7 @@ def mix_sources(docs: DataFrame, weights: list[int] | None = None, share: float
     doc = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc")
     rows = docs.select(doc).withColumn("size", word_count(F.col("doc.text"))).withColumn("source", F.col("doc.source"))
     slim = [c for c in kept if c != "text"]
-    order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc.doc_id").cast("string"), F.lit(""))).cast("binary"))
+    order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("doc.text", F.lit("")).cast("binary"))).cast("binary"))
     # The text isn't moved: rows are numbered without it and carry their other columns.
     plain = scratch.save(rows.select(F.struct(*[F.col(f"doc.`{c}`") for c in slim]).alias("doc"), "source", "size", order.alias("key")))
     count = plain.count()
