@@ -35,7 +35,11 @@ ASIDE_WORDS = set("ad ads advert adverts advertisement advertising adsense spons
 #: Words that make even an article element something else.
 NOT_ARTICLE = {"ad", "ads", "advert", "sponsored", "promo", "teaser", "comment", "comments", "reply"}
 BODY_WORDS = re.compile(r"(?:article|entry|post|story)[-_]?(?:body|content|text)|articlebody", re.IGNORECASE)
-OPEN, ARTICLE, FURNITURE, FORM, MAIN = range(5)
+#: Of these words, those that no article stands under; the others may name a box that wraps the whole page, such as one with a sidebar.
+FIRM = set("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr popup modal newsletter related recommended comment comments disqus reply replies respond".split())
+#: LOOSE text is under such a word; STRAY is an article under one, which counts if the page has no other.
+OPEN, ARTICLE, FURNITURE, FORM, MAIN, LOOSE, STRAY = range(7)
+BESIDE = (FURNITURE, FORM, LOOSE)
 #: Neighbours on each side; pages' places in one group; share of characters from which two pages are copies of each other.
 SIDE, GROUP, COPY = 2, 64, 0.8
 #: Bits of an alignment that are held at once; a longer one is halved first.
@@ -66,11 +70,14 @@ def _place(tag: str, given: str, outer: int) -> int:
     if tag in ("article", "main") or role in ("article", "main"):
         if words & NOT_ARTICLE:
             return FURNITURE
-        return ARTICLE if outer == ARTICLE or tag == "article" or role == "article" else MAIN
+        article = outer in (ARTICLE, STRAY) or tag == "article" or role == "article"
+        return (outer if outer == STRAY else STRAY if outer == LOOSE else ARTICLE) if article else MAIN
     if prop == "articlebody":
-        return ARTICLE
-    if tag in ASIDE or role in ASIDE_ROLES or words & ASIDE_WORDS or (tag == "header" or "header" in words) and outer != ARTICLE:
+        return STRAY if outer in (LOOSE, STRAY) else ARTICLE
+    if tag in ASIDE or role in ASIDE_ROLES or words & FIRM or tag == "header" and outer not in (ARTICLE, STRAY):
         return FURNITURE
+    if words & ASIDE_WORDS or "header" in words and outer not in (ARTICLE, STRAY):
+        return FURNITURE if outer in (ARTICLE, STRAY) else LOOSE
     return FORM if tag in ("form", "fieldset") else outer
 
 
@@ -96,7 +103,7 @@ def lines_of(page: str | None) -> list[tuple[str, int, bool]]:
         if raw:
             place = open_[-1][1] if open_ else OPEN
             text = entities.unescape(raw) if "&" in raw else raw
-            if place in (FURNITURE, FORM):
+            if place in BESIDE:
                 beside.append(text)
             else:
                 state[0], state[1] = place, bool(where.get("h1"))
@@ -234,10 +241,10 @@ def shared_lines(pages: list[tuple[int, str, list[int], list[int]]]) -> dict[int
 def main_text(lines: list[tuple[str, int, bool]], shared: list[bool]) -> tuple[str, int]:
     """The article's text and how many lines went as shared. An article element has the article, quotations of other pages included; without one it is
     what main, else the page, has besides furniture and shared lines. A first-level heading outside stays if it isn't shared."""
-    body = next((p for p in (ARTICLE, MAIN) if any(place == p for _, place, _ in lines)), OPEN)
+    body = next((p for p in (ARTICLE, STRAY, MAIN) if any(place == p for _, place, _ in lines)), OPEN)
     kept, gone = [], 0
     for (text, place, heading), same in zip(lines, shared):
-        if same and place != ARTICLE:
+        if same and place not in (ARTICLE, STRAY):
             gone += 1
         elif place == body or heading and place in (OPEN, MAIN):
             kept.append(text)

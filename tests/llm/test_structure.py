@@ -11,7 +11,7 @@ import pytest
 
 from folioscope.llm import extraction
 from folioscope.llm.clustering import LIMIT, Ball, cluster_vectors
-from folioscope.llm.extraction import ARTICLE, FURNITURE, MAIN, OPEN, align, extract_pages, lines_of
+from folioscope.llm.extraction import ARTICLE, FURNITURE, MAIN, OPEN, STRAY, align, extract_pages, lines_of, main_text
 from folioscope.llm.turns import damage, repair_conversations
 
 RNG = np.random.default_rng(11)
@@ -144,6 +144,8 @@ def test_lines():
         ("m", FURNITURE), ("h", FURNITURE), ("t", ARTICLE), ("x", ARTICLE), ("s", FURNITURE), ("y", ARTICLE), ("s", FURNITURE), ("f", FURNITURE), ("e", FURNITURE)]
     assert at('<main><p class="cookie-notice">c<p>x</main><div id="comments"><article>r</article></div><article class="comment">q</article><div class="entry-content">z</div>') == [
         ("c", FURNITURE), ("x", MAIN), ("r", FURNITURE), ("q", FURNITURE), ("z", ARTICLE)]
+    assert at('<div class="page-with-sidebar"><p>w</p><article>x</article><div class=comments><article>r</article></div><div itemprop=articleBody>b</div><main>m</main></div>') == [
+        ("w", FURNITURE), ("x", STRAY), ("r", FURNITURE), ("b", STRAY), ("m", MAIN)]
     assert at('<script>var a="<p>no</p>";</script><style>p{}</style><title>t</title><p title="a>b" data-x=\'<p>\'>x<!-- <p>no --><p title=it\'s>y</p><!----><!-->z') == [("x", OPEN), ("y", OPEN), ("z", OPEN)]
     assert at("a<b<c> d <3 &#xD800; &#0;<p") == [("a d <3 � �", OPEN)]
     assert at(None) == at("") == at("<!-- <p>x</p>") == at("<script>x") == []
@@ -262,6 +264,13 @@ def test_balls_skip():
     assert (again == ((x[:, None] - moved[None]) ** 2).sum(axis=2).argmin(axis=1)).all() and looked < 5000 * 64 / 20
 
 
+def test_stray_articles():
+    """An article in a box named after a sidebar is the page's, unless another one stands outside."""
+    text = lambda page: main_text(lines_of(page), [False] * 99)[0]
+    box = '<div id="content-sidebar-wrap"><p>menu</p><article>inner</article></div>'
+    assert text(box) == "inner" and text(box + "<article>outer</article>") == "outer" and text(box + "<main>m</main>") == "inner"
+
+
 def test_lines_packed():
     """Lines come back as they were, whatever their places."""
     for lines in ([], [("a b", FURNITURE, True), ("c", FURNITURE, True), ("é", MAIN, False)], [("x", OPEN, False)]):
