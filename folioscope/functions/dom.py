@@ -45,6 +45,8 @@ def _nodes(pages: list[scan.Page], urls: list[dict[int, str]]) -> pa.Array:
     return pa.ListArray.from_arrays(_offsets(len(p.tags) for p in pages), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
 
 
+#: Pages that are read at once.
+ROWS = 256
 #: Links that lead to no page.
 NO_PAGE = re.compile(r"(?:#|javascript:|data:|mailto:|tel:|sms:)", re.IGNORECASE)
 
@@ -92,9 +94,9 @@ def with_dom(pages: DataFrame, name: str = "dom") -> DataFrame:
     source = pages.select(*[f"`{c}`" for c in kept])
 
     def over(batches):
-        for batch in batches:
-            bases = batch.column("url").to_pylist() if "url" in kept else [None] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, read(batch.column("html").to_pylist(), bases)], names=[*kept, name])
+        for part in (batch.slice(i, ROWS) for batch in batches for i in range(0, batch.num_rows, ROWS)):
+            bases = part.column("url").to_pylist() if "url" in kept else [None] * part.num_rows
+            yield pa.RecordBatch.from_arrays([*part.columns, read(part.column("html").to_pylist(), bases)], names=[*kept, name])
 
     return source.mapInArrow(over, StructType(source.schema.fields + StructType.fromDDL(f"{name} {PAGE}").fields))
 

@@ -117,3 +117,28 @@ def record(n: dict) -> dict:
         "email": string(email), "said": string(text_of(email)) if email else None, "org": next((o for o in named if o), None), "place": string(place.get("addressLocality") or place.get("addressRegion") or place.get("name")),
         "url": whole("url"), "same_as": [sound(s) for s in same if isinstance(s, str)] if isinstance(same, list) else [], "author": whole("author"),
     }
+
+
+def shallow(x) -> Iterator[tuple[int, int | None, str | None, int, str]]:
+    """(place, parent, key, depth, own fields as JSON) of every object, an outer one before those in it. Objects within it are left out of an object's own fields, as they
+    come with its place and the key that they stand under; so all together take space in proportion to the block, however deep it nests."""
+    left: list[tuple[object, int | None, str | None, int]] = [(x, None, None, 0)]
+    place = 0
+    while left:
+        x, parent, key, depth = left.pop()
+        if isinstance(x, list):
+            left.extend((y, parent, key, depth) for y in reversed(x) if isinstance(y, (dict, list)))
+        elif isinstance(x, dict):
+            own = {sound(k): _plain(v) for k, v in x.items() if not isinstance(v, dict)}
+            yield place, parent, key, depth, json.dumps(own, ensure_ascii=False)
+            left.extend((v, place, sound(k), depth + 1) for k, v in reversed(x.items()) if isinstance(v, (dict, list)))
+            place += 1
+
+
+def _plain(v):
+    """A value without objects and without what JSON has no word for; of a list its plain values."""
+    if isinstance(v, list):
+        return [_plain(y) for y in v if not isinstance(y, (dict, list))]
+    if isinstance(v, float) and (v != v or v in (WORDS["Infinity"], WORDS["-Infinity"])):
+        return None
+    return sound(v) if isinstance(v, str) else v

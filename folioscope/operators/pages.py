@@ -21,8 +21,6 @@ FACTS = (
 )
 #: Fields of an author's record beside the name and the profile's URL.
 FIELDS = [f for f in lists.AUTHOR_FIELDS if f not in ("name", "profile_url")]
-#: Pages that are read at once.
-ROWS = 256
 #: Characters of text that page states are told by, of a bio that selectors find, of running text, of what may be a person's name.
 STATED, BIO, PROSE, NAME = 20000, 20, 80, 80
 
@@ -117,13 +115,11 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     def over(batches):
         kinds = to_arrow_schema(added)
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                bases = part.column("url").to_pylist() if "url" in kept else [None] * part.num_rows
-                read = [scan.Page(h) for h in part.column("html").to_pylist()]
-                facts = pa.array([_facts(p, b) for p, b in zip(read, bases)], kinds.field("page").type)
-                yield pa.RecordBatch.from_arrays([*part.columns, facts, pa.array([_ld(p, b) for p, b in zip(read, bases)], kinds.field("ld").type)], names=[*kept, "page", "ld"])
+        for part in (batch.slice(i, dom.ROWS) for batch in batches for i in range(0, batch.num_rows, dom.ROWS)):
+            bases = part.column("url").to_pylist() if "url" in kept else [None] * part.num_rows
+            read = [scan.Page(h) for h in part.column("html").to_pylist()]
+            facts = pa.array([_facts(p, b) for p, b in zip(read, bases)], kinds.field("page").type)
+            yield pa.RecordBatch.from_arrays([*part.columns, facts, pa.array([_ld(p, b) for p, b in zip(read, bases)], kinds.field("ld").type)], names=[*kept, "page", "ld"])
 
     return source.mapInArrow(over, StructType(source.schema.fields + added.fields))
 

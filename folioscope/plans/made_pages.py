@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dom
+from ..operators import linked_data
 from ..operators import pages as P
 from ..operators import results as R
 from .register import query, read, read_dealt
@@ -155,6 +156,19 @@ def s11_f40_f41_f42_embedded_json(spark, sf_dir):
     return P.parsed(rows).select("page_id", F.size("ld").cast("long").alias("nodes"), F.array_join(F.transform(ps, lambda p: p["name"]), ",").alias("people"), P._first(F.col("ld"), "org").alias("org"), P._first(ps, "place").alias("place"))
 
 
+@query(
+    f"{PEOPLE}, depth AS (SELECT *, length(sum) AS d FROM people) SELECT page_id, 0 AS block, (d + 1)::INTEGER AS place, (d + 1)::INTEGER AS depth, who AS name, job, place AS town, length(slug)::BIGINT AS years, CASE WHEN rich THEN slug || ',' || org ELSE org END AS awards FROM depth"
+)
+def f40_f42_ld_relation(spark, sf_dir):
+    """Persons out of JSON as deep as their balance has digits, their town from the object beside, and fields that no record knows: a number and a list."""
+    body = filled('{"w":[{"@type":["Thing","Person"],"name":" {who} ","jobTitle":"{job}","years":YEARS,"award":[LIST"{org}"],"address":{"addressLocality":"{place}"}}]}')
+    body = F.replace(F.replace(body, F.lit("YEARS"), F.length("slug").cast("string")), F.lit("LIST"), F.when(F.col("rich"), F.concat(F.lit('"'), "slug", F.lit('",'))).otherwise(""))
+    wrapped = F.concat(F.lit('<script type="application/ld+json">'), F.repeat(F.lit('{"x":['), F.length("sum")), body, F.repeat(F.lit("]}"), F.length("sum")), F.lit("</script>"))
+    pages = people(spark, sf_dir).select("page_id", wrapped.alias("html"))
+    more = linked_data.objects(pages).where(linked_data.typed("Person")).select("page_id", "place", "depth", linked_data.field("years", "bigint").alias("years"), F.array_join(linked_data.field("award", "array<string>"), ",").alias("awards"))
+    return linked_data.people(pages, "page_id").join(more, ["page_id", "place"]).select("page_id", "block", "place", "depth", "name", "job", "town", "years", "awards")
+
+
 # ---- candidates -----------------------------------------------------------------------------------------------------
 
 ARTICLE = {

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import dom, jsonld, lists, scan
+from folioscope.operators import linked_data
 from folioscope.operators import pages as P
 from folioscope.operators import results as R
 
@@ -165,3 +166,18 @@ def test_nested_json():
             i = RNG.randrange(len(chars) + 1)
             chars[i : i + RNG.randint(0, 1)] = RNG.choice('{}[],:"1 atrue')
         assert read(jsonld.nested, "".join(chars)) == read(json.loads, "".join(chars))
+
+
+def test_linked_data_rows(spark):
+    """Objects of any depth, lone surrogates, values that JSON has no word for, blocks that aren't JSON; any field by its name."""
+    ld = lambda s: f'<script type="application/ld+json">{s}</script>'
+    deep = '{"a":[' * 10_000 + '{"@type":"Person","name":"Deep","it\'s":1}' + "]}" * 10_000
+    rows = [(1, ld(deep)), (2, ld('{"@type":"Person","name":"A\\ud83d","n":1e999,"x":[1,{"y":2},[3]],"z":{"@type":["Q","Person"],"name":3}}')), (3, ld("{broken") + ld('[{"a":1},{"b":"t"}]')), (4, None), (5, ld("7"))]
+    found = linked_data.objects(spark.createDataFrame(rows, "page_id long, html string")).cache()
+    assert {r.page_id: r.n for r in found.groupBy("page_id").agg(F.count("*").alias("n")).collect()} == {1: 10_001, 2: 3, 3: 2}
+    last = found.where("page_id = 1 and depth = 10000").select(linked_data.field("name").alias("name"), linked_data.field("it's", "int").alias("n"), "parent").first()
+    assert tuple(last) == ("Deep", 1, 9999)
+    two = [tuple(r) for r in found.where("page_id = 2").orderBy("place").select("place", "parent", "key", "depth", F.to_json("object").alias("o")).collect()]
+    assert [t[:4] for t in two] == [(0, None, None, 0), (1, 0, "x", 1), (2, 0, "z", 1)] and json.loads(two[0][4]) == {"@type": "Person", "name": "A?", "n": None, "x": [1]}
+    assert [r.name for r in linked_data.people(spark.createDataFrame(rows, "page_id long, html string"), "page_id").orderBy("page_id", "place").collect()] == ["Deep", "A?", "3"]
+    assert found.where("page_id = 3").select("block", linked_data.field("b").alias("b")).orderBy("place").collect()[1] == (1, "t")
