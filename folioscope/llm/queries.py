@@ -71,7 +71,7 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_pages(table(spark, sf_dir, "pages"))
+    return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,6 +153,21 @@ FROM ends e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
 """
 
 
+#: The given pages have one article element each and references of a few sorts: on them the article's lines are within SQL's reach, the alignment isn't.
+_SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_PLAIN = "regexp_replace(line, '<[^>]*>', '', 'g')"
+for _entity, _char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("#x27", "''"), ("#39", "''"), ("amp", "&")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '&{_entity};?', '{_char}', 'g')"
+OP12 = f"""
+WITH lines AS (
+  SELECT page_id, url, row_number() OVER () AS r, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h1|br)[^>]*>') AS parts FROM pages
+), texts AS (
+  SELECT page_id, url, r, array_to_string(list_filter(list_transform(parts, lambda line: trim(regexp_replace({_PLAIN}, '{_SPACE}', ' ', 'g'))), lambda t: t <> ''), ' ') AS text FROM lines
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts
+"""
+
+
 def _clusters(k: int, rounds: int) -> str:
     """Every round is the same two tables: each vector's nearest centroid, and the centroids' components after it."""
     parts = [
@@ -179,4 +194,4 @@ FROM a{rounds} JOIN kept USING (r) JOIN (SELECT c, sha256(string_agg(x::VARCHAR,
 
 OP13 = _clusters(8, 10)
 
-ORACLE_SQL = {"op2_ngram_jaccard": OP2, "op3_mix_sources": OP3, "op5_embeddings": OP5, "op6_url_filters": OP6, "op10_decontaminate": OP10, "op11_conversations": OP11, "op13_clusters": OP13}
+ORACLE_SQL = {"op2_ngram_jaccard": OP2, "op3_mix_sources": OP3, "op5_embeddings": OP5, "op6_url_filters": OP6, "op10_decontaminate": OP10, "op11_conversations": OP11, "op12_main_text": OP12, "op13_clusters": OP13}
