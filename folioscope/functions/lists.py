@@ -37,7 +37,9 @@ ESCAPES = {"&": "&amp;", "'": "&#39;", '"': "&quot;", "<": "&lt;", ">": "&gt;"}
 
 # Patterns that results depend on, as Spark reads them.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-OBFUSCATED = r"(?i)\b([A-Za-z0-9._%+-]+)\s*[\[]?\(?\s*at\s*\)?[\]]?\s*([A-Za-z0-9.-]+)\s*[\[]?\(?\s*dot\s*\)?[\]]?\s*([A-Za-z]{2,})\b"
+#: A word's edge of ASCII letters, digits and underscores only; Java's own counts other letters too.
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+OBFUSCATED = r"(?i)" + EDGE + r"([A-Za-z0-9._%+-]+)\s*[\[]?\(?\s*at\s*\)?[\]]?\s*([A-Za-z0-9.-]+)\s*[\[]?\(?\s*dot\s*\)?[\]]?\s*([A-Za-z]{2,})" + EDGE
 NAME_SHAPE = r"^(?U)[\wÀ-ɏ'.\- ]+$"
 TITLE_BYLINE = r"(?i)\bBy\s+([A-Za-z](?U)[\w'’.\- ]{1,70}?)(?:\s*[|\-–—]\s|$)"
 ROLE_OF = r"(?U)\bis\s+(?:the\s+)?[A-Z][\w&.\-]*(?:\s+[A-Z][\w&.\-]*){0,3}'s\s+([^.,;]{3,60})"

@@ -48,6 +48,11 @@ cases(
     {"u": ["press.org/§", "http://press.org/§", "https://press.org", "//press.org/§", "ftp://press.org"]},
     {"url": (lambda c: urls.normalize_article_url(c("u")), ["https://press.org/§", "http://press.org/§", "https://press.org", "//press.org/§", "ftp://press.org"])},
 )
+cases(
+    "e9_document_emails",
+    {"t": ["osas enrr§atadotaci\u00f3n", "\u00f3u§ at press dot org\u00f1", "u§ at press dot orgs_", "\u00e9 (at) b"]},
+    {"emails": (lambda c: F.array_join(text.emails(c("t")), ","), ["enrr§@a.aci", "u§@press.org", "", ""])},
+)
 cases(
     "f43_f44_written_emails",
     {"t": ["Write u§@press.org. or v@press.org", "u§ [at] press [dot] org", "u§(at)press(dot)org now", "none here", "a@example.org", "u§ AT news.press DOT org, b@c.io"]},
