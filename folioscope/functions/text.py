@@ -37,11 +37,11 @@ def plain_emails(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("@")), found).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def emails(c: Column) -> Column:
+def emails(c: Column, pattern: str = lists.OBFUSCATED) -> Column:
     """Plain and obfuscated addresses, plausible ones, distinct and in order. A text is searched once for each kind, for spelt-out ones only where it has a dot's name;
     their parts are read from the few finds."""
-    spelt = F.when(F.contains(F.lower(c), F.lit("dot")), F.regexp_extract_all(c, F.lit(lists.OBFUSCATED), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
-    part = lambda m, g: F.regexp_extract(m, lists.OBFUSCATED, g)
+    spelt = F.when(F.contains(F.lower(c), F.lit("dot")), F.regexp_extract_all(c, F.lit(f"(?i){lists.EDGE}{pattern}{lists.EDGE}"), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
+    part = lambda m, g: F.regexp_extract(m, rf"(?i)^{pattern}\z", g)
     hidden = F.transform(spelt, lambda m: F.concat(part(m, 1), F.lit("@"), part(m, 2), F.lit("."), part(m, 3)))
     return F.sort_array(F.array_distinct(F.filter(F.concat(plain_emails(c), hidden), plausible_email)))
 

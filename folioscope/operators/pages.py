@@ -176,14 +176,15 @@ def site_names(page: Column) -> Column:
 
 
 def page_emails(page: Column, people: Column) -> Column:
-    """Distinct plausible addresses in order: a person's in JSON-LD, and of the author's blocks, else the content, else the whole page: mail links, text, coded and data attributes."""
+    """Distinct plausible addresses in order: a person's in JSON-LD, and of the author's blocks, else the content, else the whole page: mail links, text, coded and data attributes.
+    Spelt-out ones stand apart from words: running text of some languages has "at" and "dot" within one."""
     coded = F.transform(page["codes"], text.decode_hidden_email)
     # The joint is no white space and no part of an address: none is read across two blocks or two attributes.
     joint = lambda c: F.array_join(c, "\u0001")
     written = text.plain_emails(joint(page["data"]))
     known = F.transform(people, lambda p: p["email"])
     found = F.filter(F.concat(known, page["mails"], coded, written), lambda e: F.coalesce((e != "") & text.plausible_email(e), F.lit(False)))
-    return F.array_sort(F.array_distinct(F.concat(found, text.emails(joint(page["seen"])))))
+    return F.array_sort(F.array_distinct(F.concat(found, text.emails(joint(page["seen"]), lists.APART))))
 
 
 def ranked_emails(found: Column, name: Column, url: Column) -> Column:

@@ -169,6 +169,15 @@ of_pages(
     },
     fields,
 )
+of_pages(
+    "p1_spelt_out_emails",
+    [
+        page("<article><p>La r\u00f3jatadotaga de u§atdotorg, ua at udotorg.</p></article>"),
+        page("<article><p>Write to u§ [at] press [dot] org, v(at)press(dot)org or w at press dot org.</p></article>"),
+    ],
+    {"emails": (lambda c: F.array_join(F.array_sort(c("emails")), " "), ["", "u§@press.org v@press.org w@press.org"])},
+    fields,
+)
 CITED = "Ann has written at length about the firm <a href='https://x.com/cited'>on its account</a>, its people, its ships and the sea."
 of_pages(
     "e7_f12_a2_a3_a16_o2_p6_accounts",

@@ -50,8 +50,8 @@ cases(
 )
 cases(
     "e9_document_emails",
-    {"t": ["osas enrr§atadotaci\u00f3n", "\u00f3u§ at press dot org\u00f1", "u§ at press dot orgs_", "\u00e9 (at) b"]},
-    {"emails": (lambda c: F.array_join(text.emails(c("t")), ","), ["enrr§@a.aci", "u§@press.org", "", ""])},
+    {"t": ["osas enrr§atadotaci\u00f3n", "\u00f3u§ at press dot org\u00f1", "u§ at press dot orgs_", "\u00e9 (at) b", "u§ at a dot org.foo at b dot com"]},
+    {"emails": (lambda c: F.array_join(text.emails(c("t")), ","), ["enrr§@a.aci", "u§@press.org", "", "", ".foo@b.com,u§@a.org"])},
 )
 cases(
     "f43_f44_written_emails",
