@@ -47,10 +47,12 @@ def emails(c: Column, pattern: str = lists.OBFUSCATED) -> Column:
 
 
 def decode_hidden_email(code: Column) -> Column:
-    """Hex whose first byte is the key of all others; null if it isn't such hex."""
-    byte = lambda i: F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("int")
-    chars = F.transform(F.sequence(F.lit(3), F.length(code) - 1, F.lit(2)), lambda i: F.char(byte(i).bitwiseXOR(byte(F.lit(1)))))
-    return F.when(code.rlike("^([0-9a-fA-F]{2}){2,}$"), F.array_join(chars, ""))
+    """Hex whose first byte is the key of all others; null if it isn't such hex. The code is bound, so that it is worked out once, not for each of its bytes."""
+    byte = lambda pair: F.conv(pair, 16, 10).cast("int")
+    chars = lambda key, pairs: F.transform(pairs, lambda p, i: F.when(i > 0, F.char(byte(p).bitwiseXOR(key))))
+    keyed = lambda pairs: F.transform(F.array(byte(F.get(pairs, F.lit(0)))), lambda key: F.array_join(chars(key, pairs), ""))[0]
+    plain = lambda c: F.transform(F.array(F.regexp_extract_all(c, F.lit(".."), F.lit(0))), keyed)[0]
+    return F.transform(F.array(code), lambda c: F.when(c.rlike("^([0-9a-fA-F]{2}){2,}$"), plain(c)))[0]
 
 
 def name_tokens(name: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import pages as P
 from folioscope.operators import results as R
+from folioscope.functions import text
 from folioscope.plans.all import QUERIES
 from cases_pages import LONG
 from folioscope.sources import sinks
@@ -140,3 +141,11 @@ def test_real_pages(spark):
 @pytest.mark.parametrize("name", ["p1_real_pages"])
 def test_queries_without_sql_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_a_code_is_worked_out_once(spark):
+    """Not for each of its bytes, however it comes about; and any length of it in time in proportion."""
+    rows = spark.createDataFrame([("0041",), ("2a4b6a",), ("00",), ("zz00",), (None,), ("01" + "40" * 50000,), ("ffE9",)], "c string")
+    out = rows.repartition(2).select("c", text.decode_hidden_email(F.reverse(F.reverse("c"))).alias("e"))
+    assert out._jdf.queryExecution().analyzed().toString().count("reverse(reverse(") == 1
+    assert {r.c: r.e for r in out.collect()} == {"0041": "A", "2a4b6a": "a@", "00": None, "zz00": None, None: None, "01" + "40" * 50000: "A" * 50000, "ffE9": "\x16"}
