@@ -32,7 +32,7 @@ BYLINE_META = ["author", "byl", "byline", "parsely-author"]
 BIO_STARTERS = ["the", "a", "an", "this", "that", "our", "its"]
 CSV_FIELDS = ["status", "name", "email", "linkedin", "twitter", "job_title", "organization", "location", "profile_url", "article_url"]
 AUTHOR_FIELDS = ["name", "profile_url", "job_title", "bio", "email", "linkedin", "twitter", "social_links", "organization", "location"]
-LATIN_CHARSETS, TRIED_CHARSETS = ["iso-8859-1", "latin-1", "windows-1252"], ["utf-8", "utf-8-sig", "cp1252", "windows-1252", "latin-1"]
+LATIN_CHARSETS = ["iso-8859-1", "latin-1", "windows-1252"]
 ESCAPES = {"&": "&amp;", "'": "&#39;", '"': "&quot;", "<": "&lt;", ">": "&gt;"}
 
 # Patterns that results depend on, as Spark reads them.

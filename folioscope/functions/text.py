@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import encodings
+import encodings.aliases
+import pkgutil
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -121,24 +125,50 @@ def role_in_prose(bio: Column, name: Column) -> Column:
     return F.when(named | opens, F.coalesce(role(lists.ROLE_OF), role(lists.ROLE)))
 
 
-def _decode(content: pa.Array, declared: pa.Array) -> pa.Array:
-    def one(data: bytes | None, charset: str | None):
-        if data is None:
+def _squeezed(name: str) -> str:
+    return "".join(c for c in name.lower() if c.isascii() and c.isalnum())
+
+
+def _charsets() -> list[str]:
+    """Names, squeezed to letters and digits, that Python may know as a charset, but for UTF-8's, which is tried anyway. It may be too many: any is tried."""
+    names = {m.name for m in pkgutil.iter_modules(encodings.__path__)} | set(encodings.aliases.aliases) | set(encodings.aliases.aliases.values())
+    utf8 = {n for n, of in encodings.aliases.aliases.items() if of == "utf_8"} | {"utf_8"}
+    return sorted({_squeezed(n) for n in names} - {_squeezed(n) for n in utf8})
+
+
+BAD = "\ufffd\ufffe\uffff"
+#: What windows-1252 has in place of the control characters of Latin-1, and the five bytes that it doesn't have.
+WINDOWS = {b: bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0)}
+MISSING = [chr(b) for b, c in WINDOWS.items() if c == "\ufffd"]
+
+
+def _declared(content: pa.Array, declared: pa.Array) -> pa.Array:
+    """Bytes as their declared charset reads them, or null if it doesn't read them cleanly; one row at a time."""
+
+    def one(data: bytes | None, charset: str | None) -> str | None:
+        if data is None or charset is None:
+            return None
+        try:
+            out = data.decode(charset)
+        except (LookupError, ValueError):
+            return None
+        if any(bad in out for bad in BAD):
             return None
-        for name in [*([charset] if charset and charset.lower() not in lists.LATIN_CHARSETS else []), *lists.TRIED_CHARSETS]:
-            try:
-                out = data.decode(name)
-            except (LookupError, ValueError):
-                continue
-            if not any(bad in out for bad in "\ufffd\ufffe\uffff"):
-                return out
-        return data.decode("utf-8", "replace")
+        return out if out.isascii() else out.encode("utf-8", "replace").decode("utf-8")
 
-    sound = lambda s: s if s is None or s.isascii() else s.encode("utf-8", "replace").decode("utf-8")
-    return pa.array([sound(one(d, c)) for d, c in zip(content.to_pylist(), declared.to_pylist())], pa.string())
+    slices = [(content.slice(i, 64), declared.slice(i, 64)) for i in range(0, len(content), 64)]
+    parts = [pa.array([one(d.as_py(), c.as_py()) for d, c in zip(ds, cs)], pa.string()) for ds, cs in slices]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def decode_bytes(content: Column, declared: Column) -> Column:
     """Bytes by the first charset that reads them cleanly: the declared one, unless it is of the Latin sort that servers declare
-    by default, then the usual ones; else as UTF-8 with replacements. Spark's own decode knows too few names."""
-    return F.arrow_udf(_decode, "string")(content, declared)
+    by default, then UTF-8, windows-1252 and Latin-1, which reads all. Only bytes that are declared to be of a charset that Python knows and Spark doesn't go through Python."""
+    said = F.lower(declared)
+    asked = F.coalesce(~said.isin(lists.LATIN_CHARSETS) & F.regexp_replace(said, "[^a-z0-9]", "").isin(_charsets()), F.lit(False))
+    known = F.arrow_udf(_declared, "string")(F.when(asked, content), F.when(asked, declared))
+    text, latin = content.cast("string"), F.decode(content, "ISO-8859-1")
+    present = {b: c for b, c in WINDOWS.items() if c != "\ufffd"}
+    windows = F.translate(latin, "".join(map(chr, present)), "".join(present.values()))
+    plain = F.when(F.is_valid_utf8(text) & ~text.rlike(f"[{BAD}]"), text).when(latin.rlike(f"[{''.join(MISSING)}]"), latin).otherwise(windows)
+    return F.when(content.isNotNull(), F.coalesce(known, plain))

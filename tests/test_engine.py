@@ -149,3 +149,11 @@ def test_a_code_is_worked_out_once(spark):
     out = rows.repartition(2).select("c", text.decode_hidden_email(F.reverse(F.reverse("c"))).alias("e"))
     assert out._jdf.queryExecution().analyzed().toString().count("reverse(reverse(") == 1
     assert {r.c: r.e for r in out.collect()} == {"0041": "A", "2a4b6a": "a@", "00": None, "zz00": None, None: None, "01" + "40" * 50000: "A" * 50000, "ffE9": "\x16"}
+
+
+def test_python_gets_only_bytes_of_charsets_that_spark_lacks(spark):
+    """Not those in UTF-8 or of Latin sorts, nor those of unknown names; whatever the bytes are, they are read as before."""
+    rows = spark.createDataFrame([(b"\xe9\x80", None), (b"\xe9\x81", "no-such"), ("é’".encode(), "ISO-8859-1"), ("日".encode("shift_jis"), "Shift_JIS"), (b"\xff", "utf-8"), (None, "big5")], "b binary, c string")
+    found = rows.select("c", text.decode_bytes(F.col("b"), F.col("c")).alias("t"))
+    assert [r.t for r in found.collect()] == ["é€", "é\x81", "é’", "日", "ÿ", None]
+    assert [text._declared(text.pa.array([b"x", None]), text.pa.array(["no-such", None])).to_pylist()] == [[None, None]]
