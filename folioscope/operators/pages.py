@@ -112,6 +112,7 @@ def parsed(pages: DataFrame) -> DataFrame:
     kept = [c for c in pages.columns if c not in ("page", "ld")]
     source = pages.select(*[f"`{c}`" for c in kept])
     added = StructType.fromDDL(f"page {FACTS}, ld {LD}")
+    dom.bounded(pages.sparkSession)
 
     def over(batches):
         kinds = to_arrow_schema(added)

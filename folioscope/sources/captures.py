@@ -10,15 +10,22 @@ import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions import dom
+
 SCHEMA = "url string, captured timestamp, status_code int, content_type string, headers map<string,string>, content binary"
 #: Bytes of a header block beyond which a record counts as broken.
 HEADERS = 1 << 20
+#: Records that are passed to Spark at once, and bytes of bodies that end such a batch early.
+ROWS, BYTES = 256, 1 << 22
 
 
 def _files(path: str):
@@ -51,7 +58,7 @@ def _fields(lines: list[str]) -> dict[str, str]:
 
 def records(stream: io.BufferedIOBase, wanted) -> Iterator[tuple]:
     """Responses of an archive whose URL is wanted, in order; other records, and bodies of unwanted ones, are passed over. Ends where the archive breaks off."""
-    from datetime import datetime, timezone
+    from datetime import datetime
 
     while (head := _head(stream)) is not None:
         if not head[0].startswith("WARC/"):
@@ -79,6 +86,24 @@ def records(stream: io.BufferedIOBase, wanted) -> Iterator[tuple]:
         yield url, when, int(status) if status.isdigit() else None, answered.get("content-type"), answered, inner.read()
 
 
+def _batches(rows: Iterator[tuple], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Records as batches that a few large ones fill."""
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        columns = zip(*[(*r[:4], list(r[4].items()), r[5]) for r in held])
+        return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kinds)], schema=kinds)
+
+    for row in rows:
+        held.append(row)
+        size += len(row[5])
+        if len(held) >= ROWS or size >= BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 @dataclass
 class Archive(InputPartition):
     path: str
@@ -89,8 +114,8 @@ class Archive(InputPartition):
 
 
 class CapturesReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path, self.filters = path, []
+    def __init__(self, path: str, schema: StructType):
+        self.path, self.kinds, self.filters = path, to_arrow_schema(schema), []
 
     def _wanted(self, url: str) -> bool:
         return all(url == f.value if isinstance(f, EqualTo) else url in f.value if isinstance(f, In) else url.startswith(f.value) for f in self.filters)
@@ -106,11 +131,11 @@ class CapturesReader(DataSourceReader):
         names = sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith((".warc", ".warc.gz")))
         return [Archive(root + name[len(path.rstrip("/")) :]) for name in names]
 
-    def read(self, partition: Archive) -> Iterator[tuple]:
+    def read(self, partition: Archive) -> Iterator[pa.RecordBatch]:
         files, path = _files(partition.path)
         with files.open_input_stream(path, compression=None) as raw:
             stream = io.BufferedReader(raw, 1 << 20)
-            yield from records(gzip.GzipFile(fileobj=stream) if path.endswith(".gz") else stream, self._wanted)
+            yield from _batches(records(gzip.GzipFile(fileobj=stream) if path.endswith(".gz") else stream, self._wanted), self.kinds)
 
 
 class PushedReader(CapturesReader):
@@ -129,19 +154,20 @@ class Written(WriterCommitMessage):
     path: str
 
 
-class CapturesWriter(DataSourceWriter):
+class CapturesWriter(DataSourceArrowWriter):
     """Each task writes an archive of its own under a name that is not read; it gets its name once all tasks are done, and goes if they fail."""
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path, overwrite
 
-    def write(self, rows) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, root = _files(self.path)
         files.create_dir(root, recursive=True)
         path = f"{root.rstrip('/')}/_{uuid.uuid4().hex}.warc.gz"
         with files.open_output_stream(path, compression=None) as raw:
-            for row in rows:
-                raw.write(gzip.compress(_record(row.asDict())))
+            for batch in iterator:
+                for i in range(batch.num_rows):
+                    raw.write(gzip.compress(_record({name: c[i].as_py() for name, c in zip(batch.schema.names, batch.columns)})))
         return Written(path)
 
     def commit(self, messages: list) -> None:
@@ -165,11 +191,11 @@ class CapturesWriter(DataSourceWriter):
 
 
 def _record(row: dict) -> bytes:
-    headers = {k.lower(): v for k, v in (row.get("headers") or {}).items()} | ({"content-type": row["content_type"]} if row.get("content_type") else {})
+    headers = {k.lower(): v for k, v in dict(row.get("headers") or ()).items()} | ({"content-type": row["content_type"]} if row.get("content_type") else {})
     safe = lambda s: " ".join(str(s).split())
     head = f"HTTP/1.1 {row.get('status_code') or 0} -\r\n" + "".join(f"{safe(k)}: {safe(v)}\r\n" for k, v in headers.items()) + "\r\n"
     body = head.encode() + bytes(row.get("content") or b"")
-    when = row["captured"].strftime("%Y-%m-%dT%H:%M:%S.%fZ") if row.get("captured") else ""
+    when = row["captured"].astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ") if row.get("captured") else ""
     fields = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Target-URI: {safe(row.get('url') or '')}\r\n" + (f"WARC-Date: {when}\r\n" if when else "")
     return (fields + f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
 
@@ -183,7 +209,7 @@ class Captures(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> CapturesReader:
-        return (PushedReader if self.options.get("push") == "true" else CapturesReader)(self.options["path"])
+        return (PushedReader if self.options.get("push") == "true" else CapturesReader)(self.options["path"], schema)
 
     def writer(self, schema, overwrite: bool) -> CapturesWriter:
         return CapturesWriter(self.options["path"], overwrite)
@@ -193,11 +219,13 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     """Captures of an archive or of all in a folder, as many partitions as files; filters on the URL are met while reading."""
     spark.dataSource.register(Captures)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    dom.bounded(spark)
     return spark.read.format("captures").option("push", "true").load(path)
 
 
 def write_captures(rows: DataFrame, path: str, overwrite: bool = False) -> None:
     """rows(url, captured, status_code, content_type, headers, content), of which all but url and content may be missing, as archives, one a task."""
     rows.sparkSession.dataSource.register(Captures)
+    dom.bounded(rows.sparkSession)
     given = [F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(SCHEMA)]
     rows.select(*given).write.format("captures").mode("overwrite" if overwrite else "append").save(path)

@@ -4,6 +4,7 @@ import gzip
 
 from pyspark.sql import functions as F
 
+from folioscope.sources import captures
 from folioscope.sources.captures import read_captures, write_captures
 
 
@@ -40,3 +41,10 @@ def test_foreign_and_broken_archives(spark, tmp_path):
     assert sorted(got) == ["http://a.org", "http://b.org/0", "http://b.org/1", "http://b.org/2", "http://c.org/1"]
     assert str(got["http://a.org"].captured) == "2024-01-02 03:04:05" and bytes(got["http://a.org"].content).decode() == "<p>é" and got["http://a.org"].headers["set-cookie"] == "b" and got["http://b.org/0"].status_code == 301
     assert read_captures(spark, str(tmp_path / "good.warc")).count() == 1
+
+
+def test_large_records_go_in_small_batches():
+    """By bytes as well as by number; none is lost."""
+    kinds = captures.pa.schema([("url", "string"), ("captured", captures.pa.timestamp("us", "UTC")), ("status_code", "int32"), ("content_type", "string"), ("headers", captures.pa.map_("string", "string")), ("content", "binary")])
+    sizes = [b.num_rows for b in captures._batches(((f"u{i}", None, 200, None, {"a": "b"}, b"x" * (captures.BYTES // 4)) for i in range(10)), kinds)]
+    assert sizes == [4, 4, 2] and [b.num_rows for b in captures._batches((("u", None, 200, None, {}, b"") for _ in range(captures.ROWS + 1)), kinds)] == [captures.ROWS, 1]
