@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folioscope.sources import shared
@@ -48,6 +49,63 @@ def test_job_states_do_not_depend_on_batches(spark):
     assert found[0] == found[1] == sorted(want, key=repr)
 
 
+def test_an_event_at_the_time_of_expiry(spark):
+    """It begins the job anew, and is what the table keeps, not the expiry of the same time; so too at the limit of an open job."""
+    rows = [(1, "completed", at(0), 1), (1, "processing", at(3600), 2), (2, "completed", at(0), 3), (2, "completed", at(3600), 4), (3, "processing", at(3480), 5), (3, "completed", at(3600), 6)]
+    for parts in (1, 3):
+        got = sorted(tuple(r) for r in tracking.replayed_jobs(spark.createDataFrame(rows, EVENTS), parts).select("job_id", "status", "updated", "events", "timeouts").collect())
+        assert got == [(1, "processing", at(3600), 1, 0), (2, "completed", at(3600), 1, 0), (3, "completed", at(3600), 2, 1)]
+
+
+class Calls:
+    """A handle, its one list state and its watermark, that count what is asked of them: each is a way to the JVM and back."""
+
+    def __init__(self):
+        self.kept, self.timers, self.n, self.now = [], set(), 0, 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.n += 1
+        return iter(self.kept)
+
+    def put(self, rows):
+        self.n, self.kept = self.n + 1, rows
+
+    def clear(self):
+        self.put([])
+
+    def registerTimer(self, at):
+        self.n += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.n += 1
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_calls_do_not_grow_with_jobs_and_events():
+    """Of many jobs of many events in one batch: a few calls in all, one timer and a row for each job; every change where that is asked for."""
+    jobs, events = 300, 40
+    rows = lambda start: iter([pd.DataFrame([(str(j), "completed", e, (start + 60 * e) * 1_000_000 + j) for e in range(events) for j in range(jobs)], columns=["job", "status", "event_id", "us"])])
+    for every in (False, True):
+        calls = Calls()
+        tracker = tracking.JobTracker(120, 3600, every)
+        tracker.init(calls)
+        told = list(tracker.handleInputRows((0,), rows(0), calls))
+        assert sum(map(len, told)) == jobs * (events if every else 1) and calls.n == 3
+        assert calls.timers == {(60 * (events - 1) + 3600) * 1000}
+        told = pd.concat(tracker.handleInputRows((0,), rows(4000), calls))  # all within an hour of the last ones
+        assert told.groupby("job").last().events.tolist() == [2 * events] * jobs and calls.n == 7 and len(calls.timers) == 1
+        calls.now = 10_000_000
+        told = list(tracker.handleExpiredTimer((0,), calls, None))
+        assert sum(map(len, told)) == jobs and set(told[0].status) == {"expired"} and calls.n == 9 and not calls.kept
+
+
 def test_outcomes(spark):
     """An answer at the deadline counts, one after it doesn't, nor one before the job; unfinished jobs are timeouts; the next run goes on with open ones."""
     submitted = spark.createDataFrame([(i, f"u{i}", at(t)) for i, t in enumerate([0, 0, 0, 0, 900, 1000])], "job_id long, url string, ts timestamp")
